@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a list of ids or keys (at most some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Texts are handed to a kernel in pieces of about so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 HASH_BITS = 52
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_table, sharding
+from . import exact_dedup, minmax_dedup, mixing, piece_table, sharding
 
 
 def piece_model() -> str:
@@ -30,6 +30,10 @@ def op5_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_documents(spark, sf_dir))
 
 
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_components(_documents(spark, sf_dir), width=4, percent=80)
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_documents(spark, sf_dir), power=0.5, epochs=1.0).select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "shuffle_key")
 
@@ -41,6 +45,7 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_interleave": op3_interleave,
     "op5_bloom_dedup": op5_bloom_dedup,
+    "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
 }
@@ -55,6 +60,17 @@ ORACLES: dict[str, str] = {
                           count(*) OVER (PARTITION BY text_sha256) AS group_size
                    FROM k WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, pos = 1 AS kept, text_sha256 FROM r""",
+    "op8_minmax_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM w)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+             links AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+             reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+             least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l ON d.doc_id = l.a""",
     "op9_poisson_mix": f"""
         WITH s AS (SELECT source, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS DOUBLE) AS b FROM documents GROUP BY source),
              rates AS (SELECT source, pow(b, 0.5) / sum(pow(b, 0.5)) OVER () * 1.0 * sum(b) OVER () / b AS rate FROM s),
