@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minmax_dedup, mixing, piece_table, sharding
+from . import exact_dedup, gif_media, minmax_dedup, mixing, piece_table, sharding
 
 
 def piece_model() -> str:
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.text_media(_documents(spark, sf_dir))
+
+
 def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(_documents(spark, sf_dir), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
@@ -43,6 +47,7 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gif_media": op1_gif_media,
     "op3_interleave": op3_interleave,
     "op5_bloom_dedup": op5_bloom_dedup,
     "op8_minmax_dedup": op8_minmax_dedup,
