@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gif_media, minmax_dedup, mixing, piece_table, sharding
+from . import exact_dedup, gif_media, minmax_dedup, mixing, piece_table, sharding, zstd_langid
 
 
 def piece_model() -> str:
@@ -25,6 +25,13 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.text_media(_documents(spark, sf_dir))
 
 
+def op2_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = zstd_langid.fit(docs, ~zstd_langid.held_out("doc_id", 4, 2))
+    found = zstd_langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", zstd_langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(_documents(spark, sf_dir), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
@@ -48,6 +55,7 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op2_zstd_langid": op2_zstd_langid,
     "op3_interleave": op3_interleave,
     "op5_bloom_dedup": op5_bloom_dedup,
     "op8_minmax_dedup": op8_minmax_dedup,
