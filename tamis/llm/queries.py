@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gif_media, minmax_dedup, mixing, piece_table, sharding, zstd_langid
+from . import exact_dedup, gif_media, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
 
 
 def piece_model() -> str:
@@ -41,6 +41,10 @@ def op5_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_documents(spark, sf_dir))
 
 
+def op6_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_components(_documents(spark, sf_dir), width=4, percent=80)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_zstd_langid": op2_zstd_langid,
     "op3_interleave": op3_interleave,
     "op5_bloom_dedup": op5_bloom_dedup,
+    "op6_tag_paths": op6_tag_paths,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
