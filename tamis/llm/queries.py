@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gif_media, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
+from . import exact_dedup, gif_media, gru_lm, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
 
 
 def piece_model() -> str:
@@ -45,6 +45,13 @@ def op6_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = zstd_langid.held_out("doc_id", 7, 2)
+    scored = gru_lm.log_likelihood(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_components(_documents(spark, sf_dir), width=4, percent=80)
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_interleave": op3_interleave,
     "op5_bloom_dedup": op5_bloom_dedup,
     "op6_tag_paths": op6_tag_paths,
+    "op7_gru_lm": op7_gru_lm,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
