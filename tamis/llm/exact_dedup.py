@@ -10,6 +10,7 @@ A full filter (more than about ``max_bits`` / 8 texts) only lets more rows take
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,27 +30,30 @@ def text_key(text: Column) -> Column:
     return F.sha2(plain.cast("binary"), 256)
 
 
-def _slot(key: str, probe: int, bits: int) -> Column:
-    """13 hex digits of the hash, another stretch for each probe."""
-    return F.conv(F.substring(F.col(key), 1 + 16 * probe, 13), 16, 10).cast("bigint") % F.lit(bits)
+def hex_slot(key: str, probe: int) -> Column:
+    """13 hex digits of a hash, another stretch for each probe."""
+    return F.conv(F.substring(F.col(key), 1 + 16 * probe, 13), 16, 10).cast("bigint")
 
 
-def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """rows with a boolean column __repeated, true for every row whose key is not alone in keys and for a few others."""
+def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = MAX_BITS, probes: int = 2, slot: Callable[[str, int], Column] = hex_slot) -> DataFrame:
+    """rows with a boolean column __repeated, true for every row whose key is not alone in keys and for a few others.
+
+    slot gives a number of 0 or more for a key's column and a probe; its remainder by the filter's size is the key's slot.
+    """
     total = keys.count()
     bits = min(max_bits, max(1, -(-8 * total // BITMAP_BITS)) * BITMAP_BITS)
     bits = max(BITMAP_BITS, bits // BITMAP_BITS * BITMAP_BITS)
     found = rows
     hit = F.lit(True)
-    for probe in range(2):
-        seen = keys.groupBy(_slot(key, probe, bits).alias("__slot")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    for probe in range(probes):
+        seen = keys.groupBy((slot(key, probe) % bits).alias("__slot")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
         bitmap = seen.groupBy(F.expr(f"__slot div {BITMAP_BITS}").alias(f"__b{probe}")).agg(F.bitmap_construct_agg(F.col("__slot") % BITMAP_BITS).alias(f"__m{probe}"))
-        found = found.withColumn(f"__s{probe}", _slot(key, probe, bits)).withColumn(f"__b{probe}", F.expr(f"__s{probe} div {BITMAP_BITS}"))
+        found = found.withColumn(f"__s{probe}", slot(key, probe) % bits).withColumn(f"__b{probe}", F.expr(f"__s{probe} div {BITMAP_BITS}"))
         found = found.join(F.broadcast(bitmap), f"__b{probe}", "left")
         at = F.col(f"__s{probe}") % BITMAP_BITS
         byte = F.conv(F.hex(F.substring(F.col(f"__m{probe}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = hit & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return found.withColumn("__repeated", hit).drop(*(f"__{c}{p}" for c in "sbm" for p in range(2)))
+    return found.withColumn("__repeated", hit).drop(*(f"__{c}{p}" for c in "sbm" for p in range(probes)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gif_media, gru_lm, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
+from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
 
 
 def piece_model() -> str:
@@ -37,6 +37,10 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(_documents(spark, sf_dir))
+
+
 def op5_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_zstd_langid": op2_zstd_langid,
     "op3_interleave": op3_interleave,
+    "op4_compact_windows": op4_compact_windows,
     "op5_bloom_dedup": op5_bloom_dedup,
     "op6_tag_paths": op6_tag_paths,
     "op7_gru_lm": op7_gru_lm,
