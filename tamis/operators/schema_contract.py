@@ -20,7 +20,7 @@ CANONICAL = {
     "array": "list array".split(),
     "complex": "struct dict map".split(),
 }
-_BY_NAME = {name: kind for kind, names in CANONICAL.items() for name in names}
+_BY_NAME = {name: kind for kind, names in CANONICAL.items() for name in (kind, *names)}
 
 
 def canonical_type(kind: T.DataType | str) -> str:

@@ -69,6 +69,8 @@ def windowed_metrics(df: DataFrame, rules: Sequence[RuleDefinition], time_col: s
 
     On a stream, rows later than the watermark are left out and windows are given when it has passed them.
     """
+    if df.isStreaming:  # a watermark needs an instant; times without a zone count as the session's
+        df = df.withColumn(time_col, F.col(time_col).cast("timestamp"))
     plan = bind(df, rules, as_of, null_policy)
     rows = [b for b in plan.bound if b.kind == "row"]
     source = plan.df.withWatermark(time_col, watermark) if plan.df.isStreaming else plan.df
