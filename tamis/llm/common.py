@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a list of ids or keys (at most some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A total is split by this: so many groups at most are large, and are broadcast.
+HOT_GROUPS = 100_000
 #: Texts are handed to a kernel in pieces of about so many bytes.
 CHUNK_BYTES = 1 << 20
 
@@ -49,6 +51,20 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, limit: int = HOT_GROUPS) -> DataFrame:
+    """rows (total of them) joined with groups by key; size is a column of groups, the number of rows that a group has.
+
+    Groups with more than total / limit rows, of which there are fewer than limit, are broadcast, so that rows of a large group
+    stay where they are. The others' rows are shuffled, at most total / limit to a key.
+    """
+    least = total // limit
+    if not least:
+        return rows.join(F.broadcast(groups), key)
+    hot = F.broadcast(groups.where(F.col(size) > least))
+    rest = rows.join(F.broadcast(groups.where(F.col(size) > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= least), key))
+
+
 def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about size bytes of text; a longer text is a piece of its own, whole."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -3,7 +3,8 @@
 Pass 1 counts rows by filter slot, two slots a text hash in two bit arrays; slots with more than one row become bitmaps.
 Pass 2 looks both slots of each row up in the bitmaps, which are broadcast (2 * ``max_bits`` / 8 bytes at most). A text
 that is repeated always has both bits set, so rows without go straight through, unshuffled. Only the others are grouped
-by their full SHA-256, with map-side aggregation, so that a group of any size leaves a row per task.
+by their full SHA-256, with map-side aggregation, so that a group of any size leaves a row per task. What a large group
+keeps is broadcast to its rows, so that these are never gathered in one task.
 
 A full filter (more than about ``max_bits`` / 8 texts) only lets more rows take the shuffled way; results stay exact.
 """
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_groups, materialise
 
 #: White space that doesn't count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,7 +74,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     # The best row of a group: most code points, a non-null id, the smallest id, the first row.
     best = F.struct(F.col("__chars"), F.col("__id").isNotNull().alias("__known"), (-F.col("__id")).alias("__neg"), (-F.col("__row")).alias("__first"))
     groups = again.groupBy("__key").agg(F.max(best).alias("__best"), F.count(F.lit(1)).alias("__n"))
-    grouped = again.join(groups, "__key").select(
+    grouped = join_groups(again, groups, "__key", "__n", narrow.count()).select(
         F.col("__id").alias(id_col), (-F.col("__best.__neg")).alias("keep_id"), F.col("__n").alias("group_size"),
         (F.col("__row") == -F.col("__best.__first")).alias("kept"), F.col("__key").alias("text_sha256"),
     )
