@@ -189,10 +189,16 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     candidates = buckets.join(hubs, "__band").select(F.col("__k1").alias("a"), "b")
     clusters = components(candidates, "near-candidates").withColumnRenamed("node", "__k1")
 
-    order = Window.partitionBy("root").orderBy("__n", "__k1")
+    # A set's place among its cluster's is after all smaller ones and, among those of its size, at a hashed fraction of their weight:
+    # blocks follow from weights added up by cluster and size, and have about BLOCK_SHINGLES; no cluster is sorted in one task.
     weight = F.greatest(F.col("__n"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS))
-    members = clusters.join(classes.select("__k1", "__n", "__rep"), "__k1")
-    members = members.withColumn("__block", F.floor((F.sum(weight).over(order) - 1) / BLOCK_SHINGLES).cast("int"))
+    members = materialise(clusters.join(classes.select("__k1", "__n", "__rep"), "__k1"), "near-clusters")
+    sizes = members.groupBy("root", "__n").agg(F.sum(weight).alias("__w"))
+    before = Window.partitionBy("root").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialise(sizes.withColumn("__start", F.coalesce(F.sum("__w").over(before), F.lit(0))), "near-sizes")
+    fraction = F.pmod(F.xxhash64("__k1"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    members = members.join(bounded_broadcast(sizes), ["root", "__n"]).withColumn("__block", F.floor((F.col("__start") + fraction * F.col("__w")) / BLOCK_SHINGLES).cast("int"))
+    members = members.select("root", "__k1", "__n", "__rep", "__block")
     members = materialise(members, "near-members")
     blocks = members.groupBy("root", "__block").agg(F.min("__n").alias("__least"), F.max("__n").alias("__most"))
     # Blocks are in order of size, so a smaller set's block comes first, and a pair can link if percent of the larger fits.
