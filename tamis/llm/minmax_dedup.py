@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_broadcast, materialise
+from .common import arrow_map, bounded_broadcast, join_groups, materialise
 from .components import components
 from .wordscan import distinct, mix, scan, shingles
 
@@ -224,15 +224,16 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     """
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     marked = materialise(sketch(narrow, width, permutations, rows), "near-sketches")
-    classes = marked.where("__n > 0").groupBy("__k1", "__k2", "__n").agg(F.min("__id").alias("__rep"), F.first("__bands").alias("__bands"))
+    classes = marked.where("__n > 0").groupBy("__k1", "__k2", "__n").agg(F.min("__id").alias("__rep"), F.first("__bands").alias("__bands"), F.count(F.lit(1)).alias("__rows"))
     classes = materialise(classes, "near-classes")
     links = materialise(near_links(narrow, classes, width, percent), "near-links")
     found = components(links, "near-components")
-    labelled = classes.select("__k1", "__rep").join(found.withColumnRenamed("node", "__k1"), "__k1", "left").withColumn("root", F.coalesce("root", "__k1"))
+    labelled = classes.select("__k1", "__rep", "__rows").join(found.withColumnRenamed("node", "__k1"), "__k1", "left").withColumn("root", F.coalesce("root", "__k1"))
     least = labelled.groupBy("root").agg(F.min("__rep").alias("__component"))
-    labels = labelled.join(least, "root").select("__k1", "__component")
+    labels = materialise(labelled.join(least, "root").select("__k1", "__component", "__rows"), "near-labels")
     own = marked.where("__n = 0").select("__id", "__n", F.col("__id").alias("__component"))
-    full = marked.where("__n > 0").join(labels, "__k1").select("__id", "__n", "__component")
+    # Rows of a set that many documents have stay where they are.
+    full = join_groups(marked.where("__n > 0"), labels, "__k1", "__rows", marked.count()).select("__id", "__n", "__component")
     return own.unionByName(full).select(
         F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__id").eqNullSafe(F.col("__component")).alias("kept")
     )
