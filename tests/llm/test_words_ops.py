@@ -305,3 +305,25 @@ def test_op4_finds_all_long_repeats(spark, sf, docs):
     repeated = [x for own in holders.values() if len({d for d, _ in own}) > 1 for x in own]
     missed = [(d, i) for d, i in repeated if not any(a <= i + 5 and i + 55 <= b for a, b in spans[d])]
     assert len(repeated) > 0 and len(missed) <= 0.02 * len(repeated)
+
+
+def test_passages_of_frequent_lines(spark):
+    """Pairs of documents share 60 words made up of lines that hundreds of others have too."""
+    rng = random.Random(11)
+    lines = [[f"line{i}w{j}" for j in range(12)] for i in range(20)]
+
+    def lot(n):
+        return [w for _ in range(n) for w in rng.choice(lines)]
+
+    rows = []
+    for pair in range(60):
+        passage = lot(5)
+        for _ in range(2):
+            rows.append([f"u{rng.randrange(10**9)}" for _ in range(20)] + passage + [f"u{rng.randrange(10**9)}" for _ in range(20)])
+    for _ in range(500):
+        rows.append([w for _ in range(4) for w in [*lot(2), *(f"u{rng.randrange(10**9)}" for _ in range(5))]])
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id bigint, text string").repartition(4)
+    spans = defaultdict(list)
+    for r in compact_windows.repeated_passages(df).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    assert [i for i in range(120) if not any(a <= 20 and 80 <= b for a, b in spans[i])] == []
