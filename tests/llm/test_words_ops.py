@@ -327,3 +327,24 @@ def test_passages_of_frequent_lines(spark):
     for r in compact_windows.repeated_passages(df).collect():
         spans[r.doc_id].append((r.start_word, r.end_word))
     assert [i for i in range(120) if not any(a <= 20 and 80 <= b for a, b in spans[i])] == []
+
+
+def test_passages_apart_and_again():
+    """Passages side by side in one text are found apart, moved and repeated in the other."""
+    rng = np.random.default_rng(12)
+
+    def fresh(n):
+        return rng.integers(0, 1 << 60, n).astype(np.uint64)
+
+    for n, gap in ((60, 19), (100, 40), (200, 40)):
+        p, q = fresh(n), fresh(60)
+        a, b = np.concatenate((fresh(9), p, q)), np.concatenate((p, fresh(gap), q, fresh(70), p))
+        got = compact_windows.common_passages(a, b, 46, 80)
+        wanted = {(9, 9 + n, 0, n), (9 + n, 69 + n, n + gap, n + gap + 60), (9, 9 + n, n + gap + 130, 2 * n + gap + 130)}
+        assert set(got) == wanted
+        back = {(x, y, u, v) for u, v, x, y in compact_windows.common_passages(b, a, 46, 80)}
+        assert back == wanted
+    p = fresh(60)
+    again = [np.concatenate([x for _ in range(300) for x in (p, fresh(30))]) for _ in range(2)]
+    got = compact_windows.common_passages(*again, 46, 80)
+    assert {g[:2] for g in got} == {g[2:] for g in got} == {(90 * i, 90 * i + 60) for i in range(300)}
