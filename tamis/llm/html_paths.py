@@ -2,8 +2,9 @@
 
 Each text node has a path of tags (with classes) from the root. For each path, text length and punctuation are added up and
 divided by its number of nodes; both ratios are smoothed along the page, fused by their product, and nodes at or above the
-standard deviation are selected. The main element is the deepest one that holds most of the selected text. Its text, without
-subtrees that are boilerplate by tag, role or class, is the result, so that short paragraphs and headings of it stay.
+standard deviation are selected. The main element is the deepest one that holds all selected text, or the article around it.
+Its text, without subtrees that are boilerplate by tag, role or class, is the result, so that short paragraphs and headings of
+it stay.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 #: Elements that never hold main text.
 NEVER = frozenset("head script style noscript template iframe object svg math canvas nav footer aside form button select option textarea dialog menu audio video noembed noframes xmp title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Blocks that are parts of a text, not the whole.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary address center hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of classes and ids that mark boilerplate.
 MARKS = frozenset(
@@ -162,9 +165,13 @@ def main_text(source: str | None) -> str:
         held[real[i][0]] += real[i][1]
     for i in range(len(elements) - 1, 0, -1):
         held[elements[i].parent] += held[i]
-    main = max(i for i in range(len(elements)) if 5 * held[i] >= 4 * held[0])
-    while elements[main].tag in INLINE or elements[main].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+    main = max(i for i in range(len(elements)) if held[i] == held[0])
+    while elements[main].tag in INLINE or elements[main].tag in PARTS:
         main = elements[main].parent  # a lone paragraph's siblings belong to it
+    i = main
+    while i >= 0 and elements[i].tag not in ("article", "main"):
+        i = elements[i].parent
+    main = i if i >= 0 else main
     inside = np.zeros(len(elements), bool)
     for i in range(main, len(elements)):
         inside[i] = i == main or (elements[i].parent >= 0 and inside[elements[i].parent])

@@ -348,3 +348,13 @@ def test_passages_apart_and_again():
     again = [np.concatenate([x for _ in range(300) for x in (p, fresh(30))]) for _ in range(2)]
     got = compact_windows.common_passages(*again, 46, 80)
     assert {g[:2] for g in got} == {g[2:] for g in got} == {(90 * i, 90 * i + 60) for i in range(300)}
+
+
+def test_main_text_of_sections():
+    """Nothing of an article is dropped, wherever most of its text lies."""
+    long, short = " ".join(PARAGRAPHS * 3).replace("&amp;", "and"), PARAGRAPHS[0].replace("&amp;", "and")
+    for tag in ("section", "div", "blockquote", "pre"):
+        page = f"<body><nav>Menu</nav><article><h1>Title</h1><{tag}>{long}</{tag}><{tag}>{short}</{tag}></article><footer>Imprint.</footer></body>"
+        assert html_paths.main_text(page) == f"Title\n{long}\n{short}"
+    assert html_paths.main_text(f"<body><div><h2>Title</h2><blockquote>{long}</blockquote><p>End.</p></div></body>") == f"Title\n{long}\nEnd."
+    assert html_paths.main_text(f"<body><div><div>{long}</div></div><div><div>{short}</div></div></body>") == f"{long}\n{short}"
