@@ -2,7 +2,7 @@
 
 A raw-content zstandard dictionary per language holds beginnings of training texts in lower case. Every text is compressed
 whole, in blocks, with each dictionary, and sizes are added up; the smallest wins, ties go to the language with more
-training rows. A narrow margin, below ``min_margin`` of the size less one byte, is a rejection.
+training rows. A narrow margin, below ``min_margin`` of the size less one byte, is a rejection, and so is a tie at any size.
 
 The fit reads the labels of all training rows, and of the texts a bounded sample: for each language and each of SAMPLE_DOCS
 buckets of the hashed id the row with the least hash, of that the first SAMPLE_CHARS characters. At most that many reach
@@ -99,7 +99,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                     if not model.languages or text is None or not any(map(str.isalpha, text)):
                         found.append((UNKNOWN, 0.0, 0.0, True))
                     else:
-                        found.append(verdict(model, sizer(text), min_margin))
+                        lang, score, margin, rejected = verdict(model, sizer(text), min_margin)
+                        found.append((lang, score, margin, rejected or margin == 0))  # a tie tells nothing, however short the text is
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in base), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], [*base, *new])

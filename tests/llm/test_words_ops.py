@@ -358,3 +358,13 @@ def test_main_text_of_sections():
         assert html_paths.main_text(page) == f"Title\n{long}\n{short}"
     assert html_paths.main_text(f"<body><div><h2>Title</h2><blockquote>{long}</blockquote><p>End.</p></div></body>") == f"Title\n{long}\nEnd."
     assert html_paths.main_text(f"<body><div><div>{long}</div></div><div><div>{short}</div></div></body>") == f"{long}\n{short}"
+
+
+def test_language_ties_of_short_texts_are_rejected(spark):
+    text = "The quick brown fox jumps over the lazy dog"
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id bigint, text string")
+    same = zstd_langid.Model(("en", "de"), (b"other words", b"other words"))
+    assert all(r.rejected and r.margin == 0 for r in zstd_langid.identify(df, same).collect())
+    told = zstd_langid.Model(("en", "de"), (text.lower().encode(), b"other words"))
+    assert [(r.lang_pred, r.rejected) for r in zstd_langid.identify(df.where("doc_id = 1"), told).collect()] == [("en", False)]
+    assert [r.rejected for r in zstd_langid.identify(df, zstd_langid.Model(("en",), (b"other words",))).collect()] == [False, False]
