@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -17,6 +16,7 @@ from .operators.validate import validate
 from .plans.sqlgen import compile_rules_to_sql
 from .rules import RuleDefinition as R
 from .sources.rules_store import load_rules, load_rules_csv, save_rules_csv
+from .sources.scratch import scratch_path
 from .streaming.stream import validate_stream, windowed_metrics
 
 AS_OF = "1996-06-15"
@@ -322,19 +322,13 @@ STREAM_RULES = [R("value", "is_between", [10, 90]), R("event_type", "not_in", ["
 _STREAM_BAD = "(NOT value BETWEEN 10 AND 90 OR event_type IN ('error') OR isodow(CAST(ts AS DATE)) > 5)"
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; the session's checkpoint folder, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tamis-")
-    return f"{base.rstrip('/')}/tamis-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_split", f"SELECT event_id, {_STREAM_BAD} AS bad, CAST((NOT value BETWEEN 10 AND 90)::INT + (event_type IN ('error'))::INT + (isodow(CAST(ts AS DATE)) > 5)::INT AS INT) AS errors FROM events")
 def stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over all events, written to two sinks in one query; uniqueness and aggregate rules are refused with an error."""
     source = f"{sf_dir}/events.parquet"
     # A pattern, as the source may be one file, and a stream's path has to be a folder or a pattern.
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/events.parque[t]")
-    folder = _shared_folder(spark, "stream-split")
+    folder = scratch_path(spark, "stream-split")
     checked = validate_stream(stream, STREAM_RULES)
     checked.write(f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint").awaitTermination()
     good = spark.read.parquet(f"{folder}/good").select("event_id", F.lit(False).alias("bad"), F.lit(0).alias("errors"))
