@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialise
+
+__all__ = ["BROADCAST_ROWS", "HASH_BITS", "arrow_map", "bounded_broadcast", "discard", "hash52", "join_groups", "materialise", "text_chunks"]
+
 #: Rows up to which a list of ids or keys (at most some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A total is split by this: so many groups at most are large, and are broadcast.
@@ -21,25 +23,6 @@ CHUNK_BYTES = 1 << 20
 HASH_BITS = 52
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode with no setting."""
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tamis-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamis-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hash52(seed: str, *cols: Column) -> Column:
     """An integer below 2**52 from md5, the same in any engine that has md5. Nulls count as the text 'null'."""
     parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in cols]
@@ -51,18 +34,19 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, limit: int = HOT_GROUPS) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, limit: int = HOT_GROUPS, how: str = "inner") -> DataFrame:
     """rows (total of them) joined with groups by key; size is a column of groups, the number of rows that a group has.
 
-    Groups with more than total / limit rows, of which there are fewer than limit, are broadcast, so that rows of a large group
-    stay where they are. The others' rows are shuffled, at most total / limit to a key.
+    All groups are broadcast if they are limit or fewer. Else those with more than total / limit rows, of which there are fewer
+    than limit, are, so that rows of a large group stay where they are. The others' rows are shuffled, at most total / limit to a key.
+    how: "inner" or "left".
     """
     least = total // limit
-    if not least:
-        return rows.join(F.broadcast(groups), key)
-    hot = F.broadcast(groups.where(F.col(size) > least))
-    rest = rows.join(F.broadcast(groups.where(F.col(size) > least).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= least), key))
+    if not least or groups.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(groups), key, how)
+    large = groups.where(F.col(size) > least)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(rest.join(groups.where(F.col(size) <= least), key, how))
 
 
 def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -13,31 +13,45 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, bounded_broadcast, hash52, materialise
+from .common import HASH_BITS, hash52, join_groups, materialise
 
 #: Rates above this are drawn as sums of that many equal parts, each with a hash of its own; exp(-rate) never underflows.
 PART = 16.0
+#: Sources whose distributions, some 200 bytes each, are broadcast.
+MOST_SOURCES = 20_000
+
+
+def cumulative(rate: Column) -> Column:
+    """P(X <= k) for k from 0, for X Poisson of the given mean, at most PART, as far as it is below 1; for a rate of 0 nothing."""
+    # The probability beyond 79 is under 1e-30 for means up to 16, below the grain of a double.
+    first = F.exp(-rate)
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * rate / k
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.concat(s["all"], F.array(s["c"] + p)).alias("all"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(79)), F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all")), step)["all"]
+    return F.array_distinct(F.filter(found, lambda c: c < 1))
 
 
 def poisson(u: Column, rate: Column) -> Column:
     """The smallest k with P(X <= k) > u for X Poisson of the given mean, at most PART; 0 for a rate of 0."""
-    # The probability beyond 80 is under 1e-30 for means up to 16, below the grain of u.
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    return draws(F.array(u), cumulative(rate))
 
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * rate / i
-        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.when(u >= s["c"], i).otherwise(s["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step)["k"]
+def draws(uniform: Column, cdf: Column) -> Column:
+    """The sum of the distribution inverted at each of the uniform numbers, an array, which is computed once."""
+    return F.aggregate(uniform, F.lit(0), lambda s, u: s + F.size(F.filter(cdf, lambda c: c <= u)))
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, power: float, epochs: float, text_col: str, source_col: str) -> DataFrame:
-    """__stratum, __rate: target weight * epochs * all bytes / bytes of the source.
+    """One row for each source: __stratum, __rows, __rate (target weight * epochs * all bytes / bytes of the source), the __parts that
+    it is drawn in, and the distribution __cdf of a part.
 
     Without weights, a source's target is in proportion to its bytes ** power (1: as it is, 0: all alike). With weights, sources
     that aren't named get none; the weights are normalised over the sources that are there.
     """
-    sizes = docs.groupBy(stratum(source_col)).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 1).alias("__bytes"))
+    sizes = docs.groupBy(stratum(source_col)).agg(F.count(F.lit(1)).alias("__rows"), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 1).alias("__bytes"))
     if weights is None:
         sizes = sizes.withColumn("__w", F.pow(F.col("__bytes").cast("double"), F.lit(float(power))))
     else:
@@ -46,7 +60,9 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, power: float, ep
     sizes = materialise(sizes, "mix-sizes")
     total = sizes.agg(F.sum("__w").alias("__ws"), F.sum("__bytes").alias("__all"))
     share = F.when(F.col("__ws") > 0, F.col("__w") / F.col("__ws")).otherwise(F.lit(0.0))
-    return sizes.join(F.broadcast(total)).select("__stratum", (share * F.lit(float(epochs)) * F.col("__all") / F.col("__bytes")).alias("__rate"))
+    rated = sizes.join(F.broadcast(total)).select("__stratum", "__rows", (share * F.lit(float(epochs)) * F.col("__all") / F.col("__bytes")).alias("__rate"))
+    rated = rated.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int"))
+    return materialise(rated.withColumn("__cdf", cumulative(F.col("__rate") / F.col("__parts"))), "mix-rates")
 
 
 def stratum(source_col: str) -> Column:
@@ -62,14 +78,14 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, power
     """
     base = [c for c in docs.columns if c not in ("rate", "copies", "copy")]
     who = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    rows = docs.select(*(F.col(f"`{c}`") for c in base), stratum(source_col)).join(bounded_broadcast(rates(docs, weights, power, epochs, text_col, source_col)), "__stratum")
-    rows = rows.withColumn("__who", who).withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int"))
-    each = F.col("__rate") / F.col("__parts")
-
-    def draw(part: Column) -> Column:
-        return poisson(hash52(seed, F.col("__who"), part) / F.lit(float(1 << HASH_BITS)), each)
-
-    rows = rows.withColumn("copies", F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda s, part: s + draw(part)))
+    sources = rates(docs, weights, power, epochs, text_col, source_col)
+    total = sources.agg(F.sum("__rows")).first()[0] or 0
+    rows = join_groups(docs.select(*(F.col(f"`{c}`") for c in base), stratum(source_col)), sources, "__stratum", "__rows", total, MOST_SOURCES).withColumn("__who", who)
+    uniform = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda part: hash52(seed, F.col("__who"), part) / F.lit(float(1 << HASH_BITS)))
+    rows = rows.withColumn("copies", draws(uniform, F.col("__cdf")))
     copies = rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copies = copies.withColumn("__key", hash52(f"{seed}-order", F.col("__who"), F.col("copy"))).withColumnRenamed("__rate", "rate")
-    return copies.repartitionByRange(F.col("__key")).sortWithinPartitions("__key").select(*(F.col(f"`{c}`") for c in base), "rate", "copies", "copy", F.col("__key").alias("shuffle_key"))
+    # The key is uniform, so ranges of equal length hold about as many rows: no pass that samples is needed.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = copies.repartitionById(n, F.least(F.floor(F.col("__key") / F.lit((1 << HASH_BITS) / n)), F.lit(n - 1)).cast("int"))
+    return laid.sortWithinPartitions("__key").select(*(F.col(f"`{c}`") for c in base), "rate", "copies", "copy", F.col("__key").alias("shuffle_key"))
