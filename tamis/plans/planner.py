@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
+from functools import cached_property, reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ class ValidationPlan:
     approx: bool = False
     notes: dict[str, str] = field(default_factory=dict)
 
+    def only(self, members: Collection[int]) -> ValidationPlan:
+        """The same plan with all other rules left out; numbers stay."""
+        return ValidationPlan(self.df, [b if i in members else BoundRule(b.rule, b.rule_id, "none") for i, b in enumerate(self.bound)], self.context, self.approx)
+
+    @cached_property
+    def metrics_frame(self) -> DataFrame:
+        return self.metrics()
+
     def metrics(self) -> DataFrame:
         """One row of METRIC_SCHEMA for each rule that needs data, and one for i = -1 with the table's rows.
 
@@ -81,7 +90,7 @@ class ValidationPlan:
         for i, b in enumerate(self.bound):
             if (only is not None and i not in only) or (only is None and i in late and not self.approx):
                 continue
-            where = F.coalesce(F.expr(f"({b.rule.filter})"), F.lit(False)) if b.rule.filter else None
+            where = F.coalesce(F.expr(f"({b.rule.filter})"), F.lit(False)) if b.rule.filter and b.kind not in ("none", "schema") else None
             if where is not None and only is None:
                 measures[f"t{i}"] = F.count_if(where)
             if b.kind == "row":
@@ -116,8 +125,16 @@ def today(as_of: date | str | None) -> Column:
     return F.current_date() if as_of is None else F.lit(date.fromisoformat(as_of) if isinstance(as_of, str) else as_of)
 
 
+def told(e: Exception) -> str:
+    """The first line of what an exception says."""
+    text = e.java_exception.toString() if isinstance(e, Py4JJavaError) else str(e)
+    return f"Error: {(text.strip().splitlines() or [type(e).__name__])[0]}"
+
+
 def bind(df: DataFrame, rules: Sequence[RuleDefinition], as_of: date | str | None = None, null_policy: str = "skip", where: str | None = None, approx: bool = False) -> ValidationPlan:
-    """Rules bound to df's schema. A rule that can't be applied is kept with its error and disturbs no other."""
+    """Rules bound to df's schema. A rule that can't be applied, for whatever reason, is kept with its error and disturbs no other."""
+    if null_policy not in ("skip", "fail"):
+        raise ValueError("null_policy is 'skip' or 'fail'")
     if where:
         df = df.where(where)
     context = Context(df.schema, today(as_of))
@@ -128,10 +145,23 @@ def bind(df: DataFrame, rules: Sequence[RuleDefinition], as_of: date | str | Non
             bound.append(BoundRule(rule, rule_id, "none", error="Skipped: execute=False"))
             continue
         try:
+            if rule.canonical == "has_pattern":
+                df.sparkSession._jvm.java.util.regex.Pattern.compile(str(rule.value))
             bound.append(_bind_one(context, rule, rule_id, null_policy))
-        except RuleError as e:
-            bound.append(BoundRule(rule, rule_id, "none", error=f"Error: {e}"))
-    return ValidationPlan(df, bound, context, approx)
+        except Exception as e:  # a rule's own builder may raise anything
+            bound.append(BoundRule(rule, rule_id, "none", error=told(e)))
+    plan = ValidationPlan(df, bound, context, approx)
+    try:
+        _ = plan.metrics_frame
+    except Exception:
+        # Some rule does not fit the table's types or names: each is analysed by itself, nothing runs.
+        for i, b in enumerate(bound):
+            try:
+                plan.only({i}).metrics()
+            except Exception as e:
+                bound[i] = BoundRule(b.rule, b.rule_id, "none", error=told(e))
+        plan = ValidationPlan(df, bound, context, approx)
+    return plan
 
 
 def _bind_one(context: Context, rule: RuleDefinition, rule_id: str, null_policy: str) -> BoundRule:

@@ -113,6 +113,41 @@ def test_errors_disturb_nothing(people):
     assert report.pass_rate == 2 / 7 and len(report.errors) == 5 and len(report) == 7
 
 
+@pytest.mark.parametrize(
+    "rule",
+    [
+        R("*", "satisfies", "nope > 1"), R("*", "satisfies", "age >"), R("*", "satisfies", "age"), R("*", "satisfies", "cast(email AS int) > 1"), R("email", "has_pattern", "("), R("tags", "is_equal", 1),
+        R("tags", "has_mean", 1, 0.1), R("age", "is_positive", filter="nope = 1"), R("tags", "is_equal_than", "age"), R("age", "is_positive", filter="cast(email AS int) > 1"), R("age", "validate_schema", {"columns": 7}),
+        R("*", "satisfies", "1 / (id - id) > 0"), R("age,email", "has_infogain", 1.0, 0.1, filter="age +"), R("tags", "is_between", [1, 2]), R("tags", "is_on_weekday"), R("age", "has_entropy", "x", 0.1),
+    ],
+    ids=lambda r: f"{r.check_type}-{str(r.value)[:12]}-{str(r.filter)[:8]}",
+)
+def test_one_bad_rule_disturbs_no_other(people, rule):
+    df = people.withColumn("tags", F.array("email"))
+    good = [R("id", "is_complete"), R("country", "is_in", ["US"]), R("age", "has_max", 60, 0.0), R("id", "is_unique")]
+    wanted = [(r.status, r.fail_count, r.actual) for r in validate(df, good)]
+    report = validate(df, [*good[:2], rule, *good[2:]])
+    got = [(r.status, r.fail_count, r.actual) for r in report]
+    assert got[:2] + got[3:] == wanted
+    assert report[2].status is (ValidationStatus.FAIL if rule.check_type == "has_entropy" else ValidationStatus.ERROR) and (report[2].message or "").startswith(("Error: ", "Expected"))
+    good_rows, bad_rows = report.split()
+    assert good_rows.count() + bad_rows.count() == 4
+
+
+def test_several_rules_that_fail_on_the_data(people):
+    bad = R("*", "satisfies", "cast(email AS int) > 1")
+    report = validate(people, [bad, R("id", "is_complete"), bad, R("age", "has_max", 60, 0.0), bad, bad, R("email", "is_complete")])
+    assert [r.status.value for r in report] == ["ERROR", "PASS", "ERROR", "PASS", "ERROR", "ERROR", "FAIL"] and report.total_rows == 4
+    assert [r.status.value for r in validate(people, [bad])] == ["ERROR"]
+
+
+def test_a_table_that_cannot_be_read_is_no_rules_fault(people):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        validate(people.where("assert_true(id < 0) is null"), [R("id", "is_complete")])
+
+
 def test_empty_table(people):
     report = validate(people.where("id < 0"), [R("id", "is_complete"), R("id", "is_unique"), R("age", "has_min", 1), R("country", "has_entropy", 1)])
     assert [r.status.value for r in report] == ["PASS", "PASS", "FAIL", "FAIL"] and report.total_rows == 0
