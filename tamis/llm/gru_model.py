@@ -13,24 +13,43 @@ import numpy as np
 OTHER, END = 0, 1
 CLASS_WORDS = 64
 F32 = np.float32
+#: Training: streams side by side, the words that each of them has at least, and words between two updates of one stream.
+LANES = 128
+LANE_WORDS = 512
+WINDOW = 24
+#: Logits above this are not put into exp as they are.
+HIGH = F32(60)
 
 
 @dataclass
 class Gru:
-    """Parameters. Gates are laid out as update, reset, candidate."""
+    """Parameters, and sums of squared gradients by row of them. Gates are laid out as update, reset, candidate."""
 
-    embed: np.ndarray  # words x hidden
-    win: np.ndarray  # hidden x 3 hidden
+    given: np.ndarray  # words x 3 hidden: the word's part in the gates
     rec: np.ndarray  # hidden x 3 hidden
     bias: np.ndarray  # 3 hidden
-    cls: np.ndarray  # hidden x classes
+    cls: np.ndarray  # classes x hidden
     cls_bias: np.ndarray
-    out: np.ndarray  # classes x hidden x CLASS_WORDS
+    out: np.ndarray  # classes x CLASS_WORDS x hidden
     out_bias: np.ndarray  # classes x CLASS_WORDS
+    squares: dict[str, np.ndarray]
 
-    @property
-    def names(self) -> list[str]:
-        return ["embed", "win", "rec", "bias", "cls", "cls_bias", "out", "out_bias"]
+    NAMES = ("given", "rec", "bias", "cls", "cls_bias", "out", "out_bias")
+
+    def flat(self) -> np.ndarray:
+        """All numbers, one after another."""
+        return np.concatenate([x.ravel() for x in (*(getattr(self, k) for k in self.NAMES), *(self.squares[k] for k in self.NAMES))])
+
+    def copy(self) -> Gru:
+        return self.filled(self.flat())
+
+    def filled(self, flat: np.ndarray) -> Gru:
+        """A network of this shape with other numbers."""
+        at, parts = 0, []
+        for x in (*(getattr(self, k) for k in self.NAMES), *(self.squares[k] for k in self.NAMES)):
+            parts.append(flat[at : at + x.size].reshape(x.shape).astype(F32, copy=True))
+            at += x.size
+        return Gru(*parts[: len(self.NAMES)], dict(zip(self.NAMES, parts[len(self.NAMES) :], strict=True)))
 
 
 def class_of(word: np.ndarray) -> np.ndarray:
@@ -45,25 +64,193 @@ def create(counts: np.ndarray, hidden: int, seed: int) -> Gru:
     """Small random parameters; the biases are the words' frequencies, so that training starts from those."""
     words = len(counts)
     rng = np.random.default_rng(seed)
-    classes = int(class_of(np.array([max(1, words - 1)]))[0]) + 1
+    word = np.arange(words)
+    cls, place = class_of(word), place_of(word)
+    classes = int(cls.max(initial=1)) + 1
 
     def draw(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(F32)
 
-    m = Gru(
-        draw(words, hidden, scale=0.1), draw(hidden, 3 * hidden, scale=hidden**-0.5), draw(hidden, 3 * hidden, scale=hidden**-0.5), np.zeros(3 * hidden, F32),
-        draw(hidden, classes, scale=0.1), np.zeros(classes, F32), draw(classes, hidden, CLASS_WORDS, scale=0.1), np.zeros((classes, CLASS_WORDS), F32),
-    )
-    word = np.arange(words)
-    m.out_bias[:] = -1e9  # places beyond the last word get no probability
-    m.out_bias[class_of(word), place_of(word)] = np.log(counts + 1.0)
-    m.cls_bias[:] = np.log(np.bincount(class_of(word), weights=counts + 1.0, minlength=classes))
-    m.cls_bias -= m.cls_bias.mean()
-    return m
+    out_bias = np.full((classes, CLASS_WORDS), -1e9, F32)  # places beyond the last word get no probability
+    out_bias[cls, place] = np.log(counts + 1.0)
+    out_bias -= out_bias.max(axis=1, keepdims=True)
+    cls_bias = np.log(np.bincount(cls, weights=counts + 1.0, minlength=classes)).astype(F32)
+    parts = [
+        draw(words, 3 * hidden, scale=0.3), draw(hidden, 3 * hidden, scale=hidden**-0.5), np.zeros(3 * hidden, F32),
+        draw(classes, hidden, scale=0.1), cls_bias - cls_bias.max(), draw(classes, CLASS_WORDS, hidden, scale=0.1), out_bias,
+    ]
+    return Gru(*parts, {k: np.full(x.shape[:-1] if x.ndim > 1 and k != "out_bias" else x.shape, 1e-4, F32) for k, x in zip(Gru.NAMES, parts, strict=True)})
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _recur(m: Gru, given: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By step of a window: states before (0 in fresh lanes) and after, update and reset gates, candidates, candidates' recurrent part."""
+    steps, lanes = given.shape
+    size = h.shape[1]
+    drive = m.given[given.ravel()].reshape(steps, lanes, 3 * size)
+    drive += m.bias
+    came, states, inner, cand = (np.empty((steps, lanes, size), F32) for _ in range(4))
+    gates = np.empty((steps, lanes, 2 * size), F32)
+    some = fresh.any(axis=1).tolist()
+    for t in range(steps):
+        came[t] = h
+        h = came[t]
+        if some[t]:
+            h[fresh[t]] = 0
+        u = h @ m.rec
+        g, c = gates[t], cand[t]
+        np.add(drive[t, :, : 2 * size], u[:, : 2 * size], out=g)
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += F32(1)
+        np.reciprocal(g, out=g)
+        inner[t] = u[:, 2 * size :]
+        np.multiply(g[:, size:], inner[t], out=c)
+        c += drive[t, :, 2 * size :]
+        c *= F32(-2)
+        np.exp(c, out=c)
+        c += F32(1)
+        np.divide(F32(2), c, out=c)  # tanh(x) = 2 / (1 + exp(-2 x)) - 1
+        c -= F32(1)
+        after = states[t]
+        np.subtract(h, c, out=after)
+        after *= g[:, :size]
+        after += c
+        h = after
+    return came, states, gates, cand, inner
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits less a number for each row, and the logarithm of their sum with that number added again."""
+    if logits.max() < HIGH:
+        e = np.exp(logits)
+        total = e.sum(axis=1)
+        if total.min() > 1e-30:
+            return e, np.log(total)
+    top = logits.max(axis=1, keepdims=True)
+    e = np.exp(logits - top)
+    return e, np.log(e.sum(axis=1)) + top[:, 0]
+
+
+def _softmax_terms(m: Gru, flat: np.ndarray, wanted: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
+    """Natural log probabilities of the wanted words; with grad the gradient to flat and to the output's parameters."""
+    cls, place = class_of(wanted), place_of(wanted)
+    # In order of classes, so that each class is a slice.
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    x, cls, place = flat[order], cls[order], place[order]
+    rows = np.arange(len(x))
+    logits = x @ m.cls.T
+    logits += m.cls_bias
+    chosen = logits[rows, cls]
+    e, total = _softmax(logits)
+    log_p = chosen - total
+    back, grads = None, {}
+    if grad:
+        e *= (-1 / e.sum(axis=1))[:, None]
+        e[rows, cls] += 1
+        back = e @ m.cls
+        grads = {"cls": e.T @ x, "cls_bias": e.sum(axis=0), "out": np.zeros_like(m.out), "out_bias": np.zeros_like(m.out_bias)}
+    bounds = np.searchsorted(cls, np.arange(2, len(m.out) + 1)).tolist()
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 2):
+        if a == b:
+            continue
+        logits = x[a:b] @ m.out[k].T
+        logits += m.out_bias[k]
+        at = (rows[: b - a], place[a:b])
+        chosen = logits[at]
+        e, total = _softmax(logits)
+        log_p[a:b] += chosen - total
+        if grad:
+            e *= (-1 / e.sum(axis=1))[:, None]
+            e[at] += 1
+            back[a:b] += e @ m.out[k]
+            grads["out"][k], grads["out_bias"][k] = e.T @ x[a:b], e.sum(axis=0)
+    out = np.empty_like(log_p)
+    out[order] = log_p
+    if grad:
+        moved = np.empty_like(back)
+        moved[order] = back
+        back = moved
+    return out, back, grads
+
+
+def _climb(m: Gru, name: str, grad: np.ndarray, rate: float, rows: np.ndarray | slice = slice(None)) -> None:
+    """Adagrad with one sum of squares for each row: the mean square of the row's gradient is added to it."""
+    square = np.einsum("...i,...i->...", grad, grad) / F32(grad.shape[-1]) if m.squares[name].ndim < grad.ndim else grad * grad
+    sums = m.squares[name]
+    sums[rows] += square
+    step = F32(rate) / np.sqrt(sums[rows])
+    getattr(m, name)[rows] += grad * (step[..., None] if step.ndim < grad.ndim else step)
+
+
+def train(m: Gru, docs: list[np.ndarray], rate: float = 0.1, passes: int = 1) -> Gru:
+    """Climb the likelihood of documents (words, then the end), laid end to end and cut into lanes; changes m.
+
+    The state goes on from window to window, the gradient stops at a window's start. Each word is predicted once in a pass.
+    """
+    words = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    if not len(words):
+        return m
+    size = m.rec.shape[0]
+    begins = np.zeros(len(words), bool)
+    begins[np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1]))] = True
+    before = np.where(begins, END, np.concatenate(([END], words[:-1])))
+    lanes = max(1, min(LANES, len(words) // LANE_WORDS))
+    steps = -(-len(words) // lanes)
+    live = np.arange(lanes * steps) < len(words)
+
+    def laid(x: np.ndarray) -> np.ndarray:
+        return np.resize(x, lanes * steps).reshape(lanes, steps).T
+
+    before, wanted, fresh, live = laid(before), laid(words), laid(begins), laid(live)
+    for _ in range(passes):
+        h = np.zeros((lanes, size), F32)
+        for a in range(0, steps, WINDOW):
+            b = min(steps, a + WINDOW)
+            came, states, gates, cand, inner = _recur(m, before[a:b], fresh[a:b], h)
+            h = states[-1].copy()
+            use = live[a:b].ravel()
+            flat = states.reshape(-1, size)
+            whole = bool(use.all())
+            _, back, grads = _softmax_terms(m, flat if whole else flat[use], wanted[a:b].ravel() if whole else wanted[a:b].ravel()[use], True)
+            if not whole:
+                full = np.zeros_like(flat)
+                full[use] = back
+                back = full
+            back = back.reshape(b - a, lanes, size)
+            # What does not depend on the gradient: of the update gate, the candidate and the reset gate.
+            z, r = gates[:, :, :size], gates[:, :, size:]
+            by_z = (came - cand) * z * (1 - z)
+            by_c = (1 - z) * (1 - cand * cand)
+            by_r = inner * r * (1 - r)
+            du = np.empty((b - a, lanes, 3 * size), F32)
+            dc = np.empty((b - a, lanes, size), F32)
+            dh = np.zeros((lanes, size), F32)
+            some = fresh[a:b].any(axis=1).tolist()
+            turned = np.ascontiguousarray(m.rec.T)
+            for t in range(b - a - 1, -1, -1):
+                dh += back[t]
+                d, c = du[t], dc[t]
+                np.multiply(dh, by_z[t], out=d[:, :size])
+                np.multiply(dh, by_c[t], out=c)
+                np.multiply(c, by_r[t], out=d[:, size : 2 * size])
+                np.multiply(c, r[t], out=d[:, 2 * size :])
+                dh *= z[t]
+                dh += d @ turned
+                if some[t]:
+                    dh[fresh[a + t]] = 0
+            grads["rec"] = came.reshape(-1, size).T @ du.reshape(-1, 3 * size)
+            du[:, :, 2 * size :] = dc
+            flat_du, own = du.reshape(-1, 3 * size), before[a:b].ravel()
+            grads["bias"] = flat_du.sum(axis=0)
+            order = np.argsort(own.astype(np.int16), kind="stable")
+            ranked = own[order]
+            at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            by_word = np.add.reduceat(flat_du[order], at, axis=0)
+            n = F32(1 / max(1, int(use.sum())))
+            _climb(m, "given", by_word * n, rate, ranked[at])
+            for k, g in grads.items():
+                _climb(m, k, g * n, rate)
+    return m
 
 
 def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
@@ -95,117 +282,12 @@ def lay(docs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return given.T.copy(), wanted.T.copy(), doc.T.copy()
 
 
-def _recur(m: Gru, table: np.ndarray, given: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states of a window, and what the way back needs."""
-    size = h.shape[1]
-    states, kept = np.empty((len(given), *h.shape), F32), []
-    for t in range(len(given)):
-        if fresh[t].any():
-            h = np.where(fresh[t][:, None], F32(0), h)
-        g, u = table[given[t]], h @ m.rec
-        zr = _sigmoid(g[:, : 2 * size] + u[:, : 2 * size])
-        z, r, un = zr[:, :size], zr[:, size:], u[:, 2 * size :]
-        c = np.tanh(g[:, 2 * size :] + r * un)
-        kept.append((h, z, r, un, c))
-        h = c + z * (h - c)
-        states[t] = h
-    return states, kept
-
-
-def _softmax_terms(m: Gru, flat: np.ndarray, wanted: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
-    """Natural log probabilities of the wanted words; with grad the gradient to flat and to the output's parameters."""
-    cls, place = class_of(wanted), place_of(wanted)
-    rows = np.arange(len(flat))
-    logits = flat @ m.cls + m.cls_bias
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
-    log_p = logits[rows, cls] - np.log(total)
-    back, grads = None, {}
-    if grad:
-        d = -e / total[:, None]
-        d[rows, cls] += 1
-        back = d @ m.cls.T
-        grads = {"cls": flat.T @ d, "cls_bias": d.sum(axis=0), "out": np.zeros_like(m.out), "out_bias": np.zeros_like(m.out_bias)}
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(2, m.out.shape[0] + 1))
-    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), 2):
-        if a == b:
-            continue
-        own = order[a:b]
-        x = flat[own]
-        logits = x @ m.out[k] + m.out_bias[k]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        at = (np.arange(b - a), place[own])
-        log_p[own] += logits[at] - np.log(total)
-        if grad:
-            d = -e / total[:, None]
-            d[at] += 1
-            back[own] += d @ m.out[k].T
-            grads["out"][k], grads["out_bias"][k] = x.T @ d, d.sum(axis=0)
-    return log_p, back, grads
-
-
-def train(m: Gru, docs: list[np.ndarray], epochs: int, n_lanes: int = 64, window: int = 24, rate: float = 0.006, seed: int = 0) -> Gru:
-    """Adam over windows; the state goes on from window to window, the gradient stops at its start."""
-    rng = np.random.default_rng(seed)
-    moments = {k: (np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))) for k in m.names}
-    step, total = 0, None
-    for epoch in range(epochs):
-        given, wanted, doc = lay([docs[i] for i in rng.permutation(len(docs))], n_lanes)
-        fresh = np.ones_like(doc, bool)
-        fresh[1:] = doc[1:] != doc[:-1]
-        h = np.zeros((given.shape[1], m.rec.shape[0]), F32)
-        total = total or epochs * (-(-len(given) // window))
-        for a in range(0, len(given), window):
-            b = min(len(given), a + window)
-            table = m.embed @ m.win + m.bias
-            states, kept = _recur(m, table, given[a:b], fresh[a:b], h)
-            h = states[-1].copy()
-            live = doc[a:b].ravel() >= 0
-            flat = states.reshape(-1, states.shape[2])
-            back = np.zeros_like(flat)
-            n = max(1, int(live.sum()))
-            _, back[live], grads = _softmax_terms(m, flat[live], wanted[a:b].ravel()[live], True)
-            back = back.reshape(states.shape)
-            size = h.shape[1]
-            grads |= {"rec": np.zeros_like(m.rec)}
-            d_table = np.zeros_like(table)
-            dh = np.zeros_like(h)
-            for t in range(b - a - 1, -1, -1):
-                before, z, r, un, c = kept[t]
-                dh = dh + back[t]
-                dz, dc = dh * (before - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
-                dr = dc * un * r * (1 - r)
-                du = np.concatenate((dz, dr, dc * r), axis=1)
-                np.add.at(d_table, given[a + t], np.concatenate((dz, dr, dc), axis=1))
-                grads["rec"] += before.T @ du
-                dh = dh * z + du @ m.rec.T
-                dh[fresh[a + t]] = 0
-            grads |= {"bias": d_table.sum(axis=0), "win": m.embed.T @ d_table, "embed": d_table @ m.win.T}
-            step += 1
-            now = rate * (1 - 0.9 * step / total)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
-            scale = F32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
-            for k, g in grads.items():
-                g = g * scale
-                m1, m2 = moments[k]
-                m1 += F32(0.1) * (g - m1)
-                m2 += F32(0.01) * (g * g - m2)
-                p = getattr(m, k)
-                p += (F32(now) * (m1 / F32(1 - 0.9**step)) / (np.sqrt(m2 / F32(1 - 0.99**step)) + F32(1e-6))).astype(F32)
-    return m
-
-
 def score(m: Gru, docs: list[np.ndarray], n_lanes: int = 256, window: int = 32) -> np.ndarray:
     """Natural log probability of each whole document (words, then the end); the state is carried across windows."""
     out = np.zeros(len(docs))
     if not docs:
         return out
     given, wanted, doc = lay(docs, n_lanes)
-    table = m.embed @ m.win + m.bias
     h = np.zeros((given.shape[1], m.rec.shape[0]), F32)
     last = np.full(given.shape[1], -1, np.int32)
     for a in range(0, len(given), window):
@@ -215,7 +297,7 @@ def score(m: Gru, docs: list[np.ndarray], n_lanes: int = 256, window: int = 32)
             h, last, given, wanted, doc = h[on], last[on], given[:, on], wanted[:, on], doc[:, on]
             own = own[:, on]
         fresh = own != np.vstack((last[None, :], own[:-1]))
-        states, _ = _recur(m, table, given[a : a + window], fresh, h)
+        states = _recur(m, given[a : a + window], fresh, h)[1]
         h, last = states[-1], own[-1]
         live = own.ravel() >= 0
         log_p, _, _ = _softmax_terms(m, states.reshape(-1, states.shape[2])[live], wanted[a : a + window].ravel()[live], False)

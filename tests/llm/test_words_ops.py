@@ -146,9 +146,64 @@ def test_language_model_counts_and_gain(spark, sf, docs):
     for r in rows:
         own = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(r.doc_id, 7, 2), len(own), sum(w in counts for w in own), n)
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / ((n + 1) * (v + 1))) for w in own), rel_tol=1e-6)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in own), rel_tol=1e-6)
         assert r.score <= 0
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+    same = defaultdict(list)
+    for r in rows:
+        same[texts[r.doc_id]].append(r)
+    assert any(len(own) > 1 for own in same.values())
+    for own in same.values():
+        assert len({r.base_score for r in own}) == 1 and all(math.isclose(r.score, own[0].score, rel_tol=1e-4) for r in own)
+
+
+def test_every_word_of_training_documents_trains(docs, monkeypatch):
+    """The network is given all words of all training documents and no other, each once."""
+    from pyspark.sql import functions as F
+
+    narrow = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), (F.col("doc_id") % 3 != 0).alias("__training"))
+    counts = gru_lm.unigrams(narrow.where("__training").select("__text"), 64, 1000)
+    coded = gru_lm.code_documents(narrow, counts, 4)
+    wanted = Counter(len(words(r.text)) for r in docs.collect() if r.doc_id % 3)
+    rows = coded.where("__round >= 0").collect()
+    assert Counter(len(r["__places"]) // 2 for r in rows) == wanted and {r["__round"] for r in rows} == {0, 1, 2, 3}
+    given = []
+    for batch in gru_lm._documents(iter(coded.where("__round >= 0").select("__places").toArrow().to_batches()), 5000):
+        assert sum(map(len, batch[1])) <= max(5000, max(map(len, batch[1])))
+        given += batch[1]
+    assert Counter(len(d) - 1 for d in given) == wanted and all(d[-1] == gru_model.END for d in given)
+    place = np.concatenate([d[:-1] for d in given])
+    assert Counter(place[place > 1].tolist()) == Counter({i: int(n) for i, n in enumerate(counts.vocabulary_counts) if i > 1})
+
+
+def test_gradients():
+    """What training adds to the parameters is along the likelihood's numerical gradient."""
+    rng = np.random.default_rng(3)
+    text = [np.append(rng.integers(2, 150, 17), 1).astype(np.int32)]
+    m = small_network()
+    seen = {}
+    real = gru_model._climb
+    try:
+        gru_model._climb = lambda m, name, grad, rate, rows=slice(None): seen.setdefault(name, (rows, grad.copy()))
+        gru_model.train(m, text)
+    finally:
+        gru_model._climb = real
+
+    def likelihood():
+        return gru_model.score(m, text, n_lanes=1)[0] / 18
+
+    for name, (rows, grad) in seen.items():
+        values = getattr(m, name)
+        full = np.zeros_like(values)
+        full[rows] = grad
+        for at in zip(*(x[:6] for x in np.nonzero(np.abs(full) > 0.3 * np.abs(full).max())), strict=True):
+            old = values[at]
+            values[at] = old + 0.05
+            up = likelihood()
+            values[at] = old - 0.05
+            down = likelihood()
+            values[at] = old
+            assert math.isclose((up - down) / 0.1, full[at], rel_tol=0.08, abs_tol=2e-4), (name, at)
 
 
 def small_network(seed=1):
@@ -175,18 +230,18 @@ def test_training_learns_an_order():
     texts = [np.append((np.arange(30) + rng.integers(0, 100)) % 100 + 2, 1).astype(np.int32) for _ in range(200)]
     m = small_network()
     before = gru_model.score(m, texts).sum()
-    assert gru_model.score(gru_model.train(m, texts, 60), texts).sum() > 0.8 * before
+    assert gru_model.score(gru_model.train(m, texts, passes=60), texts).sum() > 0.8 * before
 
 
 def test_language_model_of_odd_rows(odd):
     from pyspark.sql import functions as F
 
-    rows = gru_lm.log_likelihood(odd, F.col("doc_id") != 9, hidden=8, epochs=1).collect()
+    rows = gru_lm.log_likelihood(odd, F.col("doc_id") != 9, hidden=8, rounds=2).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())
     assert all(math.isfinite(r.score) and r.n_tokens >= 1 for r in rows)
-    none = gru_lm.log_likelihood(odd, F.lit(False), hidden=8, epochs=1).collect()
+    none = gru_lm.log_likelihood(odd, F.lit(False), hidden=8, rounds=2).collect()
     assert {(r.train_tokens, r.n_known) for r in none} == {(0, 0)}
-    assert gru_lm.log_likelihood(odd.where("doc_id < 0"), F.lit(True), hidden=8, epochs=1).count() == 0
+    assert gru_lm.log_likelihood(odd.where("doc_id < 0"), F.lit(True), hidden=8, rounds=2).count() == 0
 
 
 # op10
