@@ -62,12 +62,12 @@ def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> It
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, text: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with the kernel applied to pieces of bounded size."""
+def arrow_map(df: DataFrame, text: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = CHUNK_BYTES) -> DataFrame:
+    """mapInArrow with the kernel applied to pieces of about size bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_chunks(batch, text):
+            for piece in text_chunks(batch, text, size):
                 yield kernel(piece)
 
     return df.mapInArrow(run, schema)

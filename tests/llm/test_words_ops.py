@@ -423,3 +423,27 @@ def test_language_ties_of_short_texts_are_rejected(spark):
     told = zstd_langid.Model(("en", "de"), (text.lower().encode(), b"other words"))
     assert [(r.lang_pred, r.rejected) for r in zstd_langid.identify(df.where("doc_id = 1"), told).collect()] == [("en", False)]
     assert [r.rejected for r in zstd_langid.identify(df, zstd_langid.Model(("en",), (b"other words",))).collect()] == [False, False]
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_passages_behind_words_that_all_have(spark, changed):
+    """150 pairs of documents share 60 (with a changed word, 75) words each, of which 45 are common to all: nearly every key is hot."""
+    rng = random.Random(13)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, rows = [f"common{i}" for i in range(45)], []
+    for _ in range(150):
+        passage = [*common, *fresh(30 if changed else 15)]
+        for copy in range(2):
+            own = list(passage)
+            if changed and copy:
+                own[20] = fresh(1)[0]
+            rows.append([*fresh(30), *own, *fresh(30)])
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id bigint, text string").repartition(4)
+    found = defaultdict(list)
+    for r in compact_windows.repeated_passages(df).collect():
+        found[r.doc_id].append(r)
+    whole = [i for i in range(300) if any(abs(r.start_word - 30) <= 5 and r.end_word >= len(rows[i]) - 35 and r.shared_with // 2 == i // 2 for r in found[i])]
+    assert len(whole) >= 0.98 * 300, len(whole)
