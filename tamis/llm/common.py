@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise
 
-__all__ = ["BROADCAST_ROWS", "HASH_BITS", "arrow_map", "bounded_broadcast", "discard", "hash52", "join_groups", "materialise", "text_chunks"]
+__all__ = ["BROADCAST_ROWS", "HASH_BITS", "arrow_map", "bounded_broadcast", "discard", "hash52", "join_copies", "join_groups", "materialise", "text_chunks"]
 
 #: Rows up to which a list of ids or keys (at most some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -49,6 +49,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(F.broadcast(large), key).unionByName(rest.join(groups.where(F.col(size) <= least), key, how))
 
 
+def join_copies(rows: DataFrame, texts: DataFrame, key: str, spread: Column, most: int) -> DataFrame:
+    """rows joined with texts, which have one row for each key.
+
+    A key's rows are dealt to parts of about most rows by the hash spread, and its text is copied to each part: no task gets all
+    rows of a key. Keys of one part, nearly all, have one copy.
+    """
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")).where("__parts > 1")
+    parts = bounded_broadcast(materialise(parts, "parts"))
+    dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(spread, F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
+    return dealt.join(texts.join(parts, key, "left").withColumn("__part", copies).drop("__parts"), [key, "__part"]).drop("__part")
+
+
 def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about size bytes of text; a longer text is a piece of its own, whole."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

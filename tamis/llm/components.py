@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_groups, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a > b). Large: link a node's larger neighbours to its least one. Small: link its smaller ones."""
+def _star(edges: DataFrame, total: int, large: bool, name: str) -> DataFrame:
+    """edges (a > b, total of them). Large: link a node's larger neighbours to its least one. Small: link its smaller ones.
+
+    A hub's edges stay where they are: its least neighbour is broadcast to them.
+    """
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = near.join(least, "a")
+    least = materialise(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
+    joined = join_groups(near, least, "a", "n", 2 * total)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    done = materialise(out.where("a != b").distinct(), f"{name}-stars")
+    discard(least)
+    return done
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -28,12 +33,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Self links are left out. Each round is stored in the shared folder; rounds grow with the logarithm of the longest path.
     """
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     state = None
     while True:
-        edges = materialise(_star(_star(edges, True), False), f"{name}-stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
+        large = _star(edges, state[0], True, name)
+        small = _star(large, state[0], False, name)
+        discard(edges, large)
+        edges = small
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

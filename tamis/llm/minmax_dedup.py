@@ -6,11 +6,15 @@ Values are cut into bands of ``rows``; documents that agree on a band are candid
 30 bands, a pair at similarity 0.8 is missed with a probability of 7 in a million, a more similar one with less.
 
 1. Documents with equal shingle sets are one class (a group of any size is reduced map side).
-2. Bands of classes give candidate clusters, by stars to each band's least class.
-3. A cluster is cut into blocks of bounded size. Pairs of blocks whose sizes allow a link are compared in full, by the
-   products of their shingle incidence matrices: every pair within a cluster is confirmed or refused on its full sets,
-   and a task holds two blocks at most. Tasks give spanning stars of the links they find, never all pairs.
-4. Components of those links are the documents' components.
+2. Classes of a band that MOST_CLASSES or fewer have are candidate pairs. Those of larger bands are dense: they may be copies, or
+   texts that only share frequent words. Dense classes are paired again by their rarest shingles, so many that two sets
+   similar enough must have one of them in common (a prefix filter; no pair that could link is lost).
+   Shingles that many classes have among their rarest make families.
+3. Candidate pairs are confirmed on full sets: clusters that fit into a block by the products of shingle incidence matrices, in
+   one task each; pairs of larger clusters pair by pair, so that a long chain costs no more than its pairs.
+4. Families are cut into blocks of bounded size, by size of set. Each block is compared with about HUBS classes of its family;
+   only classes that those did not bring into one component are compared with all blocks whose sizes allow a link.
+5. Components of the links found are the documents' components. Tasks give spanning stars of their links, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_broadcast, join_groups, materialise
+from .common import BROADCAST_ROWS, arrow_map, bounded_broadcast, discard, join_copies, join_groups, materialise
 from .components import components
 from .wordscan import distinct, mix, scan, shingles
 
@@ -31,6 +35,12 @@ ROWS = 5
 #: Shingles in a block, and the documents it may have at most.
 BLOCK_SHINGLES = 150_000
 BLOCK_DOCS = 512
+#: Classes up to which all of a band are pairs, classes of a family that all others are compared with, pairs that share one copy of a set.
+MOST_CLASSES = 16
+HUBS = 8
+PAIRS = 256
+#: Slots in which the frequency of shingles is counted, to tell which are rare. Shingles in one slot only make the filter coarser.
+SLOTS = 1 << 20
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -182,36 +192,183 @@ def compare_blocks(tasks: DataFrame, percent: int) -> DataFrame:
     return laid.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links a, b between classes (__k1, __n, __rep, __bands), confirmed on full sets; spanning, not all."""
-    buckets = classes.select("__k1", F.explode("__bands").alias("__band"))
-    hubs = buckets.groupBy("__band").agg(F.min("__k1").alias("b"), F.count(F.lit(1)).alias("__m")).where("__m > 1").select("__band", "b")
-    candidates = buckets.join(hubs, "__band").select(F.col("__k1").alias("a"), "b")
-    clusters = components(candidates, "near-candidates").withColumnRenamed("node", "__k1")
+def shingle_slots(sets: DataFrame) -> np.ndarray:
+    """Sets that have a shingle in each slot, at least: SLOTS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column("__set"):
+                np.add.at(total, (np.frombuffer(raw.as_buffer(), "<u8") & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    counts = sets.select("__set").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, frequency: np.ndarray, percent: int) -> DataFrame:
+    """__shingle, a (class), n (size): of each set of n the n - least + 1 rarest shingles, least being what a partner must share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, values, sizes = [], [], []
+            for node, raw in zip(batch.column("__k1").to_pylist(), batch.column("__set"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), "<u8")
+                least = -(-percent * len(own) // 100)
+                rank = np.lexsort((own, frequency[(own & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                values.append(own[rank[: len(own) - least + 1]])
+                nodes.append(node)
+                sizes.append(len(own))
+            many = [len(x) for x in values]
+            data = _signed(np.concatenate(values)) if values else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(data), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int64), many))], ["__shingle", "a", "n"])
+
+    return sets.select("__k1", "__set").mapInArrow(run, "__shingle bigint, a bigint, n bigint")
+
+
+def _groups(rows: DataFrame, key: str, total: int, name: str) -> DataFrame:
+    """rows (key, a, n; total of them) of keys that several classes have, with the number __m of rows."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__m"), F.min("a").alias("__lo"), F.max("a").alias("__hi")).where("__lo < __hi").drop("__lo", "__hi")
+    counts = materialise(counts, f"{name}-counts")
+    out = materialise(join_groups(rows, counts, key, "__m", total, BROADCAST_ROWS), name)
+    discard(counts)
+    return out
+
+
+def _pairs(groups: DataFrame, key: str, percent: int) -> DataFrame:
+    """a, b: every two classes of each key that MOST_CLASSES or fewer have, if their sizes allow a link."""
+    lists = groups.where(F.col("__m") <= MOST_CLASSES).groupBy(key).agg(F.collect_set(F.struct("a", "n")).alias("all"))
+    both = lists.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.a < y.a")
+    return both.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+
+
+def _stars(groups: DataFrame, key: str) -> DataFrame:
+    """a, b: the classes of each key that more have, with the least one."""
+    large = groups.where(F.col("__m") > MOST_CLASSES)
+    hubs = materialise(large.groupBy(key).agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("__size")), "near-hubs")
+    return join_groups(large.select(key, "a"), hubs, key, "__size", large.count()).select("a", "b")
+
 
-    # A set's place among its cluster's is after all smaller ones and, among those of its size, at a hashed fraction of their weight:
-    # blocks follow from weights added up by cluster and size, and have about BLOCK_SHINGLES; no cluster is sorted in one task.
+def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that link."""
+    unique = sets.dropDuplicates(["__k1"])
+    with_a = join_copies(pairs, unique.select(F.col("__k1").alias("a"), F.col("__set").alias("__x")), "a", F.xxhash64("b"), PAIRS)
+    both = join_copies(with_a, unique.select(F.col("__k1").alias("b"), F.col("__set").alias("__y")), "b", F.xxhash64("a"), PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("__x"), batch.column("__y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.select("a", "b", "__x", "__y").mapInArrow(run, "a bigint, b bigint")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """members (root, __k1, __n) with a __block, of bounded size.
+
+    A set's place among its family's is after all smaller ones and, among those of its size, at a hashed fraction of their weight:
+    blocks follow from weights added up by family and size, and have about BLOCK_SHINGLES; no family is sorted in one task.
+    """
     weight = F.greatest(F.col("__n"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS))
-    members = materialise(clusters.join(classes.select("__k1", "__n", "__rep"), "__k1"), "near-clusters")
-    sizes = members.groupBy("root", "__n").agg(F.sum(weight).alias("__w"))
+    sizes = members.groupBy("root", "__n").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy("root").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = materialise(sizes.withColumn("__start", F.coalesce(F.sum("__w").over(before), F.lit(0))), "near-sizes")
+    sizes = sizes.withColumn("__start", F.coalesce(F.sum("__w").over(before), F.lit(0)))
+    key = F.xxhash64("root", "__n").alias("__size")
+    sizes = materialise(sizes.select(key, F.col("root").alias("__r"), F.col("__n").alias("__s"), "__w", "__start", "__rows"), "near-sizes")
+    placed = join_groups(members.withColumn("__size", key), sizes, "__size", "__rows", members.count()).where("root = __r and __n = __s")
     fraction = F.pmod(F.xxhash64("__k1"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    members = members.join(bounded_broadcast(sizes), ["root", "__n"]).withColumn("__block", F.floor((F.col("__start") + fraction * F.col("__w")) / BLOCK_SHINGLES).cast("int"))
-    members = members.select("root", "__k1", "__n", "__rep", "__block")
-    members = materialise(members, "near-members")
-    blocks = members.groupBy("root", "__block").agg(F.min("__n").alias("__least"), F.max("__n").alias("__most"))
-    # Blocks are in order of size, so a smaller set's block comes first, and a pair can link if percent of the larger fits.
-    left, right = (blocks.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("__block", "__least", "__most"))) for s in "ij")
-    pairs = left.join(right, "root").where(f"__block_i <= __block_j and 100 * __most_i >= {percent} * __least_j")
-    pairs = pairs.select("root", F.col("__block_i").alias("__i"), F.col("__block_j").alias("__j"), F.xxhash64("root", "__block_i", "__block_j").alias("__task"))
-    sides = pairs.select("root", "__task", F.col("__i").alias("__block"), F.lit(0).alias("__side"))
-    sides = sides.unionByName(pairs.where("__i != __j").select("root", "__task", F.col("__j").alias("__block"), F.lit(1).alias("__side")))
-
-    texts = docs.join(bounded_broadcast(members.select("__rep").distinct()), docs["__id"].eqNullSafe(F.col("__rep")), "left_semi")
-    sets = full_sets(texts, width).join(bounded_broadcast(members.select("__k1", "root", "__block")), "__k1")
-    tasks = sets.join(bounded_broadcast(sides), ["root", "__block"])
-    return compare_blocks(tasks, percent)
+    block = F.floor((F.col("__start") + fraction * F.col("__w")) / BLOCK_SHINGLES).cast("int")
+    out = materialise(placed.select("root", "__k1", "__n", block.alias("__block")), "near-members")
+    discard(sizes)
+    return out
+
+
+def _laid(members: DataFrame, tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows for compare_blocks: the sets of members (root, __k1, __block) for each task (root, __block, __task, __side) of their block."""
+    listed = tasks.groupBy("root", "__block").agg(F.collect_list(F.struct("__task", "__side")).alias("__tasks"))
+    listed = listed.select(F.xxhash64("root", "__block").alias("__place"), F.col("root").alias("__r"), F.col("__block").alias("__b"), "__tasks")
+    wanted = members.withColumn("__place", F.xxhash64("root", "__block")).join(bounded_broadcast(listed), "__place").where("root = __r and __block = __b").select("__k1", "__tasks")
+    return sets.join(bounded_broadcast(wanted), "__k1").select(F.explode("__tasks").alias("t"), "__k1", "__set").select("t.*", "__k1", "__set")
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b within families: members have root (their family), __k1, __n."""
+    counts = materialise(members.groupBy("root").agg(F.count(F.lit(1)).alias("__size")), "near-families")
+    share = F.pmod(F.xxhash64("__k1", F.lit(7)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    hub = (share < F.lit(float(HUBS)) / F.col("__size")) | (F.col("__k1") == F.col("root"))
+    members = materialise(join_groups(members, counts, "root", "__size", members.count()).withColumn("__hub", hub).drop("__size"), "near-family-members")
+    hubs = members.where("__hub").select("root", "__k1", F.lit(-1).alias("__block"))
+    rest = blocks(members.where("NOT __hub").drop("__hub"))
+
+    # Each block of the rest with the hubs; and the hubs with each other.
+    own = rest.select("root", "__block").distinct().withColumn("__task", F.xxhash64("root", "__block"))
+    among = hubs.select("root", "__block").distinct().withColumn("__task", F.xxhash64("root", F.lit(-1)))
+    tasks = own.withColumn("__side", F.lit(0)).unionByName(own.select("root", F.lit(-1).alias("__block"), "__task", F.lit(1).alias("__side"))).unionByName(among.withColumn("__side", F.lit(0)))
+    first = materialise(compare_blocks(_laid(rest.select("root", "__k1", "__block").unionByName(hubs), tasks, sets), percent), "near-links")
+
+    # Who is not in the component of the family's root has to be compared with all.
+    found = materialise(components(first, "near-family"), "near-found").select(F.col("node").alias("__k1"), F.col("root").alias("__label"))
+    mains = found.join(bounded_broadcast(counts.select(F.col("root").alias("__k1"))), "__k1", "left_semi").select(F.col("__k1").alias("root"), F.col("__label").alias("__main"))
+    labelled = members.select("root", "__k1", "__n").join(found, "__k1", "left")
+    labelled = join_groups(labelled, mains.join(counts, "root"), "root", "__size", members.count(), how="left")
+    labelled = materialise(labelled.select("root", "__k1", "__n", F.coalesce(F.col("__label") == F.col("__main"), F.lit(False)).alias("__in")), "near-labelled")
+    apart = labelled.where("NOT __in").select("root", "__k1", "__n")
+    if apart.isEmpty():
+        return first
+    with_apart = apart.select("root").distinct()
+    outer, inner = blocks(apart), blocks(labelled.where("__in").join(bounded_broadcast(with_apart), "root", "left_semi").select("root", "__k1", "__n"))
+    placed = materialise(outer.unionByName(inner.withColumn("__block", -2 - F.col("__block"))), "near-placed")
+    ranges = materialise(placed.groupBy("root", "__block").agg(F.min("__n").alias("__least"), F.max("__n").alias("__most")), "near-ranges")
+    left, right = (ranges.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("__block", "__least", "__most"))) for s in "ij")
+    fits = f"100 * __most_i >= {percent} * __least_j and 100 * __most_j >= {percent} * __least_i"
+    pairs = left.where("__block_i >= 0").join(right, "root").where(f"(__block_j < 0 or __block_i <= __block_j) and {fits}")
+    pairs = materialise(pairs.select("root", "__block_i", "__block_j", F.xxhash64("root", "__block_i", "__block_j").alias("__task")), "near-tasks")
+    sides = pairs.select("root", F.col("__block_i").alias("__block"), "__task", F.lit(0).alias("__side"))
+    sides = sides.unionByName(pairs.where("__block_i != __block_j").select("root", F.col("__block_j").alias("__block"), "__task", F.lit(1).alias("__side")))
+    return first.unionByName(compare_blocks(_laid(placed.select("root", "__k1", "__block"), sides, sets), percent))
+
+
+def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links a, b between classes (__k1, __n, __rep, __bands), confirmed on full sets; spanning, not all."""
+    bands = classes.select(F.explode("__bands").alias("__band"), F.col("__k1").alias("a"), F.col("__n").alias("n"))
+    shared = _groups(bands, "__band", classes.agg(F.sum(F.size("__bands"))).first()[0] or 0, "near-bands")
+    sizes = classes.select("__k1", "__n", "__rep")
+    wanted = materialise(sizes.join(bounded_broadcast(shared.select(F.col("a").alias("__k1")).distinct()), "__k1", "left_semi"), "near-wanted")
+    texts = docs.join(bounded_broadcast(wanted.select("__rep").distinct()), docs["__id"].eqNullSafe(F.col("__rep")), "left_semi")
+    sets = materialise(full_sets(texts, width).join(bounded_broadcast(wanted.select("__k1")), "__k1", "left_semi"), "near-sets")
+
+    pairs, families = _pairs(shared, "__band", percent), None
+    dense = materialise(shared.where(F.col("__m") > MOST_CLASSES).select(F.col("a").alias("__k1")).distinct(), "near-dense")
+    if not dense.isEmpty():
+        own = sets.join(bounded_broadcast(dense), "__k1", "left_semi")
+        rows = materialise(prefixes(own, shingle_slots(own), percent), "near-prefixes")
+        rare = _groups(rows, "__shingle", rows.count(), "near-rare")
+        discard(rows)
+        pairs = pairs.unionByName(_pairs(rare, "__shingle", percent))
+        families = materialise(_stars(rare, "__shingle"), "near-stars")
+    pairs = materialise(pairs.distinct(), "near-pairs")
+
+    # Clusters of pairs that fit into a block are a task each; of larger ones, the pairs.
+    weight = F.greatest(F.col("__n"), F.lit(BLOCK_SHINGLES // BLOCK_DOCS))
+    clusters = components(pairs, "near-clusters").withColumnRenamed("node", "__k1").join(sizes.select("__k1", "__n"), "__k1")
+    clusters = materialise(clusters, "near-clusters")
+    heavy = materialise(clusters.groupBy("root").agg(F.sum(weight).alias("__w")).where(F.col("__w") > BLOCK_SHINGLES).select("root"), "near-heavy")
+    light = clusters.join(bounded_broadcast(heavy), "root", "left_anti").select("__k1", F.col("root").alias("__task"))
+    links = compare_blocks(sets.join(bounded_broadcast(light), "__k1").withColumn("__side", F.lit(0)), percent)
+    if not heavy.isEmpty():
+        inside = clusters.join(bounded_broadcast(heavy), "root", "left_semi").select(F.col("__k1").alias("a"))
+        links = links.unionByName(compare_pairs(pairs.join(bounded_broadcast(inside), "a", "left_semi"), sets, percent))
+    if families is not None and not families.isEmpty():
+        members = components(families, "near-families").withColumnRenamed("node", "__k1").join(sizes.select("__k1", "__n"), "__k1")
+        links = links.unionByName(family_links(materialise(members, "near-family"), sets, percent))
+    return links
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,6 +114,57 @@ def test_near_components_in_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in minmax_dedup.near_components(df, 4).collect()) == brute_near(df.collect(), 4, 80)
 
 
+def candidates(df, width=4):
+    """Candidate pairs and classes in families of df."""
+    narrow = df.selectExpr("doc_id AS __id", "text AS __text")
+    marked = minmax_dedup.sketch(narrow, width, minmax_dedup.PERMUTATIONS, minmax_dedup.ROWS)
+    bands = marked.selectExpr("explode(__bands) AS __band", "__k1 AS a", "__n AS n")
+    shared = minmax_dedup._groups(bands, "__band", bands.count(), "test-bands")
+    pairs = minmax_dedup._pairs(shared, "__band", 80)
+    sets = minmax_dedup.full_sets(narrow, width).join(shared.where("__m > 16").selectExpr("a AS __k1").distinct(), "__k1", "left_semi")
+    rows = minmax_dedup.prefixes(sets, minmax_dedup.shingle_slots(sets), 80)
+    rare = minmax_dedup._groups(rows, "__shingle", rows.count(), "test-rare")
+    return pairs.unionByName(minmax_dedup._pairs(rare, "__shingle", 80)).distinct().count(), minmax_dedup._stars(rare, "__shingle").count()
+
+
+def test_a_chain_costs_its_pairs_not_its_square(spark):
+    """A chain of 20,000 documents, each at similarity 0.6 to the next: one cluster of candidates, no link."""
+    def text(i):
+        return " ".join(f"w{i * 10 + j}" for j in range(43))  # 40 shingles, 30 of which the next one has
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(20_000)], "doc_id bigint, text string").repartition(4)
+    pairs, families = candidates(df)
+    assert 15_000 < pairs < 60_000 and families == 0
+    assert minmax_dedup.near_components(df, 4).where("component_id != doc_id").count() == 0
+
+
+def test_frequent_words_make_no_pairs(spark):
+    """3000 documents share 240 of 300 words, and none links: their rarest shingles are their own."""
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(240))
+    df = spark.createDataFrame([(i, f"{common} {' '.join(f'u{rng.randrange(10**9)}' for _ in range(60))}") for i in range(3000)], "doc_id bigint, text string").repartition(4)
+    pairs, families = candidates(df)
+    assert pairs == 0 and families < 100  # those that have a rare shingle in the slot of a frequent one
+    assert minmax_dedup.near_components(df, 4).where("component_id != doc_id").count() == 0
+
+
+def test_families(spark, monkeypatch):
+    """Large families of near copies, some of which link with few others, in small blocks."""
+    monkeypatch.setattr(minmax_dedup, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(minmax_dedup, "BLOCK_DOCS", 25)
+    rng, rows = random.Random(7), []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(150)]
+        for i in range(150):
+            text = list(base)
+            for at in rng.sample(range(150), rng.choice([1, 2, 4, 5])):
+                text[at] = f"new{rng.randrange(60 if i % 3 else 10**9)}"
+            rows.append((len(rows), " ".join(text[: rng.choice([150, 150, 130])])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert candidates(df)[1] > 100
+    assert Counter(tuple(r) for r in minmax_dedup.near_components(df, 4).collect()) == brute_near(df.collect(), 4, 80)
+
+
 def test_op8_sql(spark, sf, duck):
     same_rows(QUERIES["op8_minmax_dedup"](spark, sf), duck.sql(ORACLES["op8_minmax_dedup"]).df())
 
