@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -340,12 +343,85 @@ def test_main_text():
     assert html_paths.main_text("<p>" * 3000 + "deep words, here.") == "deep words, here."
 
 
+class ArticleText(HTMLParser):
+    """The blocks of a page's article, by the standard library's parser: for pages whose main text is just that."""
+
+    BLOCKS = {"article", "p", "h1", "h2", "h3", "div", "section", "ul", "li", "pre", "blockquote"}
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        self.blocks += [""] if tag in self.BLOCKS else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        self.blocks += [""] if tag in self.BLOCKS else []
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+    def text(self, source):
+        self.feed(source)
+        self.close()
+        return "\n".join(x for b in self.blocks if (x := re.sub(r"[\x20\x09-\x0D]+", " ", b).strip(" ")))
+
+
+SENTENCES = [f"Paragraph {i} tells, at some length, of the river and its boats; of the town, its people, and their work." for i in range(9)]
+BODY = "".join(f"<p>{x}</p>" for x in SENTENCES)
+LINKS = '<div class="k1"><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul></div>'
+COMMENT = '<div class="k4"><b>Ann</b><p>I liked this very much, as a reader, and say so here.</p></div>'
+REPORT = "The report, as told to all holders, is good."
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<nav>Menu</nav><article><section>{BODY}</section><section><h2>More</h2><p>Last words, here.</p></section></article>", [*SENTENCES, "More", "Last words, here."]),
+        (f'<div class="layout has-sidebar"><div class="post no-comments">{BODY}</div></div>', SENTENCES),
+        (f'<article>{BODY}<p class="share-holder-report">{REPORT}</p></article>', [*SENTENCES, REPORT]),
+        (f'<article>{BODY}<div class="share-holder-report"><p>{REPORT}</p></div>{BODY}</article>', [*SENTENCES, REPORT, *SENTENCES]),
+        (f"<form action=/x>{LINKS}<div class=a>{BODY}</div></form>", SENTENCES),
+        (f"<div class=a>{BODY}</div><form action=/x><p>Name, please: <input> and, if you like, your address.</p></form>", SENTENCES),
+        (f'{LINKS}<div class="k2"><h1>Title of it</h1>{BODY}<div class="k7">Buy now!</div>{BODY}</div><div class="k3">{COMMENT}</div><div class="k9">Imprint, 2020.</div>', ["Title of it", *SENTENCES, *SENTENCES]),
+        (f'{LINKS}<div class="k2"><h1>Title of it</h1>{BODY}{COMMENT}{COMMENT}</div>', ["Title of it", *SENTENCES]),
+        (f"{LINKS}<div class=post><div class=s1>{BODY}</div><div class=s2><h2>End</h2><p>That, then, is all.</p></div></div><div class=cm><p>A reader says that, well, it is so.</p></div>", [*SENTENCES, "End", "That, then, is all."]),
+        (f"<article>{BODY}<article><p>A comment, as the standard has them, on the article around it.</p></article></article>", SENTENCES),
+        (f"<main><div class=ad>Buy, buy, and buy more of it, dear readers.</div><p>{SENTENCES[0]}</p></main><div class=ad>Buy, now, all of this, and that, and more than that, until nothing at all is left, and then, again, buy.</div>", [SENTENCES[0]]),
+        (f"<article><h1>Title</h1>{BODY}<ul><li>First item</li><li>Second item</li></ul><table><tr><td>1<td>2</table><ul><li><a href=/1>Read on</a></li><li><a href=/2>And on</a></li></ul></article>", ["Title", *SENTENCES, "First item", "Second item", "1", "2"]),
+    ],
+    ids=["sections", "wrapper", "class word", "class word within", "page in form", "form", "neutral names", "neutral comments", "parts", "nested article", "small article", "lists"],
+)
+def test_main_text_of_pages(page, wanted):
+    assert html_paths.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>").split("\n") == wanted
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000 + "x, y.", "<div class=x>" * 100_000 + "x, y." + "</div>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000 + "x", "<p><table><tr><td>" + "<div>" * 100_000 + "x, y.", '<p "' * 200_000 + ">", "<" * 1_000_000, "&" * 1_000_000, "<!--" * 250_000, "<script>" * 100_000, "<p " + "a " * 500_000 + ">x."],
+    ids=["open tags", "quotes", "deep", "deep, closed", "stray ends", "deep in a cell", "quotes, closed", "less-than", "ampersands", "comments", "scripts", "attributes"],
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    def seconds(source):
+        began = time.process_time()
+        html_paths.main_text(source)
+        return time.process_time() - began
+
+    assert seconds(page) < 8 * min(seconds(page[: len(page) // 4]) for _ in range(2)) + 1
+
+
 def test_op6_query(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = QUERIES["op6_tag_paths"](spark, sf).collect()
     assert len(rows) == len(pages)
     for r in rows:
-        assert r.text == html_paths.main_text(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+        assert r.text == ArticleText().text(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
         assert "\n\n" not in r.text and "  " not in r.text
     assert sum(r.n_chars > 0 for r in rows) >= 0.95 * len(rows)
     odd_pages = spark.createDataFrame([(None, None, None, "t"), (1, "u", "", "t"), (1, "u", "", "t")], "page_id bigint, url string, html string, text string")
