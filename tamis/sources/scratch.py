@@ -37,10 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    by: columns for whose values the rows lie in folders of their own.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
