@@ -10,8 +10,9 @@ import pytest
 from conftest import same_rows
 from odd_rows import docs, odd  # noqa: F401
 
-from tamis.llm import exact_dedup, mixing, sharding
+from tamis.llm import common, exact_dedup, mixing, sharding
 from tamis.llm.queries import ORACLES, QUERIES
+from tamis.sources import scratch
 
 
 def check_shards(rows, expected, shards):
@@ -82,11 +83,23 @@ def test_exact_dedup(odd, docs, max_bits):
     assert exact_dedup.report(odd.where("doc_id < 0")).count() == exact_dedup.drop_copies(odd.where("doc_id < 0")).count() == 0
 
 
-def test_full_filter_is_still_exact(spark):
-    """Far more keys than bits: every row takes the shuffled way."""
+def test_filter_in_parts_does_not_fill(spark):
+    """Far more keys than one filter's bits: most rows that are alone still go straight through."""
     df = spark.range(70_000).selectExpr("id AS doc_id", "concat('t', id % 69000) AS text")
-    rows = exact_dedup.report(df, max_bits=32_768)
+    rows = exact_dedup.report(df, max_bits=131_072)
     assert rows.where("kept").count() == 69_000 and rows.where("group_size = 2").count() == 2000
+    keys = df.select(exact_dedup.text_key(df.text).alias("k"))
+    marked = exact_dedup.possibly_repeated(keys, keys, "k", 131_072)
+    assert marked.count() == 70_000 and 2000 <= marked.where("__repeated").count() < 5000
+    kept = exact_dedup.drop_copies(df, max_bits=131_072)
+    assert kept.count() == 69_000 and kept.selectExpr("max(doc_id)").first()[0] == 68_999
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "xy"), ("c", "x  y"), (None, "x  y"), ("d", "z")], "doc_id string, text string")
+    rows = sorted(map(tuple, exact_dedup.report(df).select("doc_id", "keep_id", "kept").collect()), key=str)
+    assert rows == sorted([("b", "c", False), ("a", "c", False), ("c", "c", True), (None, "c", False), ("d", "d", True)], key=str)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == ["c", "d"]
 
 
 def test_rows_that_are_alone_are_not_grouped(docs):
@@ -142,6 +155,34 @@ def test_sql(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", ["op3_interleave", "op5_bloom_dedup"])
-def test_native(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_native(spark, sf, name, monkeypatch):
+    """No plan of the query, those of its scratch tables included, runs Python."""
+    plans = []
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.materialise(df, *rest)
+
+    for module in (exact_dedup, sharding, common):
+        monkeypatch.setattr(module, "materialise", seen)
+    plans.append(QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 3 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
+def test_shards_equal_a_brute_force(docs):
+    """Every row's fraction, shard and slot, from ranks and phases by the definition."""
+    def hash52(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+    sources, wanted = defaultdict(list), []
+    for r in docs.collect():
+        sources[r.source].append((hash52("shards", r.doc_id), r.doc_id))
+    for source, own in sources.items():
+        phase = (hash52("shards-phase", f"+{source}") + 0.5) / 2**52
+        wanted += [((rank - phase) / len(own), f"+{source}", h, d) for rank, (h, d) in enumerate(sorted(own), 1)]
+    n, by = len(wanted), Counter()
+    got = {r.doc_id: r for r in sharding.interleave(docs, 8, bucket_rows=11).collect()}
+    for at, (fraction, _, _, d) in enumerate(sorted(wanted)):
+        shard = at * 8 // n
+        assert (got[d].shard, got[d].slot) == (shard, by[shard]) and math.isclose(got[d].fraction, fraction, rel_tol=1e-12)
+        by[shard] += 1
