@@ -1,5 +1,6 @@
 """tamis: declarative data-quality rules on Spark DataFrames."""
 
+from .capabilities import CAPABILITIES, detect_engine, get_capabilities, has_capability, list_engines_with_capability, require_capability
 from .export import OpenMetadataExport
 from .functions.predicates import register_rule
 from .operators.profile import profile, profile_df
@@ -12,11 +13,8 @@ from .sources.rules_store import load_rules, load_rules_csv, save_rules_csv
 from .sources.tables import load_data, load_jdbc, load_table, save_data
 from .streaming.stream import StreamValidation, validate_stream, windowed_metrics
 
-#: What this engine can do; the reference point of capability checks.
-CAPABILITIES = {"batch": True, "streaming": True, "bifurcation": True, "schema": True, "profile": True, "sql": True, "transpile": False}
-
 __all__ = [
     "CAPABILITIES", "ColumnDef", "OpenMetadataExport", "RuleDefinition", "SchemaDef", "SchemaReport", "StreamValidation", "ValidationLevel", "ValidationReport", "ValidationResult",
-    "ValidationStatus", "compile_rules_to_sql", "extract_schema", "get_validation_sql", "list_rules", "load_data", "load_jdbc", "load_rules", "load_rules_csv", "load_table", "profile",
-    "profile_df", "register_rule", "save_data", "save_rules_csv", "transpile", "validate", "validate_schema", "validate_stream", "windowed_metrics",
+    "ValidationStatus", "compile_rules_to_sql", "detect_engine", "extract_schema", "get_capabilities", "get_validation_sql", "has_capability", "list_engines_with_capability", "list_rules", "load_data", "load_jdbc", "load_rules", "load_rules_csv", "load_table", "profile",
+    "profile_df", "register_rule", "require_capability", "save_data", "save_rules_csv", "transpile", "validate", "validate_schema", "validate_stream", "windowed_metrics",
 ]

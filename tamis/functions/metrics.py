@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Exact distinct counts in one pass; each more would copy every row once more.
-DISTINCT_IN_PASS = 4
+#: Exact distinct counts in the fused pass; with a second, every row would be copied for each of them.
+DISTINCT_IN_PASS = 1
 
 
 def aggregate(check: str, name: str, kind: T.DataType, approx: bool, rows: Column | None = None) -> Column:

@@ -3,15 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
 
-# The two tables. A column is name, type (i: key, s<n>: text of a length, t: text, n: integer, f: float, b: boolean, d: time), and marks:
-# ! not null, = a default.
-_CONTEXT = "id:i environment:s50! source_type:s50! database_name:s255! catalog_name:s255 schema_name:s255 table_name:s255! field:s255!"
+
+class Column(NamedTuple):
+    name: str
+    kind: str  # a key of _KINDS; "text 50" is text of that length
+    required: bool
+    default: str | None
+
+
+# The two tables.
 _TABLES = {
-    "rules": f"{_CONTEXT} level:s100! category:s100! check_type:s100! value:t threshold:f=1.0 execute:b=TRUE created_at:d=CURRENT_TIMESTAMP updated_at:d",
-    "schema_registry": f"{_CONTEXT} data_type:s100! nullable:b=TRUE max_length:n comment:t created_at:d=CURRENT_TIMESTAMP updated_at:d",
+    "rules": [
+        Column("id", "key", required=False, default=None),
+        Column("environment", "text 50", required=True, default=None),
+        Column("source_type", "text 50", required=True, default=None),
+        Column("database_name", "text 255", required=True, default=None),
+        Column("catalog_name", "text 255", required=False, default=None),
+        Column("schema_name", "text 255", required=False, default=None),
+        Column("table_name", "text 255", required=True, default=None),
+        Column("field", "text 255", required=True, default=None),
+        Column("level", "text 100", required=True, default=None),
+        Column("category", "text 100", required=True, default=None),
+        Column("check_type", "text 100", required=True, default=None),
+        Column("value", "long text", required=False, default=None),
+        Column("threshold", "float", required=False, default="1.0"),
+        Column("execute", "boolean", required=False, default="TRUE"),
+        Column("created_at", "time", required=False, default="CURRENT_TIMESTAMP"),
+        Column("updated_at", "time", required=False, default=None),
+    ],
+    "schema_registry": [
+        Column("id", "key", required=False, default=None),
+        Column("environment", "text 50", required=True, default=None),
+        Column("source_type", "text 50", required=True, default=None),
+        Column("database_name", "text 255", required=True, default=None),
+        Column("catalog_name", "text 255", required=False, default=None),
+        Column("schema_name", "text 255", required=False, default=None),
+        Column("table_name", "text 255", required=True, default=None),
+        Column("field", "text 255", required=True, default=None),
+        Column("data_type", "text 100", required=True, default=None),
+        Column("nullable", "boolean", required=False, default="TRUE"),
+        Column("max_length", "integer", required=False, default=None),
+        Column("comment", "long text", required=False, default=None),
+        Column("created_at", "time", required=False, default="CURRENT_TIMESTAMP"),
+        Column("updated_at", "time", required=False, default=None),
+    ],
 }
+_KINDS = ("key", "text", "long text", "integer", "float", "boolean", "time")
 # Each dialect's types for key, sized text, text, integer, float, boolean and time; {} is a size.
 _TYPES = {
     "athena": ("int", "varchar({})", "string", "int", "float", "boolean", "timestamp"),
@@ -57,15 +96,14 @@ def list_tables() -> list[str]:
     return sorted(_TABLES)
 
 
-def _column(spec: str, dialect: str) -> str:
-    name, kind = spec.split(":")
-    kind, _, default = kind.partition("=")
-    required = kind.endswith("!")
-    kind = kind.rstrip("!")
-    text = _TYPES[dialect]["istnfbd".index(kind[0])].format(kind[1:])
-    if default and dialect not in _NO_DEFAULT:
-        text += f" DEFAULT {'1' if default == 'TRUE' and dialect in _NUMBER_BOOLEAN else default}"
-    return f"{name} {text}" + (" NOT NULL" if required and dialect not in _NO_NOT_NULL else "")
+def _column(column: Column, dialect: str) -> str:
+    kind, size = column.kind, ""
+    if kind.startswith("text "):
+        kind, size = kind.split()
+    text = _TYPES[dialect][_KINDS.index(kind)].format(size)
+    if column.default and dialect not in _NO_DEFAULT:
+        text += f" DEFAULT {'1' if column.default == 'TRUE' and dialect in _NUMBER_BOOLEAN else column.default}"
+    return f"{column.name} {text}" + (" NOT NULL" if column.required and dialect not in _NO_NOT_NULL else "")
 
 
 def generate(table: str = "all", dialect: str = "spark", schema: str | None = None, **options: Any) -> str:
@@ -79,7 +117,7 @@ def generate(table: str = "all", dialect: str = "spark", schema: str | None = No
         options = {"using": "parquet" if dialect == "spark" else "delta", **options}
     out = []
     for name in list_tables() if table == "all" else [table]:
-        columns = ",\n  ".join(_column(c, dialect) for c in _TABLES[name].split())
+        columns = ",\n  ".join(_column(c, dialect) for c in _TABLES[name])
         keyword = "CREATE EXTERNAL TABLE" if dialect == "athena" else "CREATE TABLE"
         tail = [form(options[key]) for key, form in _OPTIONS.get(dialect, []) if options.get(key)]
         out.append("\n".join([f"{keyword} {schema + '.' if schema else ''}{name} (\n  {columns}\n)", *tail]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 from typing import Any
@@ -44,8 +45,11 @@ class _Writer:
         return _ident(rule.fields[0], self.dialect)
 
     def day(self, rule: RuleDefinition) -> str:
-        cast = {"postgres": "CAST", "redshift": "CAST", "doris": "CAST", "bigquery": "SAFE_CAST"}.get(self.dialect, "TRY_CAST")
-        return f"{cast}({self.col(rule)} AS DATE)"
+        c = self.col(rule)
+        if self.dialect == "postgres":  # from version 16; a plain cast would stop at text that is no date
+            return f"CASE WHEN pg_input_is_valid(CAST({c} AS TEXT), 'date') THEN CAST(CAST({c} AS TEXT) AS DATE) END"
+        cast = {"doris": "CAST", "bigquery": "SAFE_CAST"}.get(self.dialect, "TRY_CAST")  # a cast gives NULL in Doris
+        return f"{cast}({c} AS DATE)"
 
     def ago(self, n: int) -> str:
         if self.dialect in ("spark", "databricks", "doris"):
@@ -87,18 +91,44 @@ class _Writer:
         return tuple(x if x.startswith("DATE") else f"DATE {x}" for x in (low, high))
 
     def format_fails(self, rule: RuleDefinition) -> str:
-        c = self.col(rule)
-        if not rule.value:
+        c, form = self.col(rule), str(rule.value or "")
+        if not form:
             parsed = self.day(rule)
         elif self.dialect in ("spark", "databricks"):
-            parsed = f"TRY_TO_TIMESTAMP({c}, {_literal(java_pattern(str(rule.value)))})"
+            parsed = f"TRY_TO_TIMESTAMP({c}, {_literal(java_pattern(form))})"
+        elif "%" not in form:
+            raise RuleError(f"the format {form!r} is not in strftime's letters, and the dialect {self.dialect} has no other")
         elif self.dialect == "duckdb":
-            parsed = f"TRY_STRPTIME({c}, {_literal(rule.value)})"
+            parsed = f"TRY_STRPTIME({c}, {_literal(form)})"
+        elif self.dialect == "bigquery":
+            parsed = f"SAFE.PARSE_TIMESTAMP({_literal(form)}, {c})"
+        elif self.dialect in ("trino", "athena"):
+            parsed = f"TRY(DATE_PARSE({c}, {_literal(_letters(form, MYSQL, '%'))}))"
+        elif self.dialect == "doris":
+            parsed = f"STR_TO_DATE({c}, {_literal(_letters(form, MYSQL, '%'))})"
+        elif self.dialect == "snowflake":
+            parsed = f"TRY_TO_TIMESTAMP({c}, {_literal(_letters(form, SNOWFLAKE, ''))})"
         else:
-            parsed = self.day(rule)
+            raise RuleError(f"the dialect {self.dialect} can't try a format without failing")
         return f"{c} IS NOT NULL AND {parsed} IS NULL"
 
 
+# Letters of strftime, and those of the same meaning after % in MySQL's formats, and in Snowflake's.
+MYSQL = {"Y": "Y", "y": "y", "m": "m", "d": "d", "H": "H", "I": "h", "M": "i", "S": "s", "f": "f", "b": "b", "B": "M", "a": "a", "A": "W", "p": "p", "j": "j", "%": "%"}
+SNOWFLAKE = {"Y": "YYYY", "y": "YY", "m": "MM", "d": "DD", "H": "HH24", "I": "HH12", "M": "MI", "S": "SS", "f": "FF6", "b": "MON", "B": "MMMM", "a": "DY", "p": "AM"}
+
+
+def _letters(form: str, known: Mapping[str, str], mark: str) -> str:
+    """A strftime format in another system's letters."""
+
+    def letter(m: re.Match) -> str:
+        if m[1] not in known:
+            raise RuleError(f"format letter %{m[1]} is not supported")
+        return mark + known[m[1]]
+
+    return re.sub("%(.)", letter, form)
+
+
 _FAILS: dict[str, Callable[[_Writer, RuleDefinition], str]] = {
     "is_complete": lambda w, r: f"{w.col(r)} IS NULL",
     "are_complete": lambda w, r: " OR ".join(f"{_ident(f, w.dialect)} IS NULL" for f in r.fields),
@@ -143,40 +173,56 @@ def fail_condition(rule: RuleDefinition, dialect: str = "spark", as_of: date | s
     return _FAILS[rule.canonical](_Writer(dialect, date.fromisoformat(as_of) if isinstance(as_of, str) else as_of), rule)
 
 
-def _measure(rule: RuleDefinition, dialect: str, as_of: date | str | None, null_policy: str) -> str:
+def _distinct_key(names: Sequence[str], dialect: str) -> str:
+    if len(names) == 1:
+        return names[0]
+    if dialect in ("duckdb", "postgres", "trino", "athena"):
+        return f"({', '.join(names)})"
+    if dialect == "bigquery":
+        return f"TO_JSON_STRING(STRUCT({', '.join(names)}))"
+    if dialect == "redshift":
+        raise RuleError("redshift counts no distinct keys of several columns")
+    return ", ".join(names)
+
+
+def _measure(rule: RuleDefinition, dialect: str, as_of: date | str | None, null_policy: str) -> dict[str, str]:
+    """The expressions of a rule: "rule", its rate or aggregate; for row rules "rows" and "fails", exact numbers. A filter is a CASE, which
+    every dialect has."""
     name = rule.canonical
     names = [_ident(f, dialect) for f in rule.fields]
+
+    def where(value: str) -> str:
+        return f"CASE WHEN {rule.filter} THEN {value} END" if rule.filter else value
+
+    rows = f"COUNT({where('1')})"
     if name in ("is_unique", "are_unique"):
         # The share of distinct keys; the duplicate-group count needs a grouping, which one SELECT hasn't.
-        distinct = names[0] if len(names) == 1 else f"({', '.join(names)})" if dialect == "duckdb" else ", ".join(names)
-        value = f"COUNT(DISTINCT {distinct}) * 1.0 / NULLIF(COUNT(*), 0)"
-    elif name in _AGGREGATES:
-        value = _AGGREGATES[name].format(names[0])
-        if rule.filter:
-            value += f" FILTER (WHERE {rule.filter})"
-        return value
-    elif name in _FAILS:
-        failed = fail_condition(rule, dialect, as_of)
-        unknown = "1.0" if null_policy == "skip" or name in NULL_FAILS else "0.0"
-        value = f"AVG(CASE WHEN {failed} THEN 0.0 WHEN NOT ({failed}) THEN 1.0 ELSE {unknown} END)"
-        if rule.filter:
-            value += f" FILTER (WHERE {rule.filter})"
-    else:
+        keys = [where(n) for n in names]
+        return {"rule": f"COALESCE(COUNT(DISTINCT {_distinct_key(keys, dialect)}) * 1.0 / NULLIF({rows}, 0), 1.0)"}
+    if name in _AGGREGATES:
+        return {"rule": _AGGREGATES[name].format(where(names[0]))}
+    if name not in _FAILS:
         raise RuleError(f"'{rule.check_type}' is no expression of one SELECT")
-    return f"COALESCE({value}, 1.0)"
+    failed = fail_condition(rule, dialect, as_of)
+    unknown = "1.0" if null_policy == "skip" or name in NULL_FAILS else "0.0"
+    fails = f"CASE WHEN {failed} THEN 1 WHEN NOT ({failed}) THEN 0 ELSE {1 if unknown == '0.0' else 0} END"
+    passes = f"CASE WHEN {failed} THEN 0.0 WHEN NOT ({failed}) THEN 1.0 ELSE {unknown} END"
+    return {"rule": f"COALESCE(AVG({where(passes)}), 1.0)", "rows": rows, "fails": f"COALESCE(SUM({where(fails)}), 0)"}
 
 
-def compile_rules_to_sql(rules: Sequence[RuleDefinition], table: str, dialect: str = "spark", where: str | None = None, as_of: date | str | None = None, null_policy: str = "skip") -> tuple[str, list[str]]:
+def compile_rules_to_sql(rules: Sequence[RuleDefinition], table: str, dialect: str = "spark", where: str | None = None, as_of: date | str | None = None, null_policy: str = "skip", counts: bool = False) -> tuple[str, list[str]]:
     """One SELECT with a column rule_<i> for each rule, and the rules' ids; ("", []) without rules.
 
-    Row rules give their pass rate (1 for no rows), table rules their aggregate. A rule that SQL of one SELECT can't express raises RuleError.
+    Row rules give their pass rate (1 for no rows), table rules their aggregate. With counts, row rules also have rows_<i>, the rows
+    looked at, and fails_<i>, which results_from_row then gives instead of reckoning. A rule that SQL of one SELECT can't express raises RuleError.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect '{dialect}'")
     active = [(i, r) for i, r in enumerate(rules) if r.execute]
     if not active:
         return "", []
-    columns = ",\n  ".join(f"{_measure(r, dialect, as_of, null_policy)} AS rule_{i}" for i, r in active)
+    measured = [(i, k, v) for i, r in active for k, v in _measure(r, dialect, as_of, null_policy).items() if counts or k == "rule"]
+    columns = ",\n  ".join(f"{v} AS {k}_{i}" for i, k, v in measured)
     condition = f"\nWHERE {where}" if where else ""
     return f"SELECT\n  {columns}\nFROM {_ident(table, dialect)}{condition}", [f"{i}:{r.key}" for i, r in active]
 
@@ -186,7 +232,8 @@ def get_validation_sql(rules: Sequence[RuleDefinition], table: str, dialect: str
 
 
 def results_from_row(row: Mapping[str, Any], rules: Sequence[RuleDefinition], total_rows: int) -> ValidationReport:
-    """Verdicts from the row that a compiled SELECT gave."""
+    """Verdicts from the row that a compiled SELECT gave. Without its counts, failures are reckoned from the rate; of a rule with a filter
+    they aren't known then."""
     results = []
     for i, rule in enumerate(rules):
         out = ValidationResult(f"{i}:{rule.key}", ValidationLevel(rule.level), rule.category, rule.check_type, rule.label, ValidationStatus.ERROR, expected=rule.value, total_rows=total_rows)
@@ -198,7 +245,10 @@ def results_from_row(row: Mapping[str, Any], rules: Sequence[RuleDefinition], to
         if rule.level == "ROW":
             out.pass_rate = out.actual = 1.0 if value is None else float(value)
             out.expected = 1.0 if rule.threshold is None else rule.threshold
-            out.fail_count = round(total_rows * (1 - out.pass_rate))
+            if f"fails_{i}" in row:
+                out.total_rows, out.fail_count = int(row[f"rows_{i}"]), int(row[f"fails_{i}"])
+            else:
+                out.fail_count = None if rule.filter else round(total_rows * (1 - out.pass_rate))
             good = out.pass_rate >= out.expected
         elif rule.value is None:
             out.message = "Error: the check needs an expected value"

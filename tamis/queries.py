@@ -255,6 +255,26 @@ def split_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DUPLICATE = "(SELECT text FROM documents GROUP BY text HAVING count(*) > 1)"
 
 
+#: Rules that can't be applied, for their names, syntax, types or pattern, or that fail on the data.
+FAULTY = [
+    R("*", "satisfies", "nope > 1"), R("*", "satisfies", "o_custkey >"), R("*", "satisfies", "o_custkey"), R("*", "satisfies", "CAST(o_orderpriority AS INT) > 1"), R("o_orderpriority", "has_pattern", "("),
+    R("parts", "is_equal", 1), R("parts", "has_mean", 1, 0.1), R("o_custkey", "is_positive", filter="nope = 1"), R("parts", "is_equal_than", "o_custkey"),
+]
+
+
+@query("rule_errors", f"""
+    WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS f, count(*) - count(o_custkey) AS g, max(o_totalprice) AS m FROM orders),
+         r AS (SELECT 'is_in' AS check_type, 'o_orderstatus' AS field, f AS fail_count, n FROM t UNION ALL SELECT 'is_complete', 'o_custkey', g, n FROM t)
+    SELECT check_type, field, CASE WHEN fail_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status, fail_count, n AS total_rows, round((n - fail_count) / CAST(n AS DOUBLE), 6) AS pass_rate FROM r
+    UNION ALL SELECT 'has_max', 'o_totalprice', 'PASS', -1, n, 1.0 FROM t WHERE m > 0
+    {"".join(f" UNION ALL SELECT '{r.check_type}', '{r.label}', 'ERROR', -1, n, -1.0 FROM t" for r in FAULTY)}""")
+def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine faulty rules among three good ones: each is an error by itself, and the others have their verdicts."""
+    df = read(spark, sf_dir, "orders").withColumn("parts", F.split("o_orderpriority", "-"))
+    good = [R("o_orderstatus", "is_in", ["F", "O"]), R("o_custkey", "is_complete"), R("o_totalprice", "has_max", 1, 1e12)]
+    return verdicts(df, [*FAULTY[:5], *good, *FAULTY[5:]]).fillna({"fail_count": -1, "pass_rate": -1.0})
+
+
 @query("dq_errors", f"""
     SELECT doc_id, 'is_unique' AS check_type, 'text' AS field, 'uniqueness' AS category FROM documents WHERE text IN {_DUPLICATE}
     UNION ALL SELECT doc_id, 'is_in', 'lang', 'membership' FROM documents WHERE lang NOT IN ('en', 'fr')

@@ -47,8 +47,15 @@ class StreamValidation:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
     def for_each(self, handle: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-        """One query that gives each batch's good and bad rows and its number to handle."""
-        writer = self.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: handle(*split(batch), n))
+        """One query that gives each batch's good and bad rows and its number to handle; a batch is computed once."""
+        def both(batch: DataFrame, number: int) -> None:
+            kept = batch.persist()
+            try:
+                handle(*split(kept), number)
+            finally:
+                kept.unpersist()
+
+        writer = self.df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(both)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -53,6 +53,12 @@ def test_csv_round_trip(tmp_path):
     save_rules_csv(rules, tmp_path / "r.csv")
     back = load_rules_csv(tmp_path / "r.csv")
     assert [(r.field, r.check_type, r.value, r.threshold, r.execute, r.filter) for r in back] == [(r.field, r.check_type, r.value, r.threshold, r.execute, r.filter) for r in rules]
+    texts = [R("s", "is_equal", x) for x in ("10", "1.0", "true", "null", "2024-01-02", "[a]", '"q"', " x ", "a,b")] + [R("n", "is_equal", x) for x in (10, 1.5, True, date(2024, 1, 2))]
+    marked = R("s", "is_complete", updated_at=datetime(2024, 1, 2, 3, 4, 5), metadata={"owner": "me", "team": "x, y"})
+    save_rules_csv([*texts, marked], tmp_path / "t.csv")
+    again = load_rules_csv(tmp_path / "t.csv")
+    assert [(r.value, type(r.value)) for r in again[:-1]] == [(r.value, type(r.value)) for r in texts]
+    assert (again[-1].updated_at, again[-1].metadata) == (marked.updated_at, marked.metadata)
     (tmp_path / "bad.csv").write_text("field,value\na,1\n")
     with pytest.raises(ValueError, match="check_type"):
         load_rules_csv(tmp_path / "bad.csv")

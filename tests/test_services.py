@@ -1,16 +1,20 @@
 import json
 import shutil
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tamis import ColumnDef, OpenMetadataExport, SchemaDef, compile_rules_to_sql, extract_schema, get_validation_sql, load_data, profile, save_data, transpile, validate, validate_schema, validate_stream, windowed_metrics
+from tamis import ColumnDef, OpenMetadataExport, SchemaDef, compile_rules_to_sql, detect_engine, extract_schema, get_capabilities, get_validation_sql, has_capability, list_engines_with_capability, load_data, load_jdbc, load_table, profile, require_capability, save_data, transpile, validate, validate_schema, validate_stream, windowed_metrics
 from tamis import RuleDefinition as R
 from tamis.cli import main
+from tamis.functions.predicates import RuleError
 from tamis.operators.profile import profile_df, sample
 from tamis.operators.schema_contract import canonical_type
 from tamis.plans import ddl
-from tamis.plans.sqlgen import results_from_row
+from tamis.plans.sqlgen import DIALECTS, results_from_row
+from tamis.sources import scratch
 
 
 @pytest.mark.parametrize(("name", "kind"), [("bigint", "integer"), ("decimal(10,2)", "float"), ("array<string>", "array"), ("struct<a:int>", "complex"), ("timestamp_ntz", "datetime"), ("datetime64[ns]", "datetime"), ("StringType", "string"), ("binary", "unknown")])
@@ -62,6 +66,101 @@ def test_sql(spark):
         transpile("select 1", "spark", "duckdb")
 
 
+DIALECT_RULES = [R("a", "is_positive", filter="b > 1"), R("a", "has_sum", 1, filter="b > 1"), R("a,b", "is_composite_key", filter="b > 1")]
+
+
+@pytest.mark.parametrize("dialect", [d for d in DIALECTS if d != "redshift"])
+def test_sql_that_every_dialect_has(dialect):
+    sql = compile_rules_to_sql(DIALECT_RULES, "t", dialect, counts=True)[0]
+    assert "FILTER" not in sql and "rows_0" in sql and "fails_0" in sql and "rows_1" not in sql
+
+
+def test_sql_of_dialects():
+    def sql(dialect, rule):
+        return get_validation_sql([rule], "t", dialect)
+
+    form, key = R("d", "validate_date_format", "%d/%m/%Y %H:%M"), R("a,b", "is_composite_key")
+    assert "'%d/%m/%Y %H:%i'" in sql("trino", form) and "STR_TO_DATE" in sql("doris", form) and "SAFE.PARSE_TIMESTAMP('%d/%m/%Y %H:%M'" in sql("bigquery", form)
+    assert "'DD/MM/YYYY HH24:MI'" in sql("snowflake", form) and "TRY_STRPTIME" in sql("duckdb", form)
+    for dialect in ("postgres", "redshift"):
+        with pytest.raises(RuleError):
+            sql(dialect, form)
+    with pytest.raises(RuleError):
+        sql("duckdb", R("d", "validate_date_format", "dd/MM/yyyy"))
+    assert "pg_input_is_valid" in sql("postgres", R("d", "is_past_date")) and "COUNT(DISTINCT (" in sql("postgres", key) and "TO_JSON_STRING(STRUCT(" in sql("bigquery", key)
+    with pytest.raises(RuleError):
+        sql("redshift", key)
+
+
+def test_exact_counts_of_an_emitted_row(spark):
+    import duckdb
+
+    rows = [(i, i % 7, None if i % 5 == 0 else i - 40) for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, g int, v int")
+    df.createOrReplaceTempView("counted")
+    rules = [R("v", "is_positive", filter="g = 3"), R("v", "is_complete"), R("v", "has_sum", 1, filter="g = 3"), R("v", "is_positive", filter="g = 99")]
+    wanted = [(r.total_rows, r.fail_count) for r in validate(df, rules)]
+    spark_row = spark.sql(compile_rules_to_sql(rules, "counted", "spark", counts=True)[0]).first().asDict()
+    counted = df.toPandas()  # noqa: F841
+    duck_row = duckdb.sql(compile_rules_to_sql(rules, "counted", "duckdb", counts=True)[0]).df().iloc[0].to_dict()
+    for row in (spark_row, duck_row):
+        report = results_from_row(row, rules, 100)
+        assert [(r.total_rows, r.fail_count) for i, r in enumerate(report) if i != 2] == [w for i, w in enumerate(wanted) if i != 2]
+    assert results_from_row({k: v for k, v in spark_row.items() if k.startswith("rule")}, rules, 100)[0].fail_count is None
+
+
+def test_capabilities(spark):
+    import pandas as pd
+
+    assert detect_engine(spark.range(1)) == "pyspark" and has_capability("pyspark", "bifurcation") and not has_capability("pyspark", "nope") and get_capabilities("other") == {}
+    assert list_engines_with_capability("streaming") == ["pyspark"] and list_engines_with_capability("nope") == []
+    require_capability(spark.range(1), "profiling")
+    with pytest.raises(NotImplementedError, match="time travel"):
+        require_capability(spark.range(1), "nope", "time travel")
+    with pytest.raises(TypeError):
+        detect_engine(pd.DataFrame())
+
+
+def test_tables_by_name(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    assert load_table(spark, "three").count() == 3 and validate("three", [R("id", "is_complete")]).total_rows == 3
+
+
+@pytest.mark.parametrize(("bounds", "wanted"), [((3, 99), {"column": "id", "lowerBound": 3, "upperBound": 100, "numPartitions": 8}), ((None, None), {}), ("no key", {})])
+def test_jdbc(bounds, wanted):
+    """What Spark's reader is asked for: no driver is here."""
+    asked = []
+
+    class Reader:
+        def jdbc(self, url, table, **options):
+            asked.append((url, table, options))
+            return SimpleNamespace(first=lambda: bounds)
+
+    load_jdbc(SimpleNamespace(read=Reader()), "jdbc:x", "t", None if bounds == "no key" else "id", 8, {"user": "u"})
+    assert asked[-1] == ("jdbc:x", "t", {"properties": {"user": "u"}} | wanted)
+    assert len(asked) == (1 if bounds == "no key" else 2)
+
+
+def test_scratch(spark):
+    kept, gone = (scratch.materialise(spark.range(4), n) for n in ("kept", "gone"))
+    path = scratch._PATHS[gone]
+    scratch.discard(gone)
+    assert kept.count() == 4 and not Path(path).exists() and Path(scratch._PATHS[kept]).exists()
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="a", master="spark://x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(elsewhere)
+
+
+def test_for_each(spark, sf, tmp_path):
+    shutil.copy(f"{sf}/events.parquet", tmp_path / "events.parquet")
+    batch = spark.read.parquet(str(tmp_path / "events.parquet"))
+    counts = []
+    checked = validate_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "*.parquet")), RULES)
+    checked.for_each(lambda good, bad, n: counts.append((good.count(), bad.count())), str(tmp_path / "state")).awaitTermination()
+    good, bad = validate(batch, RULES[:2]).split("all_rules")
+    assert [sum(x) for x in zip(*counts, strict=True)] == [good.count(), bad.count()]
+
+
 def test_ddl(spark):
     import duckdb
 
