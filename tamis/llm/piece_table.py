@@ -59,6 +59,9 @@ class PieceTable:
             ids = self.library.encode("".join(part)[1:])
             # Of these chunks only the first piece begins with a marker.
             starts = np.flatnonzero(self.marked[np.array(ids)]).tolist()
+            if len(starts) != len(part):  # the normaliser makes white space of some other character: each chunk by itself
+                self.table.update((c, self.library.encode(c[1:])) for c in part)
+                continue
             self.table.update((c, ids[a:b]) for c, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True))
         for c in set(chunks) - set(plain):
             self.table[c] = self.library.encode(c[1:]) if c != MARK else [self.library.piece_to_id(MARK)]

@@ -5,8 +5,8 @@ whole, in blocks, with each dictionary, and sizes are added up; the smallest win
 training rows. A narrow margin, below ``min_margin`` of the size less one byte, is a rejection, and so is a tie at any size.
 
 The fit reads the labels of all training rows, and of the texts a bounded sample: for each language and each of SAMPLE_DOCS
-buckets of the hashed id the row with the least hash, of that the first SAMPLE_CHARS characters. At most that many reach
-the driver, whatever the input. Prediction sees the text alone.
+buckets of the hashed id the row with the least hash, of that the first SAMPLE_CHARS characters. At most that many for each
+language reach the driver, however many documents there are. Prediction sees the text alone.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, hash52, text_chunks
+from .common import bounded_broadcast, hash52, materialise, text_chunks
 
 #: Bounds of the fit, for each language: documents, and characters of each.
 SAMPLE_DOCS = 128
@@ -45,6 +45,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"), training.alias("__training"))
     rows = rows.where("__training and __id is not null and __text is not null and __lang is not null").withColumn("__h", hash52("langid", F.col("__id")))
     chosen = rows.groupBy("__lang", (F.col("__h") % sample_docs).alias("__bucket")).agg(F.min("__h").alias("__h"), F.count(F.lit(1)).alias("__n"))
+    chosen = materialise(chosen, "langid-chosen")
     texts = rows.join(bounded_broadcast(chosen), ["__lang", "__h"]).select("__lang", "__bucket", "__n", F.lower(F.substring("__text", 1, sample_chars)).alias("__text"))
     found = texts.groupBy("__lang", "__bucket").agg(F.max("__n").alias("n"), F.min("__text").alias("text")).collect()
     parts: dict[str, list[tuple[int, int, str]]] = {}

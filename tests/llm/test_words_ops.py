@@ -36,6 +36,40 @@ def test_language_of_held_out_documents(spark, sf, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_equal_a_brute_force(spark, sf, docs):
+    """Dictionaries, sizes, winner, score and margin of every document, by the definition."""
+    import zstandard
+
+    rows = docs.collect()
+    found = defaultdict(dict)
+    counts = Counter()
+    for r in rows:
+        if r.lang is not None and r.text is not None and not held_out(r.doc_id, 4, 2):
+            h = int(hashlib.md5(f"langid|{r.doc_id}".encode()).hexdigest()[:13], 16)
+            counts[r.lang] += 1
+            best = found[r.lang].get(h % zstd_langid.SAMPLE_DOCS)
+            if best is None or h < best[0]:
+                found[r.lang][h % zstd_langid.SAMPLE_DOCS] = (h, r.text[: zstd_langid.SAMPLE_CHARS].lower())
+    languages = sorted(found, key=lambda x: (-counts[x], x))
+    packers = []
+    for x in languages:
+        raw = "\n".join(found[x][b][1] for b in sorted(found[x])).encode()
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers.append(lambda data, d=d: len(zstandard.ZstdCompressor(level=zstd_langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data)))
+    texts = {r.doc_id: r.text for r in rows}
+    for r in QUERIES["op2_zstd_langid"](spark, sf).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        raw = text.lower().encode()
+        sizes = [sum(pack(raw[i : i + zstd_langid.BLOCK_BYTES]) for i in range(0, len(raw), zstd_langid.BLOCK_BYTES)) for pack in packers]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        lead = sizes[order[1]] - sizes[order[0]]
+        assert r.lang_pred == languages[order[0]] and r.rejected == (lead == 0 or lead + 1 < zstd_langid.MIN_MARGIN * sizes[order[0]])
+        assert math.isclose(r.margin, lead / sizes[order[0]]) and math.isclose(r.score, 1 / sum(2.0 ** -min(s - sizes[order[0]], 1000) for s in sizes))
+
+
 def test_language_verdict():
     model = zstd_langid.Model(("en", "de"), (b"", b""))
     assert zstd_langid.verdict(model, np.array([100, 100]), 0.005)[0::3] == ("en", False)
