@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, materialise
+from .common import BROADCAST_ROWS, discard, join_groups, materialise
 
 
-def _star(edges: DataFrame, total: int, large: bool, name: str) -> DataFrame:
-    """edges (a > b, total of them). Large: link a node's larger neighbours to its least one. Small: link its smaller ones.
-
-    A hub's edges stay where they are: its least neighbour is broadcast to them.
-    """
+def _near(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Each edge (a > b) as the star of a sees it, and the least neighbour m of each a with the number n of its edges."""
+    near = edges.select("a", "b")
     if large:
-        near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        near = edges
-    least = materialise(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-least")
-    joined = join_groups(near, least, "a", "n", 2 * total)
+        near = near.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return near, near.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _linked(joined: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """Large: a node's larger neighbours are linked to its least one. Small: its smaller ones are."""
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    done = materialise(out.where("a != b").distinct(), f"{name}-stars")
-    discard(least)
-    return done
+    return out.where("a != b").distinct()
+
+
+def _round(edges: DataFrame, total: int, name: str) -> DataFrame:
+    """A large and a small star over edges, total of them. A hub's edges stay where they are: its least neighbour is broadcast to them."""
+    now, stored = edges, []
+    for large in (True, False):
+        near, least = _near(now, large)
+        if total <= BROADCAST_ROWS:
+            now = _linked(near.join(F.broadcast(least), "a"), least, large)
+        else:
+            least = materialise(least, f"{name}-least")
+            now = materialise(_linked(join_groups(near, least, "a", "n", 2 * total), least, large), f"{name}-star")
+            stored += [least, now]
+    out = materialise(now, f"{name}-stars")
+    discard(*stored)
+    return out
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -39,9 +52,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
-        state = now
-        large = _star(edges, state[0], True, name)
-        small = _star(large, state[0], False, name)
-        discard(edges, large)
-        edges = small
+        state, before = now, edges
+        edges = _round(before, now[0], name)
+        discard(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
