@@ -30,7 +30,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "shards", id_col: s
 
     Law ``rows``: shard sizes differ by at most one; slots are gapless from 0 in the interleaved order.
     size is the UTF-8 bytes of the text (null: none) plus 1. A null source is a source of its own. Rows with a null id are
-    placed by their text. Rows that are equal in id and text are told apart arbitrarily, and then are interchangeable.
+    placed by their text. Rows that are equal in id and text are told apart arbitrarily, and then are interchangeable; rows of one id
+    have one hash and so lie in one bucket, which one task ranks.
     An empty table gives no rows. Other columns are not carried, so their names don't matter.
     """
     raw = F.col(text_col).cast("binary")
