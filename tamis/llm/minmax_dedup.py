@@ -254,7 +254,8 @@ def _stars(groups: DataFrame, key: str) -> DataFrame:
 
 def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that link."""
-    unique = sets.dropDuplicates(["__k1"])
+    nodes = materialise(pairs.select(F.col("a").alias("__k1")).union(pairs.select("b")).distinct(), "near-paired")
+    unique = sets.join(bounded_broadcast(nodes), "__k1", "left_semi").dropDuplicates(["__k1"])
     with_a = join_copies(pairs, unique.select(F.col("__k1").alias("a"), F.col("__set").alias("__x")), "a", F.xxhash64("b"), PAIRS)
     both = join_copies(with_a, unique.select(F.col("__k1").alias("b"), F.col("__set").alias("__y")), "b", F.xxhash64("a"), PAIRS)
 
@@ -352,7 +353,13 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
         rare = _groups(rows, "__shingle", rows.count(), "near-rare")
         discard(rows)
         pairs = pairs.unionByName(_pairs(rare, "__shingle", percent))
-        families = materialise(_stars(rare, "__shingle"), "near-stars")
+        stars = materialise(_stars(rare, "__shingle"), "near-stars")
+        if not stars.isEmpty():
+            families = components(stars, "near-families").withColumnRenamed("node", "__k1").join(sizes.select("__k1", "__n"), "__k1")
+            families = materialise(families, "near-family")
+            # What family members have in common besides is compared with the family.
+            within = [bounded_broadcast(families.select(F.col("__k1").alias(x), F.col("root").alias(f"__{x}"))) for x in "ab"]
+            pairs = pairs.join(within[0], "a", "left").join(within[1], "b", "left").where("__a IS NULL OR __b IS NULL OR __a != __b").select("a", "b")
     pairs = materialise(pairs.distinct(), "near-pairs")
 
     # Clusters of pairs that fit into a block are a task each; of larger ones, the pairs.
@@ -364,10 +371,9 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     links = compare_blocks(sets.join(bounded_broadcast(light), "__k1").withColumn("__side", F.lit(0)), percent)
     if not heavy.isEmpty():
         inside = clusters.join(bounded_broadcast(heavy), "root", "left_semi").select(F.col("__k1").alias("a"))
-        links = links.unionByName(compare_pairs(pairs.join(bounded_broadcast(inside), "a", "left_semi"), sets, percent))
-    if families is not None and not families.isEmpty():
-        members = components(families, "near-families").withColumnRenamed("node", "__k1").join(sizes.select("__k1", "__n"), "__k1")
-        links = links.unionByName(family_links(materialise(members, "near-family"), sets, percent))
+        links = links.unionByName(compare_pairs(materialise(pairs.join(bounded_broadcast(inside), "a", "left_semi"), "near-heavy-pairs"), sets, percent))
+    if families is not None:
+        links = links.unionByName(family_links(families, sets, percent))
     return links
 
 
