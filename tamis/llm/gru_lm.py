@@ -1,6 +1,6 @@
 """Log-likelihood of whole documents under a gated recurrent language model, beside a smoothed unigram base.
 
-Words are counted over all training documents, and the counts stay a distributed table. The 1022 most frequent words are the
+Words are counted over all training documents, and the counts stay a distributed table. The 2046 most frequent words are the
 model's vocabulary; any other word has the model's probability of "other" times its smoothed share of the counts of the words
 outside the vocabulary, so model and base give probabilities to the same events.
 
@@ -26,7 +26,7 @@ from .common import discard, materialise, text_chunks
 from .gru_model import END, Gru, create, score, train
 from .wordscan import scan
 
-VOCABULARY = 1024
+VOCABULARY = 2048
 HEAD_WORDS = 1 << 20
 HIDDEN = 16
 ROUNDS = 6
