@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, "__text", kernel, "__k1 bigint, __set binary")
 
 
-def links_of_block(nodes: list[int], sides: list[int], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+def links_of_block(nodes: list[int], sides: list[int], sets: list[bytes | pa.Buffer], percent: int) -> list[tuple[int, int]]:
     """Stars (node, root) that span the links among the sets; with two sides, of those between them."""
     by_node = dict(zip(nodes, zip(sides, sets, strict=True), strict=True))
     nodes = sorted(by_node)
@@ -178,11 +178,11 @@ def compare_blocks(tasks: DataFrame, percent: int) -> DataFrame:
             return out
 
         for batch in batches:
-            for task, side, node, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for task, side, node, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if task != now:
                     close()
                     now = task
-                rows.append((node, side, data))
+                rows.append((node, side, data.as_buffer()))  # not copied
             if len(found) > 10_000:
                 yield flush()
         close()

@@ -2,7 +2,8 @@
 
 In a model none of whose pieces has a whitespace marker after another character, no merge crosses the start of a marked
 word. So a text is cut before each run of markers, each distinct chunk of a batch is segmented once with the library, and
-ids are joined back by position. A task keeps the table over its batches, up to ``table_chunks`` entries, then starts anew.
+ids are joined back by position. A task keeps the table over its batches, up to ``table_chunks`` entries of some 150 bytes, then
+starts anew.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from .common import text_chunks
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 200_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 class PieceTable:
@@ -29,7 +34,7 @@ class PieceTable:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[str, bytes] = {}  # ids of four bytes
         self.table_chunks = table_chunks
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.marked = np.array([p[0] == MARK for p in pieces])
@@ -49,22 +54,23 @@ class PieceTable:
             table.clear()
             missing = list(distinct)
         self._segment(missing)
-        return [[i for c in of for i in table[c]] for of in chunks]
+        return [np.frombuffer(b"".join([table[c] for c in of]), np.int32).tolist() for of in chunks]
 
     def _segment(self, chunks: list[str]) -> None:
         """Put chunks into the table. The library marks the start of each text itself, so one marker is left out."""
         plain = [c for c in chunks if len(c) > 1 and c[0] == MARK != c[1]]
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            ids = self.library.encode("".join(part)[1:])
+            ids = np.array(self.library.encode("".join(part)[1:]), np.int32)
             # Of these chunks only the first piece begins with a marker.
-            starts = np.flatnonzero(self.marked[np.array(ids)]).tolist()
+            starts = np.flatnonzero(self.marked[ids]).tolist()
             if len(starts) != len(part):  # the normaliser makes white space of some other character: each chunk by itself
-                self.table.update((c, self.library.encode(c[1:])) for c in part)
+                self.table.update((c, _packed(self.library.encode(c[1:]))) for c in part)
                 continue
-            self.table.update((c, ids[a:b]) for c, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True))
+            raw = ids.tobytes()
+            self.table.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True))
         for c in set(chunks) - set(plain):
-            self.table[c] = self.library.encode(c[1:]) if c != MARK else [self.library.piece_to_id(MARK)]
+            self.table[c] = _packed(self.library.encode(c[1:]) if c != MARK else [self.library.piece_to_id(MARK)])
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
