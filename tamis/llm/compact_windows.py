@@ -14,9 +14,10 @@ about 2 / (LEAST + 1) of all. Two texts with a near-duplicate passage share the
    have the same stretch so always meet the stretch's hub, which has it too, however frequent parts of it are.
 4. Those parts of both texts are compared: stretches in which 8 of 9 shingles are found in the other text, at least LEAST
    long, are cut to what each has of each of the other's, and taken if their Jaccard similarity is 0.8 or more.
-5. Nodes that a star has not brought a passage at their key get the finest keys, the key with each shingle that is at most
-   LEAST - 1 from it: two nodes with a passage there share nearly all of those of the passage, and of these the least frequent
-   brings them together. Their pairs are compared as in 4.
+5. Stars leave partners out, so each stretch of LEAST shingles that holds such a key, and that no passage found covers, is
+   searched for by itself. It can have a partner only if 8 of 9 of its shingles are near such keys of others too (a bitmap of
+   bounded size tells); whatever partner it has, has one of its rarest shingles, one more than a ninth. These are compared
+   with some nodes that have them, and what is still left with all. No number of partners is bounded there.
 6. A node's stretches are merged, and each of its documents gets them. Equal texts share themselves whole.
 
 Nothing is gathered by node or key beyond MOST_NODES rows: pairs of a hub are dealt to parts of PAIRS, its text with each part.
@@ -49,6 +50,8 @@ MOST_NODES = 16
 HOT_BITS = 1 << 27
 #: Pairs that share one copy of a node's text.
 PAIRS = 256
+#: Bytes up to which what is near probes is broadcast.
+BLOCK_BYTES = 1 << 25
 #: Bytes of text that a kernel takes at once; its arrays are some two hundred times as large.
 PIECE_BYTES = 1 << 18
 
@@ -257,7 +260,7 @@ def _hull() -> list[Column]:
 
 def candidate_pairs(texts: DataFrame, docs: DataFrame, width: int, least: int, functions: int, enough: int, most: int = MOST_NODES) -> tuple[DataFrame, DataFrame | None]:
     """a, b (nodes) and the hulls a0..a1, b0..b1 of what their windows have in common, if enough functions agree; and the rows
-    v, a, lo, hi of keys of minima that were only paired by stars."""
+    v, a, lo, hi of keys of minima that were only paired by stars, of which open_probes and probed_pairs find the other partners."""
     windows = texts.select(F.col("__node").alias("a"), F.explode("__windows").alias("w")).select("a", "w.*")
     rows, counts = _repeats(windows, texts.select(F.explode("__windows.v").alias("v")), "windows")
     large = counts.where(F.col("n") > most)
@@ -278,33 +281,216 @@ def candidate_pairs(texts: DataFrame, docs: DataFrame, width: int, least: int, f
     return both, starred
 
 
-def context_pairs(left: DataFrame, tokens: DataFrame, least: int, most: int = MOST_NODES) -> DataFrame:
-    """Pairs like candidate_pairs, of nodes in rows (v, a, c) that have a key v and, near it, a shingle in common."""
-    places = left.groupBy("a").agg(F.collect_list(F.struct("v", "c")).alias("at"))
+def _lookup(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set in a bitmap of keys."""
+    slot = (keys >> np.uint64(1)) % np.uint64(8 * len(bits))
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _runs(on: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of true values, from and to (exclusive)."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _spread(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the intervals lo to hi, both included."""
+    steps = np.zeros(n + 1, np.int64)
+    lo, hi = np.clip(lo, 0, n), np.clip(hi + 1, 0, n)
+    np.add.at(steps, lo[lo < hi], 1)
+    np.add.at(steps, hi[lo < hi], -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def starred_parts(starred: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """a, base, own (shingles from base on) and at (the keys' shingles in them) of all parts up to 2 * least from a key paired by stars."""
+    places = starred.groupBy("a").agg(F.collect_set("lo").alias("at"))
     joined = tokens.join(places, tokens["__node"] == places["a"]).select("a", "at", "__tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for node, at, raw in zip(*(batch.column(c) for c in ("a", "at", "__tokens")), strict=True):
-                own = np.frombuffer(raw.as_buffer(), "<u4").astype(np.uint64)
-                v = at.values.field("v").to_numpy().view(np.uint64)
-                c = at.values.field("c").to_numpy().astype(np.int64)
-                reach = np.arange(1 - least, least)
-                where = c[:, None] + reach
-                inside = (where >= 0) & (where < len(own))
-                key = mix(mix(v)[:, None] ^ own[np.clip(where, 0, len(own) - 1)])[inside]
-                c = np.broadcast_to(c[:, None], where.shape)[inside].astype(np.int32)
-                text, n = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-                far = np.full(len(key), 2 * least, np.int32)
-                _, key, k, lo, hi, before, after = per_text(text, key, n, c, far, far)
-                columns = [pa.array(np.full(len(key), node.as_py())), pa.array(_signed(key)), *(pa.array(x.astype(np.int32)) for x in (k, lo, hi, before, after))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "v", "k", "lo", "hi", "before", "after"])
-
-    near = materialise(joined.mapInArrow(run, f"a bigint, {_WINDOW.replace(':', ' ').replace(',', ', ')}"), "repeats-contexts")
-    rows, counts = _repeats(near, near.select("v"), "contexts")
-    large = materialise(counts.where(F.col("n") > most), "repeats-large")
-    pairs = materialise(_all_pairs(rows, large).unionByName(_stars(rows, large)).drop("k").groupBy("a", "b").agg(*_hull()), "repeats-pairs")
-    discard(near, rows, counts, large)
+                own = np.frombuffer(raw.as_buffer(), "<u4")
+                # A key's shingle is the same wherever the node has the key.
+                places = np.flatnonzero(np.isin(own, own[at.values.to_numpy()]))
+                for x, y in _runs(_spread(len(own), places - 2 * least, places + 2 * least)):
+                    inside = places[(places >= x) & (places < y)]
+                    out.append((node.as_py(), x, own[x:y].tobytes(), (inside - x).tolist()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["a", "base", "own", "at"])
+
+    return materialise(joined.mapInArrow(run, "a bigint, base int, own binary, at array<int>"), "repeats-parts")
+
+
+def frequency_bitmaps(parts: DataFrame, most: int) -> list[np.ndarray]:
+    """Bitmaps of the shingles that more than 1, most and most * most of the parts have, and of others that share their bits."""
+    n = parts.agg(F.sum(F.length("own"))).first()[0] or 0
+    bits = min(HOT_BITS, max(BITMAP_BITS, 1 << (8 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column("own"):
+                keys = np.unique(np.frombuffer(own.as_buffer(), "<u4")).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((keys >> 1) % bits)], ["s"])
+
+    counts = parts.select("own").mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    levels = (1, most, most * most)
+    maps = [F.bitmap_construct_agg(F.when(F.col("n") > x, F.col("s") % BITMAP_BITS)).alias(f"m{i}") for i, x in enumerate(levels)]
+    out = [np.zeros((bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8) for _ in levels]
+    for r in counts.groupBy(F.expr(f"s div {BITMAP_BITS}").alias("b")).agg(*maps).collect():
+        for i, m in enumerate(out):
+            own = np.frombuffer(r[f"m{i}"], np.uint8)
+            m[r["b"], : len(own)] = own
+    return [m.ravel() for m in out]
+
+
+_PROBE = "x bigint, a bigint, base int, cut binary, open binary"
+
+
+def _probe_rows(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], far: int) -> pa.RecordBatch:
+    """x, a, base, cut, open from a part's node, base, shingles, wanted places and begins of open stretches.
+
+    cut is what is up to far from an x, 16 bits of each shingle, open the begins in it.
+    """
+    rows = []
+    for node, base, own, where, begin in found:
+        short = own.astype("<u2")
+        order = where[np.argsort(own[where], kind="stable")]
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(own[order].astype(np.int64)) != 0, [True]))) if len(where) else [0]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            lo, hi = max(0, int(order[i]) - far), int(order[j - 1]) + far + 1
+            inside = begin[np.searchsorted(begin, lo) : np.searchsorted(begin, hi)] - lo
+            rows.append((int(own[order[i]]), node, base + lo, short[lo:hi].tobytes(), inside.astype("<i4").tobytes()))
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["x", "a", "base", "cut", "open"])
+
+
+def _bounds(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least height of a mark up to each place, and the greatest after a mark from each place on; marks count 1, others -8.
+
+    A stretch that begins and ends with marks and has 8 of 9 goes from one to another that isn't lower.
+    """
+    height = np.cumsum(np.where(marks, np.int32(1), np.int32(-8)), axis=0, dtype=np.int32)
+    far = np.int32(1 << 30)
+    low = np.minimum.accumulate(np.where(marks, height - 1, far), axis=0)
+    return low, np.maximum.accumulate(np.where(marks, height, -far)[::-1], axis=0)[::-1]
+
+
+def _dense(own: np.ndarray, bitmaps: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How frequent each shingle is (0: no other part has it), and which stretches of least have 8 of 9 that others have too."""
+    keys = own.astype(np.uint64)
+    level = sum(_lookup(m, keys).astype(np.uint64) for m in bitmaps)
+    sums = np.concatenate(([0], np.cumsum(level > 0)))
+    return level, sums[least:] - sums[:-least] >= -(-8 * least // 9)
+
+
+def open_probes(parts: DataFrame, found: DataFrame, bitmaps: list[np.ndarray], least: int) -> DataFrame:
+    """x, a and what is near x: shingles that tell every partner of the stretches that hold a starred key and aren't in a passage found.
+
+    A partner has 8 of 9 shingles of such a stretch, so at least one of any of its ninth and one more: the rarest ones are taken.
+    A stretch that has more than a ninth of shingles that nothing else has can have no partner.
+    """
+    rare = least + 1 - -(-8 * least // 9)
+    joined = parts.join(merged(found).withColumnRenamed("__node", "a").select("a", "__passages"), "a", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, base, raw, at, spans in zip(*(batch.column(c) for c in ("a", "base", "own", "at", "__passages")), strict=True):
+                own, base, at = np.frombuffer(raw.as_buffer(), "<u4"), base.as_py(), at.values.to_numpy().astype(np.int64)
+                if len(own) < least:
+                    continue
+                level, dense = _dense(own, bitmaps, least)
+                left, known = dense & _spread(len(dense), at - least + 1, at), np.zeros(len(own), bool)
+                if spans.is_valid:
+                    lo, hi = (spans.values.field(c).to_numpy() - base for c in ("__from", "__to"))
+                    left &= ~_spread(len(dense), lo, hi - least)
+                    known = _spread(len(own), lo, hi - 1)
+                # A passage begins and ends with a shingle that its partner has.
+                first, last = ((level > 0)[x : x + len(dense)] for x in (0, least - 1))
+                ends = (first & ~known[: len(dense)]) | (last & ~known[least - 1 :]) | (first & last)
+                low, high = _bounds(level > 0)
+                begin = np.flatnonzero(left & ends & (low[: len(dense)] <= high[least - 1 :]))
+                order = (level << np.uint64(56)) | (mix(own.astype(np.uint64)) >> np.uint64(8))
+                wanted = np.zeros(len(own), bool)
+                for i in range(0, len(begin), 4096):
+                    some = begin[i : i + 4096, None]
+                    wanted[np.argpartition(order[some + np.arange(least)], rare - 1, axis=1)[:, :rare] + some] = True
+                where = np.flatnonzero(wanted & (level > 0))
+                out.append((node.as_py(), base, own, where, begin))
+            yield _probe_rows(out, 2 * least)
+
+    return materialise(joined.mapInArrow(run, _PROBE), "repeats-probes")
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """x and lists of about PAIRS of its rows at most."""
+    many = rows.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("__parts")).where("__parts > 1")
+    dealt = rows.join(bounded_broadcast(materialise(many, "parts")), "x", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("a", "base"), F.col("__parts")), F.lit(0)).alias("__part")
+    return dealt.groupBy("x", part).agg(F.collect_list(F.struct("a", "base", "cut", "open")).alias(name)).select("x", name)
+
+
+def partners(cuts: list[np.ndarray], begins: list[np.ndarray], others: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
+    """For each of the cuts (16-bit shingles) those of the others that have 8 of 9, the first and last too, of what holds a stretch that begins there."""
+    flat, of = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    place = np.full(1 << 16, -1, np.int32)
+    for own, begin in zip(cuts, begins, strict=True):
+        kinds, number = np.unique(own, return_inverse=True)
+        place[kinds] = np.arange(len(kinds))
+        at = place[flat]
+        hit = np.flatnonzero(at >= 0)
+        has = np.zeros((len(kinds), len(others)), bool)
+        has[at[hit], of[hit]] = True
+        place[kinds] = -1
+        low, high = _bounds(has[number])
+        begin = begin[begin + least <= len(own)]
+        yield np.flatnonzero((low[begin] <= high[begin + least - 1]).any(axis=0))
+
+
+def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: list[np.ndarray], least: int, hubs: int | None) -> DataFrame:
+    """Pairs like candidate_pairs of each probe's node and every node that has its shingle and 8 of 9 of a stretch with it.
+
+    With hubs, only so many of a shingle's nodes are taken.
+    """
+    asked = hot_bitmap(probes.select(F.col("x").alias("v")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, base, raw in zip(*(batch.column(c) for c in ("a", "base", "own")), strict=True):
+                own = np.frombuffer(raw.as_buffer(), "<u4")
+                if len(own) >= least and _dense(own, bitmaps, least)[1].any():
+                    out.append((node.as_py(), base.as_py(), own, np.flatnonzero(_lookup(asked, own.astype(np.uint64))), np.zeros(0, np.int64)))
+            yield _probe_rows(out, 2 * least)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("p"), batch.column("q"), strict=True):
+                nodes, bases = ([x.values.field(c).to_pylist() for x in (left, right)] for c in ("a", "base"))
+                cuts = [[np.frombuffer(z.as_buffer(), "<u2") for z in x.values.field("cut")] for x in (left, right)]
+                begins = [np.frombuffer(z.as_buffer(), "<i4") for z in left.values.field("open")]
+                rows = []
+                for i, found in enumerate(partners(cuts[0], begins, cuts[1], least)):
+                    a, x = nodes[0][i], (bases[0][i], bases[0][i] + len(cuts[0][i]) - 1)
+                    for j in found.tolist():
+                        b, y = nodes[1][j], (bases[1][j], bases[1][j] + len(cuts[1][j]) - 1)
+                        if a != b:
+                            rows.append((a, b, *x, *y) if a < b else (b, a, *y, *x))
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], ["a", "b", "a0", "a1", "b0", "b1"])
+
+    there = parts.mapInArrow(run, _PROBE)
+    if hubs:
+        there = there.groupBy("x", F.pmod(F.xxhash64("a"), F.lit(hubs)).alias("i")).agg(F.min(F.struct("a", "base", "cut", "open")).alias("w")).select("x", "w.*")
+    there = materialise(there, "repeats-there")
+    asking, small = _blocks(probes, "p"), (probes.agg(F.sum(F.length("cut"))).first()[0] or 0) <= BLOCK_BYTES
+    both = _blocks(there, "q").join(F.broadcast(asking) if small else asking, "x")
+    pairs = materialise(both.select("p", "q").mapInArrow(compare, "a bigint, b bigint, a0 int, a1 int, b0 int, b1 int").groupBy("a", "b").agg(*_hull()), "repeats-pairs")
+    discard(there)
     return pairs
 
 
@@ -449,11 +635,12 @@ def merged(spans: DataFrame) -> DataFrame:
     return whole.groupBy("__node").agg(F.collect_list(F.struct("__from", "__to", "__partner")).alias("__passages"))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH, functions: int = FUNCTIONS, enough: int = ENOUGH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: int = WIDTH, functions: int = FUNCTIONS, enough: int = ENOUGH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_NODES) -> DataFrame:
     """One row per document and passage that it shares with another document: id, start_word, end_word (exclusive), n_words, shared_with.
 
     shared_with is the id of a document that has the passage. Passages that touch are one. Documents without a repeated passage, null,
     empty and short texts have no row. Rows that are equal in id and text are one document. Null ids take part and come out as null.
+    most: nodes up to which all of a key are paired at once; it sets the way, not the result.
     An empty table gives no rows. Other columns are not carried.
     """
     least = max(1, least_words - width + 1)
@@ -461,17 +648,23 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: in
     texts = materialise(text_windows(narrow, width, least, functions).where(F.col("__n") >= least), "repeats-texts")
     members = materialise(texts.select("__id", "__node", "__n").distinct(), "repeats-members")
     nodes = materialise(members.groupBy("__node").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi"), F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__docs")), "repeats-nodes")
-    pairs, starred = candidate_pairs(texts, narrow, width, least, functions, enough)
+    pairs, starred = candidate_pairs(texts, narrow, width, least, functions, enough, most)
     discard(texts)
     wanted = pairs.select(F.col("a").alias("__node")).union(pairs.select("b"))
     tokens = materialise(node_tokens(narrow, nodes, wanted.distinct(), width), "repeats-tokens")
     found = materialise(verified(pairs, tokens, least, percent), "repeats-found")
     if starred is not None:
-        places = starred.select("v", "a", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
-        known = places.join(merged(found).withColumnRenamed("__node", "a"), "a", "left")
-        left = materialise(known.where(~F.coalesce(F.exists("__passages", lambda p: (p["__from"] <= F.col("c")) & (F.col("c") < p["__to"])), F.lit(False))).select("v", "a", "c"), "repeats-left")
-        if not left.isEmpty():
-            found = found.unionByName(materialise(verified(context_pairs(left, tokens, least), tokens, least, percent), "repeats-found"))
+        parts = starred_parts(starred, tokens, least)
+        bitmaps = frequency_bitmaps(parts, most)
+        # Some partners for all first, then all partners for what these leave.
+        for hubs in (most, None):
+            probes = open_probes(parts, found, bitmaps, least)
+            if probes.isEmpty():
+                break
+            more = probed_pairs(parts, probes, bitmaps, least, hubs)
+            found = materialise(found.unionByName(verified(more, tokens, least, percent)), "repeats-found")
+            discard(probes, more)
+        discard(parts, starred)
     copies = nodes.where("__docs > 1").select("__node", F.lit(0).cast("bigint").alias("__from"), F.col("__n").alias("__to"), F.lit(None).cast(found.schema["__partner"].dataType).alias("__partner"))
     passages = merged(found.unionByName(copies)).join(nodes.select("__node", "__lo", "__hi", "__docs"), "__node")
     passages = materialise(passages, "repeats-passages")

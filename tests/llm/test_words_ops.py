@@ -608,3 +608,37 @@ def test_passages_behind_words_that_all_have(spark, changed):
         found[r.doc_id].append(r)
     whole = [i for i in range(300) if any(abs(r.start_word - 30) <= 5 and r.end_word >= len(rows[i]) - 35 and r.shared_with // 2 == i // 2 for r in found[i])]
     assert len(whole) >= 0.98 * 300, len(whole)
+
+
+def test_passages_longer_than_what_all_have(spark):
+    """60 pairs of documents share 55 words, so a hub shares them too; what each pair shares beside them, with a word changed, comes out as well."""
+    rng = random.Random(17)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, rows = fresh(55), []
+    for _ in range(60):
+        passage = [*common, *fresh(8)]
+        rows += [[*fresh(20), *own, *fresh(20)] for own in (passage, [*passage[:30], *fresh(1), *passage[31:]])]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: (r.start_word, r.end_word) for r in compact_windows.repeated_passages(df).collect()}
+    assert found == dict.fromkeys(range(120), (20, 83)), Counter(found.values())
+
+
+def test_partners_of_open_stretches():
+    """Of 200 sets of shingles those come out that have 8 of 9 of what holds an open stretch, and only those."""
+    rng = np.random.default_rng(18)
+    own = rng.choice(1 << 16, 120, replace=False).astype("<u2")
+    others, wanted = [], []
+    for n in range(200):
+        lo, long, changed = int(rng.integers(0, 60)), int(rng.integers(40, 60)), int(rng.integers(0, 8))
+        part = own[lo : lo + long].copy()
+        gaps = rng.choice(np.arange(1, long - 1), changed, replace=False)
+        others.append(np.delete(part, gaps))
+        marks = np.isin(own, others[-1])
+        spans = [(i, j) for i in np.flatnonzero(marks) for j in np.flatnonzero(marks) if j - i >= 45 and 9 * marks[i : j + 1].sum() >= 8 * (j - i + 1)]
+        if any(i <= 30 and 76 <= j + 1 for i, j in spans):
+            wanted.append(n)
+    got = list(compact_windows.partners([own, own], [np.array([30]), np.zeros(0, np.int64)], others, 46))
+    assert got[0].tolist() == wanted and len(wanted) > 5 and not len(got[1])
