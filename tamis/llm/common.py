@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise
 
-__all__ = ["BROADCAST_ROWS", "HASH_BITS", "arrow_map", "bounded_broadcast", "discard", "hash52", "join_copies", "join_groups", "materialise", "text_chunks"]
+__all__ = ["BROADCAST_ROWS", "HASH_BITS", "arrow_map", "bounded_broadcast", "discard", "hash52", "join_copies", "join_groups", "materialise", "release_memory", "text_chunks"]
 
 #: Rows up to which a list of ids or keys (at most some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -22,6 +23,11 @@ CHUNK_BYTES = 1 << 20
 
 HASH_BITS = 52
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _TRIM = None
+
 
 def hash52(seed: str, *cols: Column) -> Column:
     """An integer below 2**52 from md5, the same in any engine that has md5. Nulls count as the text 'null'."""
@@ -62,6 +68,13 @@ def join_copies(rows: DataFrame, texts: DataFrame, key: str, spread: Column, mos
     return dealt.join(texts.join(parts, key, "left").withColumn("__part", copies).drop("__parts"), [key, "__part"]).drop("__part")
 
 
+def release_memory() -> None:
+    """Give memory that is free back to the system: workers are used again by later stages, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about size bytes of text; a longer text is a piece of its own, whole."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -73,6 +86,7 @@ def text_chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> It
         total += int(n)
     if batch.num_rows > start:
         yield batch.slice(start)
+    release_memory()
 
 
 def arrow_map(df: DataFrame, text: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = CHUNK_BYTES) -> DataFrame:

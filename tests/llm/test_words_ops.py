@@ -642,3 +642,18 @@ def test_partners_of_open_stretches():
             wanted.append(n)
     got = list(compact_windows.partners([own, own], [np.array([30]), np.zeros(0, np.int64)], others, 46))
     assert got[0].tolist() == wanted and len(wanted) > 5 and not len(got[1])
+
+
+def test_workers_give_memory_back():
+    """What a batch took is not kept by the process once its last piece is done: free blocks between small live ones too."""
+    from pathlib import Path
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    blocks = [np.ones(8000) for _ in range(4000)]
+    kept = blocks[::200]
+    before = resident()
+    del blocks
+    list(common.text_chunks(common.pa.RecordBatch.from_pydict({"text": ["a"]}), "text"))
+    assert len(kept) == 20 and resident() < before - 150e6
