@@ -30,6 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,7 +309,7 @@ def starred_parts(starred: DataFrame, tokens: DataFrame, least: int) -> DataFram
     joined = tokens.join(places, tokens["__node"] == places["a"]).select("a", "at", "__tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_chunks(whole, "__tokens")):
             out = []
             for node, at, raw in zip(*(batch.column(c) for c in ("a", "at", "__tokens")), strict=True):
                 own = np.frombuffer(raw.as_buffer(), "<u4")
@@ -324,10 +325,10 @@ def starred_parts(starred: DataFrame, tokens: DataFrame, least: int) -> DataFram
     return materialise(joined.mapInArrow(run, "a bigint, base int, own binary, at array<int>"), "repeats-parts")
 
 
-def frequency_bitmaps(parts: DataFrame, most: int) -> list[np.ndarray]:
-    """Bitmaps of the shingles that more than 1, most and most * most of the parts have, and of others that share their bits."""
+def frequency_bitmaps(parts: DataFrame, most: int) -> Broadcast[list[np.ndarray]]:
+    """Bitmaps of the shingles that more than 1 and more than most of the parts have, and of others that share their bits. Sent out once."""
     n = parts.agg(F.sum(F.length("own"))).first()[0] or 0
-    bits = min(HOT_BITS, max(BITMAP_BITS, 1 << (8 * n).bit_length()))
+    bits = min(HOT_BITS, max(BITMAP_BITS, 1 << (4 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,14 +337,14 @@ def frequency_bitmaps(parts: DataFrame, most: int) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> 1) % bits)], ["s"])
 
     counts = parts.select("own").mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    levels = (1, most, most * most)
+    levels = (1, most)
     maps = [F.bitmap_construct_agg(F.when(F.col("n") > x, F.col("s") % BITMAP_BITS)).alias(f"m{i}") for i, x in enumerate(levels)]
     out = [np.zeros((bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8) for _ in levels]
     for r in counts.groupBy(F.expr(f"s div {BITMAP_BITS}").alias("b")).agg(*maps).collect():
         for i, m in enumerate(out):
             own = np.frombuffer(r[f"m{i}"], np.uint8)
             m[r["b"], : len(own)] = own
-    return [m.ravel() for m in out]
+    return parts.sparkSession.sparkContext.broadcast([m.ravel() for m in out])
 
 
 _PROBE = "x bigint, a bigint, base int, cut binary, open binary"
@@ -387,7 +388,7 @@ def _dense(own: np.ndarray, bitmaps: list[np.ndarray], least: int) -> tuple[np.n
     return level, sums[least:] - sums[:-least] >= -(-8 * least // 9)
 
 
-def open_probes(parts: DataFrame, found: DataFrame, bitmaps: list[np.ndarray], least: int) -> DataFrame:
+def open_probes(parts: DataFrame, found: DataFrame, bitmaps: Broadcast[list[np.ndarray]], least: int) -> DataFrame:
     """x, a and what is near x: shingles that tell every partner of the stretches that hold a starred key and aren't in a passage found.
 
     A partner has 8 of 9 shingles of such a stretch, so at least one of any of its ninth and one more: the rarest ones are taken.
@@ -397,13 +398,13 @@ def open_probes(parts: DataFrame, found: DataFrame, bitmaps: list[np.ndarray], l
     joined = parts.join(merged(found).withColumnRenamed("__node", "a").select("a", "__passages"), "a", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_chunks(whole, "own", PIECE_BYTES)):
             out = []
             for node, base, raw, at, spans in zip(*(batch.column(c) for c in ("a", "base", "own", "at", "__passages")), strict=True):
                 own, base, at = np.frombuffer(raw.as_buffer(), "<u4"), base.as_py(), at.values.to_numpy().astype(np.int64)
                 if len(own) < least:
                     continue
-                level, dense = _dense(own, bitmaps, least)
+                level, dense = _dense(own, bitmaps.value, least)
                 left, known = dense & _spread(len(dense), at - least + 1, at), np.zeros(len(own), bool)
                 if spans.is_valid:
                     lo, hi = (spans.values.field(c).to_numpy() - base for c in ("__from", "__to"))
@@ -451,7 +452,7 @@ def partners(cuts: list[np.ndarray], begins: list[np.ndarray], others: list[np.n
         yield np.flatnonzero((low[begin] <= high[begin + least - 1]).any(axis=0))
 
 
-def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: list[np.ndarray], least: int, hubs: int | None) -> DataFrame:
+def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: Broadcast[list[np.ndarray]], least: int, hubs: int | None) -> DataFrame:
     """Pairs like candidate_pairs of each probe's node and every node that has its shingle and 8 of 9 of a stretch with it.
 
     With hubs, only so many of a shingle's nodes are taken.
@@ -459,11 +460,11 @@ def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: list[np.ndarray],
     asked = hot_bitmap(probes.select(F.col("x").alias("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_chunks(whole, "own", PIECE_BYTES)):
             out = []
             for node, base, raw in zip(*(batch.column(c) for c in ("a", "base", "own")), strict=True):
                 own = np.frombuffer(raw.as_buffer(), "<u4")
-                if len(own) >= least and _dense(own, bitmaps, least)[1].any():
+                if len(own) >= least and _dense(own, bitmaps.value, least)[1].any():
                     out.append((node.as_py(), base.as_py(), own, np.flatnonzero(_lookup(asked, own.astype(np.uint64))), np.zeros(0, np.int64)))
             yield _probe_rows(out, 2 * least)
 
@@ -579,8 +580,8 @@ def common_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> l
     return out
 
 
-def node_tokens(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """__node, __rep (the id of one of its documents) and __tokens (its shingles, 32 bits each) of the wanted nodes (__node)."""
+def node_tokens(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """__node, __rep (the id of one of its documents) and __tokens (its shingles, 32 bits each) of the wanted nodes (__node); before it the stored rows."""
     holders = nodes.join(bounded_broadcast(wanted), "__node", "left_semi").select(F.col("__lo").alias("__rep")).distinct()
     own = docs.join(bounded_broadcast(materialise(holders, "repeats-holders")), docs["__id"].eqNullSafe(F.col("__rep")), "left_semi")
 
@@ -590,9 +591,13 @@ def node_tokens(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int
         data = [raw[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(_signed(sequence_keys(tokens, first))), batch.column("__id"), pa.array(data, pa.binary())], ["__node", "__rep", "__tokens"])
 
-    # Rows whose id is that of another node's holder are no harm; equal rows are one.
+    # Rows whose id is that of another node's holder are no harm; equal rows are one. Texts are not shuffled for that.
     id_type = docs.schema["__id"].dataType.simpleString()
-    return arrow_map(own, "__text", kernel, f"__node bigint, __rep {id_type}, __tokens binary").groupBy("__node").agg(F.min("__rep").alias("__rep"), F.first("__tokens").alias("__tokens"))
+    held = arrow_map(own, "__text", kernel, f"__node bigint, __rep {id_type}, __tokens binary").withColumn("__row", F.monotonically_increasing_id())
+    held = materialise(held, "repeats-tokens")
+    best = held.groupBy("__node").agg(F.min(F.struct("__rep", "__row")).alias("__best"))
+    kept = bounded_broadcast(materialise(best.select(F.col("__best.__row").alias("__row")), "repeats-rows"))
+    return held, held.join(kept, "__row", "left_semi").drop("__row")
 
 
 def _beside(pairs: DataFrame, tokens: DataFrame, x: str) -> DataFrame:
@@ -602,9 +607,15 @@ def _beside(pairs: DataFrame, tokens: DataFrame, x: str) -> DataFrame:
     return joined.select(*pairs.columns, cut.alias(f"t{x}"), F.col("__rep").alias(f"r{x}"))
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, least: int, percent: int) -> DataFrame:
-    """__node, __from, __to (shingles, end exclusive), __partner (a document) of confirmed stretches, for both sides of each pair."""
+def verified(pairs: DataFrame, tokens: DataFrame, least: int, percent: int, narrow: bool = False) -> DataFrame:
+    """__node, __from, __to (shingles, end exclusive), __partner (a document) of confirmed stretches, for both sides of each pair.
+
+    narrow: only some of the nodes are in pairs, so that the others' texts need not be shuffled.
+    """
     id_type = tokens.schema["__rep"].dataType.simpleString()
+    if narrow:
+        nodes = bounded_broadcast(materialise(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), "repeats-compared"))
+        tokens = tokens.join(nodes, "__node", "left_semi")
     joined = _beside(_beside(pairs, tokens, "a"), tokens, "b").select("a", "b", "a0", "b0", "ta", "tb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -651,7 +662,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: in
     pairs, starred = candidate_pairs(texts, narrow, width, least, functions, enough, most)
     discard(texts)
     wanted = pairs.select(F.col("a").alias("__node")).union(pairs.select("b"))
-    tokens = materialise(node_tokens(narrow, nodes, wanted.distinct(), width), "repeats-tokens")
+    stored, tokens = node_tokens(narrow, nodes, wanted.distinct(), width)
     found = materialise(verified(pairs, tokens, least, percent), "repeats-found")
     if starred is not None:
         parts = starred_parts(starred, tokens, least)
@@ -662,13 +673,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: in
             if probes.isEmpty():
                 break
             more = probed_pairs(parts, probes, bitmaps, least, hubs)
-            found = materialise(found.unionByName(verified(more, tokens, least, percent)), "repeats-found")
+            found = materialise(found.unionByName(verified(more, tokens, least, percent, narrow=True)), "repeats-found")
             discard(probes, more)
+        bitmaps.destroy()
         discard(parts, starred)
     copies = nodes.where("__docs > 1").select("__node", F.lit(0).cast("bigint").alias("__from"), F.col("__n").alias("__to"), F.lit(None).cast(found.schema["__partner"].dataType).alias("__partner"))
     passages = merged(found.unionByName(copies)).join(nodes.select("__node", "__lo", "__hi", "__docs"), "__node")
     passages = materialise(passages, "repeats-passages")
-    discard(tokens, pairs)
+    discard(stored, pairs)
     out = join_groups(members.select("__id", "__node"), passages, "__node", "__docs", members.count()).select("*", F.explode("__passages").alias("__p"))
     words = F.col("__p.__to") + (width - 1)
     other = F.coalesce(F.col("__p.__partner"), F.when(F.col("__id").eqNullSafe(F.col("__lo")), F.col("__hi")).otherwise(F.col("__lo")))
