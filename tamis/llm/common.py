@@ -55,13 +55,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(F.broadcast(large), key).unionByName(rest.join(groups.where(F.col(size) <= least), key, how))
 
 
-def join_copies(rows: DataFrame, texts: DataFrame, key: str, spread: Column, most: int) -> DataFrame:
+def join_copies(rows: DataFrame, texts: DataFrame, key: str, spread: Column, most: int, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with texts, which have one row for each key.
 
     A key's rows are dealt to parts of about most rows by the hash spread, and its text is copied to each part: no task gets all
-    rows of a key. Keys of one part, nearly all, have one copy.
+    rows of a key. Keys of one part, nearly all, have one copy. counted: a stored table with the keys of rows, so that rows are
+    not made twice.
     """
-    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")).where("__parts > 1")
+    parts = (rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")).where("__parts > 1")
     parts = bounded_broadcast(materialise(parts, "parts"))
     dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(spread, F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))

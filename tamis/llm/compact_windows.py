@@ -17,7 +17,8 @@ about 2 / (LEAST + 1) of all. Two texts with a near-duplicate passage share the
 5. Stars leave partners out, so each stretch of LEAST shingles that holds such a key, and that no passage found covers, is
    searched for by itself. It can have a partner only if 8 of 9 of its shingles are near such keys of others too (a bitmap of
    bounded size tells); whatever partner it has, has one of its rarest shingles, one more than a ninth. These are compared
-   with some nodes that have them, and what is still left with all. No number of partners is bounded there.
+   with some nodes that have them, and what is still left with all: of those that can be partners some are verified first, the
+   rest if a stretch is open even then. No number of partners is bounded there.
 6. A node's stretches are merged, and each of its documents gets them. Equal texts share themselves whole.
 
 Nothing is gathered by node or key beyond MOST_NODES rows: pairs of a hub are dealt to parts of PAIRS, its text with each part.
@@ -51,6 +52,8 @@ MOST_NODES = 16
 HOT_BITS = 1 << 27
 #: Pairs that share one copy of a node's text.
 PAIRS = 256
+#: Partners of a probe in a block of that size that are verified first; the others follow if its stretches stay open.
+FEW = 4
 #: Bytes up to which what is near probes is broadcast.
 BLOCK_BYTES = 1 << 25
 #: Bytes of text that a kernel takes at once; its arrays are some two hundred times as large.
@@ -85,23 +88,22 @@ def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[
     """left, c, right of all compact windows of at least that length, positions in the whole array."""
     c, start, stop = stretch_minima(values, first, least)
     text = np.searchsorted(first, c, side="right") - 1
-    left, right = start.copy(), stop + least - 1
     low, high = first[text], first[text + 1] - 1
-    # Where c's stretches end because c leaves them, the next smaller value is beyond; it is a minimum itself, or there is none.
-    open_left, open_right = (start == c - least + 1).tolist(), (stop == c).tolist()
-    stack: list[int] = []
-    value, of, place, lows, highs = values[c].tolist(), text.tolist(), c.tolist(), low.tolist(), high.tolist()
-    for i, v in enumerate(value):
-        while stack and (of[stack[-1]] != of[i] or value[stack[-1]] > v):
-            j = stack.pop()
-            if open_right[j]:
-                right[j] = place[i] - 1 if of[j] == of[i] else highs[j]
-        if open_left[i]:
-            left[i] = place[stack[-1]] + 1 if stack else lows[i]
+    # Before and after each c the next minimum with a smaller value in its text; -1 without any.
+    before, after, stack, now = [-1] * len(c), [-1] * len(c), [-1], -1
+    value = [*values[c].tolist(), -1]  # what the stack ends with is the least
+    for i, (v, t) in enumerate(zip(value[:-1], text.tolist(), strict=True)):
+        if t != now:
+            stack, now = [-1], t
+        while value[stack[-1]] > v:
+            after[stack.pop()] = i
+        before[i] = stack[-1]
         stack.append(i)
-    for j in stack:
-        if open_right[j]:
-            right[j] = highs[j]
+    # Where c's stretches end because c leaves them, the next smaller value is beyond; it is a minimum itself, or there is none.
+    at = np.append(c, 0)
+    before, after = np.array(before, np.int64), np.array(after, np.int64)
+    left = np.where(start == c - least + 1, np.where(before < 0, low, at[before] + 1), start)
+    right = np.where(stop == c, np.where(after < 0, high, at[after] - 1), stop + least - 1)
     return left, c, right
 
 
@@ -184,12 +186,17 @@ def frequent_stretches(docs: DataFrame, hot: np.ndarray, width: int, least: int,
         for own in sets:
             count = sum(is_hot[k].astype(np.int64) for k in own)
             on = np.flatnonzero(count == len(own) if len(own) > enough else count > 0)
+            # Stretches one after the other with the same minima have one key, from the first to the last of them.
+            new = np.ones(len(on), bool)
+            new[1:] = np.any([at[k][on[1:]] != at[k][on[:-1]] for k in own], axis=0)
+            final = on[np.append(new[1:], True)[: len(on)]]
+            on = on[new]
             key = np.full(len(on), sum(1 << k for k in own), np.uint64)
             for k in own:
                 key = mix(key ^ value[k][on])
             c = at[own[0]][on]
             # What is near the stretch is looked at too: with changes in it, other minima are.
-            before, after = c - np.maximum(low[on], start[on] - least), np.minimum(high[on], start[on] + 2 * least - 1) - c
+            before, after = c - np.maximum(low[on], start[on] - least), np.minimum(high[on], start[final] + 2 * least - 1) - c
             parts.append((text[on], key, np.zeros(len(on), np.int64), c, before, after))
         on = np.flatnonzero(n_hot > functions - enough)
         up, down = powers(1 << max(16, len(tokens).bit_length()))
@@ -220,9 +227,9 @@ def hot_bitmap(large: DataFrame) -> np.ndarray | None:
     return out.ravel()
 
 
-def _repeats(windows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _repeats(windows: DataFrame, keys: DataFrame, name: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One row for each key and node of the keys that may be repeated; the keys that several nodes have, with their number and hubs."""
-    rows = possibly_repeated(windows, keys, "v", probes=1, slot=lambda key, _: F.shiftrightunsigned(F.col(key), 1)).where("__repeated")
+    rows = possibly_repeated(windows, keys, "v", probes=1, slot=lambda key, _: F.shiftrightunsigned(F.col(key), 1), total=total).where("__repeated")
     same = rows.groupBy("v", "a").agg(F.min("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("before").alias("before"), F.max("after").alias("after"))
     rows = materialise(same, f"repeats-{name}")
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("n > 1")
@@ -263,7 +270,8 @@ def candidate_pairs(texts: DataFrame, docs: DataFrame, width: int, least: int, f
     """a, b (nodes) and the hulls a0..a1, b0..b1 of what their windows have in common, if enough functions agree; and the rows
     v, a, lo, hi of keys of minima that were only paired by stars, of which open_probes and probed_pairs find the other partners."""
     windows = texts.select(F.col("__node").alias("a"), F.explode("__windows").alias("w")).select("a", "w.*")
-    rows, counts = _repeats(windows, texts.select(F.explode("__windows.v").alias("v")), "windows")
+    total = texts.agg(F.sum(F.size("__windows.k"))).first()[0] or 0
+    rows, counts = _repeats(windows, texts.select(F.explode("__windows.v").alias("v")), "windows", total)
     large = counts.where(F.col("n") > most)
     agree = _all_pairs(rows, large).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, k))").alias("ks"), *_hull()).where(F.bit_count("ks") >= enough).drop("ks")
     pairs = materialise(agree, "repeats-pairs")
@@ -455,7 +463,8 @@ def partners(cuts: list[np.ndarray], begins: list[np.ndarray], others: list[np.n
 def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: Broadcast[list[np.ndarray]], least: int, hubs: int | None) -> DataFrame:
     """Pairs like candidate_pairs of each probe's node and every node that has its shingle and 8 of 9 of a stretch with it.
 
-    With hubs, only so many of a shingle's nodes are taken.
+    of: the probe's node, a or b. few: whether b, or a, is among the first FEW that a probe finds in a block, as the nodes of an
+    open stretch lie in several blocks if they are many. With hubs, only so many of a shingle's nodes are taken.
     """
     asked = hot_bitmap(probes.select(F.col("x").alias("v")))
 
@@ -477,12 +486,13 @@ def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: Broadcast[list[np
                 rows = []
                 for i, found in enumerate(partners(cuts[0], begins, cuts[1], least)):
                     a, x = nodes[0][i], (bases[0][i], bases[0][i] + len(cuts[0][i]) - 1)
-                    for j in found.tolist():
+                    for n, j in enumerate(found.tolist()):
                         b, y = nodes[1][j], (bases[1][j], bases[1][j] + len(cuts[1][j]) - 1)
                         if a != b:
-                            rows.append((a, b, *x, *y) if a < b else (b, a, *y, *x))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], ["a", "b", "a0", "a1", "b0", "b1"])
+                            rows.append((a, b, *x, *y, a, n < FEW) if a < b else (b, a, *y, *x, a, n < FEW))
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "a0", "a1", "b0", "b1", "of", "few"])
 
     there = parts.mapInArrow(run, _PROBE)
     if hubs:
@@ -490,34 +500,40 @@ def probed_pairs(parts: DataFrame, probes: DataFrame, bitmaps: Broadcast[list[np
     there = materialise(there, "repeats-there")
     asking, small = _blocks(probes, "p"), (probes.agg(F.sum(F.length("cut"))).first()[0] or 0) <= BLOCK_BYTES
     both = _blocks(there, "q").join(F.broadcast(asking) if small else asking, "x")
-    pairs = materialise(both.select("p", "q").mapInArrow(compare, "a bigint, b bigint, a0 int, a1 int, b0 int, b1 int").groupBy("a", "b").agg(*_hull()), "repeats-pairs")
+    met = both.select("p", "q").mapInArrow(compare, "a bigint, b bigint, a0 int, a1 int, b0 int, b1 int, of bigint, few boolean")
+    pairs = materialise(met.groupBy("a", "b", "of").agg(*_hull(), F.max("few").alias("few")), "repeats-asked")
     discard(there)
     return pairs
 
 
-def _longest(found: np.ndarray) -> tuple[int, int]:
-    """The longest stretch with 8 matches of 9 or more, from and to (exclusive)."""
-    height = np.concatenate(([0], np.cumsum(np.where(found, 1, -8))))
+def _longest(found: np.ndarray, least: int) -> tuple[int, int]:
+    """The longest stretch with 8 matches of 9 or more, from and to (exclusive); (0, 0) if it is shorter than least."""
+    height = np.zeros(len(found) + 1, np.int64)
+    (9 * found.astype(np.int64) - 8).cumsum(out=height[1:])
     falls = np.minimum.accumulate(height)
-    starts = np.flatnonzero(np.concatenate(([True], falls[1:] < falls[:-1])))
+    if not (falls[: len(falls) - least] <= height[least:]).any():
+        return 0, 0
+    starts = np.append(0, (falls[1:] < falls[:-1]).nonzero()[0] + 1)
     peaks = np.maximum.accumulate(height[::-1])[::-1]
     # For each new low, the last point that isn't lower.
-    ends = np.searchsorted(-peaks, -height[starts], side="right") - 1
+    ends = (-peaks).searchsorted(-height[starts], side="right") - 1
     best = int((ends - starts).argmax())
     return int(starts[best]), int(ends[best])
 
 
 def _stretches(found: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Disjoint stretches with 8 matches of 9 or more that begin and end with a match, the longest first, then those beside it."""
-    out, todo = [], [(0, len(found))]
+    if found.all():
+        return [(0, len(found))] if len(found) >= least else []
+    out, todo, enough = [], [(0, len(found))], -(-8 * least // 9)
     while todo:
         lo, hi = todo.pop()
-        if hi - lo < least:
+        if hi - lo < least or np.count_nonzero(found[lo:hi]) < enough:
             continue
-        x, y = _longest(found[lo:hi])
-        inside = np.flatnonzero(found[lo + x : lo + y])
-        if y - x < least or not len(inside):
+        x, y = _longest(found[lo:hi], least)
+        if y - x < least:
             continue
+        inside = found[lo + x : lo + y].nonzero()[0]
         x, y = lo + x + int(inside[0]), lo + x + int(inside[-1]) + 1
         if y - x >= least:
             out.append((x, y))
@@ -600,10 +616,10 @@ def node_tokens(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int
     return held, held.join(kept, "__row", "left_semi").drop("__row")
 
 
-def _beside(pairs: DataFrame, tokens: DataFrame, x: str) -> DataFrame:
+def _beside(pairs: DataFrame, tokens: DataFrame, x: str, counted: DataFrame) -> DataFrame:
     """pairs with t<x>, the part of node x that is to be compared, and r<x>, its document. Nodes in many pairs have several copies of their text."""
     cut = F.expr(f"substring(__tokens, cast(4 * {x}0 + 1 as int), cast(4 * ({x}1 - {x}0 + 1) as int))")
-    joined = join_copies(pairs, tokens.withColumnRenamed("__node", x), x, F.xxhash64("a", "b"), PAIRS)
+    joined = join_copies(pairs, tokens.withColumnRenamed("__node", x), x, F.xxhash64("a", "b"), PAIRS, counted)
     return joined.select(*pairs.columns, cut.alias(f"t{x}"), F.col("__rep").alias(f"r{x}"))
 
 
@@ -616,7 +632,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: int, percent: int, narr
     if narrow:
         nodes = bounded_broadcast(materialise(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), "repeats-compared"))
         tokens = tokens.join(nodes, "__node", "left_semi")
-    joined = _beside(_beside(pairs, tokens, "a"), tokens, "b").select("a", "b", "a0", "b0", "ta", "tb", "ra", "rb")
+    joined = _beside(_beside(pairs, tokens, "a", pairs), tokens, "b", pairs).select("a", "b", "a0", "b0", "ta", "tb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -667,13 +683,28 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: in
     if starred is not None:
         parts = starred_parts(starred, tokens, least)
         bitmaps = frequency_bitmaps(parts, most)
-        # Some partners for all first, then all partners for what these leave.
+
+        def also(asked: DataFrame) -> DataFrame:
+            more = materialise(asked.groupBy("a", "b").agg(*_hull()), "repeats-pairs")
+            out = materialise(found.unionByName(verified(more, tokens, least, percent, narrow=True)), "repeats-found")
+            discard(more)
+            return out
+
+        # Some partners for all first, then all partners for what these leave. Passages only close stretches, so that nodes that ask
+        # nothing now ask nothing later.
+        asking = parts
         for hubs in (most, None):
-            probes = open_probes(parts, found, bitmaps, least)
+            probes = open_probes(asking, found, bitmaps, least)
             if probes.isEmpty():
                 break
+            asking = parts.join(bounded_broadcast(materialise(probes.select("a").distinct(), "repeats-open")), "a", "left_semi")
             more = probed_pairs(parts, probes, bitmaps, least, hubs)
-            found = materialise(found.unionByName(verified(more, tokens, least, percent, narrow=True)), "repeats-found")
+            found = also(more if hubs else more.where("few"))
+            rest = more.where("not few")
+            if not hubs and not rest.isEmpty():
+                asking = parts.join(bounded_broadcast(materialise(rest.select(F.col("of").alias("a")).distinct(), "repeats-open")), "a", "left_semi")
+                still = materialise(open_probes(asking, found, bitmaps, least).select(F.col("a").alias("of")).distinct(), "repeats-open")
+                found = also(rest.join(bounded_broadcast(still), "of", "left_semi"))
             discard(probes, more)
         bitmaps.destroy()
         discard(parts, starred)

@@ -38,12 +38,13 @@ def hex_slot(key: str, probe: int) -> Column:
     return F.conv(F.substring(F.col(key), 1 + 16 * probe, 13), 16, 10).cast("bigint")
 
 
-def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = MAX_BITS, probes: int = 2, slot: Callable[[str, int], Column] = hex_slot) -> DataFrame:
+def possibly_repeated(rows: DataFrame, keys: DataFrame, key: str, max_bits: int = MAX_BITS, probes: int = 2, slot: Callable[[str, int], Column] = hex_slot, total: int | None = None) -> DataFrame:
     """rows with a boolean column __repeated, true for every row whose key is not alone in keys and for a few others.
 
     slot gives a number of 0 or more for a key's column and a probe; its remainder by the filter's size is the key's slot.
+    total: the number of keys, if it is known.
     """
-    total = keys.count()
+    total = keys.count() if total is None else total
     parts = max(1, -(-8 * total // max_bits))
     bits = max(1, -(-8 * total // (parts * BITMAP_BITS))) * BITMAP_BITS
     if parts == 1:

@@ -626,6 +626,22 @@ def test_passages_longer_than_what_all_have(spark):
     assert found == dict.fromkeys(range(120), (20, 83)), Counter(found.values())
 
 
+def test_pairs_are_joined_with_texts_once(spark, monkeypatch):
+    """How many copies of a text a node's pairs need is counted on the stored pairs, not on pairs that are joined with texts for that."""
+    plans, stored = [], common.materialise
+
+    def kept(df, name, *by):
+        if name == "parts":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name, *by)
+
+    monkeypatch.setattr(common, "materialise", kept)
+    passage = " ".join(f"p{i}" for i in range(80))
+    df = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(300)], "doc_id bigint, text string")
+    assert {(r.start_word, r.end_word) for r in compact_windows.repeated_passages(df).collect()} == {(0, 80)}
+    assert len(plans) >= 2 and not any("Join" in x for x in plans)
+
+
 def test_partners_of_open_stretches():
     """Of 200 sets of shingles those come out that have 8 of 9 of what holds an open stretch, and only those."""
     rng = np.random.default_rng(18)
