@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, minmax_dedup, mixing, piece_table, sharding, zstd_langid
+from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, merkle_manifest, minmax_dedup, mixing, piece_table, sharding, zstd_langid
 
 
 def piece_model() -> str:
@@ -68,6 +68,13 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_documents(_documents(spark, sf_dir), piece_model())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = _documents(spark, sf_dir)
+    proven = merkle_manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claimed={"n_chars": F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return proven.drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_zstd_langid": op2_zstd_langid,
@@ -79,10 +86,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _HASH = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
 
+#: crc32 of a text, with the table of the 256 bytes from a row crc(t).
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(text: str, table: str = "t") -> str:
+    raw = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {raw}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    columns = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
 ORACLES: dict[str, str] = {
     "op5_bloom_dedup": r"""
         WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -114,4 +136,26 @@ ORACLES: dict[str, str] = {
              counts AS (SELECT doc_id, source, rate, CAST(sum((SELECT count(*) FROM cdf WHERE cdf.m = drawn.m AND drawn.u >= cdf.c)) AS INT) AS copies FROM drawn GROUP BY ALL),
              rows AS (SELECT *, unnest(range(copies)) AS copy FROM counts)
         SELECT doc_id, source, round(rate, 6) AS rate, copies, CAST(copy AS INT) AS copy, {_HASH.format("'mix-order|' || doc_id || '|' || copy")} AS shuffle_key FROM rows""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+             leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed, {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS touched FROM documents, crc),
+             placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS at FROM leaves),
+             below(tree, level, idx, digest, width) AS (
+                 SELECT tree, 0, at, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+                 UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM below WHERE width > 1 GROUP BY tree, level, idx // 2, width),
+             roots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS at FROM below WHERE width = 1),
+             above(level, idx, digest, width) AS (
+                 SELECT 0, at, subroot, count(*) OVER () FROM roots
+                 UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM above WHERE width > 1 GROUP BY level, idx // 2, width),
+             low(doc_id, leaf, tree, subroot, level, idx, folded, proof) AS (
+                 SELECT doc_id, leaf, tree, subroot, 0, p.at, CASE WHEN touched THEN changed ELSE leaf END, '' FROM placed p JOIN roots USING (tree)
+                 UNION ALL SELECT f.doc_id, f.leaf, f.tree, f.subroot, f.level + 1, f.idx // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.folded ELSE f.folded || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+                 FROM low f JOIN below o ON o.tree = f.tree AND o.level = f.level AND o.idx = f.idx AND o.width > 1 LEFT JOIN below s ON s.tree = f.tree AND s.level = f.level AND s.idx = xor(f.idx, 1)),
+             mid AS (SELECT l.*, r.at FROM low l JOIN roots r USING (tree) JOIN below b ON b.tree = l.tree AND b.level = l.level AND b.width = 1),
+             high(doc_id, leaf, subroot, level, idx, folded, proof) AS (
+                 SELECT doc_id, leaf, subroot, 0, at, folded, proof FROM mid
+                 UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.idx // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.folded ELSE f.folded || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+                 FROM high f JOIN above o ON o.level = f.level AND o.idx = f.idx AND o.width > 1 LEFT JOIN above s ON s.level = f.level AND s.idx = xor(f.idx, 1))
+        SELECT h.doc_id, h.leaf, h.subroot, a.digest AS root, sha256(h.proof) AS proof_sha256, h.folded AS folded_root, h.folded = a.digest AS verified
+        FROM high h JOIN above a ON a.level = h.level AND a.width = 1""",
 }
