@@ -139,21 +139,21 @@ ORACLES: dict[str, str] = {
     "op13_merkle_manifest": f"""
         WITH RECURSIVE {_CRC_TABLE},
              leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed, {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS touched FROM documents, crc),
-             placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS at FROM leaves),
+             placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos FROM leaves),
              below(tree, level, idx, digest, width) AS (
-                 SELECT tree, 0, at, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+                 SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
                  UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM below WHERE width > 1 GROUP BY tree, level, idx // 2, width),
-             roots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS at FROM below WHERE width = 1),
+             roots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM below WHERE width = 1),
              above(level, idx, digest, width) AS (
-                 SELECT 0, at, subroot, count(*) OVER () FROM roots
+                 SELECT 0, pos, subroot, count(*) OVER () FROM roots
                  UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (width + 1) // 2 FROM above WHERE width > 1 GROUP BY level, idx // 2, width),
              low(doc_id, leaf, tree, subroot, level, idx, folded, proof) AS (
-                 SELECT doc_id, leaf, tree, subroot, 0, p.at, CASE WHEN touched THEN changed ELSE leaf END, '' FROM placed p JOIN roots USING (tree)
+                 SELECT doc_id, leaf, tree, subroot, 0, p.pos, CASE WHEN touched THEN changed ELSE leaf END, '' FROM placed p JOIN roots USING (tree)
                  UNION ALL SELECT f.doc_id, f.leaf, f.tree, f.subroot, f.level + 1, f.idx // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.folded ELSE f.folded || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
                  FROM low f JOIN below o ON o.tree = f.tree AND o.level = f.level AND o.idx = f.idx AND o.width > 1 LEFT JOIN below s ON s.tree = f.tree AND s.level = f.level AND s.idx = xor(f.idx, 1)),
-             mid AS (SELECT l.*, r.at FROM low l JOIN roots r USING (tree) JOIN below b ON b.tree = l.tree AND b.level = l.level AND b.width = 1),
+             mid AS (SELECT l.*, r.pos FROM low l JOIN roots r USING (tree) JOIN below b ON b.tree = l.tree AND b.level = l.level AND b.width = 1),
              high(doc_id, leaf, subroot, level, idx, folded, proof) AS (
-                 SELECT doc_id, leaf, subroot, 0, at, folded, proof FROM mid
+                 SELECT doc_id, leaf, subroot, 0, pos, folded, proof FROM mid
                  UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.idx // 2, sha256(CASE WHEN f.idx % 2 = 1 THEN s.digest || f.folded ELSE f.folded || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
                  FROM high f JOIN above o ON o.level = f.level AND o.idx = f.idx AND o.width > 1 LEFT JOIN above s ON s.level = f.level AND s.idx = xor(f.idx, 1))
         SELECT h.doc_id, h.leaf, h.subroot, a.digest AS root, sha256(h.proof) AS proof_sha256, h.folded AS folded_root, h.folded = a.digest AS verified
