@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, merkle_manifest, minmax_dedup, mixing, piece_table, sharding, zstd_langid
+from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, merkle_manifest, minmax_dedup, mixing, piece_table, sharding, spelling_variants, zstd_langid
 
 
 def piece_model() -> str:
@@ -68,6 +68,10 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_documents(_documents(spark, sf_dir), piece_model())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_documents(spark, sf_dir), alter=spelling_variants.Alteration(199))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     docs = _documents(spark, sf_dir)
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -136,6 +141,20 @@ ORACLES: dict[str, str] = {
              counts AS (SELECT doc_id, source, rate, CAST(sum((SELECT count(*) FROM cdf WHERE cdf.m = drawn.m AND drawn.u >= cdf.c)) AS INT) AS copies FROM drawn GROUP BY ALL),
              rows AS (SELECT *, unnest(range(copies)) AS copy FROM counts)
         SELECT doc_id, source, round(rate, 6) AS rate, copies, CAST(copy AS INT) AS copy, {_HASH.format("'mix-order|' || doc_id || '|' || copy")} AS shuffle_key FROM rows""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+             runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+             each AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY ALL),
+             hashed AS (SELECT run, c, {_crc("(doc_id || ':' || run)")} AS h FROM each, crc),
+             made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+             w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+             cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+             pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                       UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+             best AS (SELECT word, count(*) AS n_near, min({{'less': -near_n, 'near': encode(near)}}) AS best FROM pairs GROUP BY word),
+             forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN decode(best.near) END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM w LEFT JOIN best USING (word)),
+             way(word, root, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT v.word, v.form, f.form FROM way v JOIN forms f ON v.form = f.word)
+        SELECT f.word, f.form, v.root, f.n, f.n_near, f.form_n FROM forms f JOIN way v ON f.word = v.word AND v.form IS NULL""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE {_CRC_TABLE},
              leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed, {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS touched FROM documents, crc),
