@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, merkle_manifest, minmax_dedup, mixing, piece_table, sharding, spelling_variants, zstd_langid
+from . import compact_windows, exact_dedup, gif_media, gru_lm, html_paths, merkle_manifest, minmax_dedup, mixing, piece_table, quality_net, sharding, spelling_variants, zstd_langid
 
 
 def piece_model() -> str:
@@ -68,6 +68,12 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_documents(_documents(spark, sf_dir), piece_model())
 
 
+def op11_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _documents(spark, sf_dir), zstd_langid.held_out("doc_id", 5, 0)
+    model = quality_net.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return quality_net.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(_documents(spark, sf_dir), alter=spelling_variants.Alteration(199))
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_piece_table": op10_piece_table,
+    "op11_quality_net": op11_quality_net,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
