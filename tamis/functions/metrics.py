@@ -13,11 +13,15 @@ from pyspark.sql import types as T
 DISTINCT_IN_PASS = 1
 
 
-def aggregate(check: str, name: str, kind: T.DataType, approx: bool, rows: Column | None = None) -> Column:
-    """The aggregate of a field; of the rows where rows holds, if given. Text is tried as a number for sums and means."""
+def measured_column(check: str, name: str, kind: T.DataType) -> Column:
+    """What a table check aggregates: the field, which for sums and means is tried as a number."""
     c = F.col(f"`{name}`")
-    if check in ("has_sum", "has_mean", "has_std") and not isinstance(kind, T.NumericType):
-        c = c.try_cast("double")
+    return c.try_cast("double") if check in ("has_sum", "has_mean", "has_std") and not isinstance(kind, T.NumericType) else c
+
+
+def aggregate(check: str, name: str, kind: T.DataType, approx: bool, rows: Column | None = None) -> Column:
+    """The aggregate of a field; of the rows where rows holds, if given."""
+    c = measured_column(check, name, kind)
     if rows is not None:
         c = F.when(rows, c)
     if check == "has_cardinality":

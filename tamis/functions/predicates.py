@@ -279,6 +279,36 @@ def register_rule(check_type: str, build: Callable[[Context, RuleDefinition], Co
     _BUILD[check_type] = build
 
 
+@dataclass(frozen=True)
+class TableRule:
+    """A table check of the user's own: its aggregate, and what its figure is judged by (None: as those of the library)."""
+
+    figure: Callable[[Context, RuleDefinition, Column], Column]
+    meets: Callable[[Any, RuleDefinition], bool] | None = None
+
+
+TABLE_RULES: dict[str, TableRule] = {}
+
+
+def register_table_rule(check_type: str, figure: Callable[[Context, RuleDefinition, Column], Column], meets: Callable[[Any, RuleDefinition], bool] | None = None, category: str = "custom") -> None:
+    """Add a table check of one's own. figure gives an aggregate column, which is measured in the same pass as all others.
+
+    figure's third argument is true for rows that count (those of the rule's filter). meets takes the measured figure, as a number if it is
+    one, else as text, None for nothing, and the rule; without it the figure has to be within threshold * |value| of the value.
+    """
+    MANIFEST[check_type] = Check(check_type, "TABLE", category)
+    TABLE_RULES[check_type] = TableRule(figure, meets)
+
+
+def table_figure(ctx: Context, rule: RuleDefinition) -> Column:
+    """The aggregate of a table check of the user's own."""
+    missing = [f for f in rule.fields if f and f != "*" and f not in ctx.schema.fieldNames()]
+    if missing:
+        raise RuleError(f"there is no field '{missing[0]}'")
+    rows = F.coalesce(F.expr(f"({rule.filter})"), F.lit(False)) if rule.filter else F.lit(True)
+    return TABLE_RULES[rule.canonical].figure(ctx, rule, rows)
+
+
 def fail_predicate(ctx: Context, rule: RuleDefinition, null_policy: str = "skip") -> Column:
     """True where the row fails, never NULL. Rows that can't be judged pass under "skip" and fail under "fail"."""
     if null_policy not in ("skip", "fail"):

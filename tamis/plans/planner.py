@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import DISTINCT_IN_PASS, aggregate, group_row, information_gain
-from ..functions.predicates import Context, RuleError, fail_predicate
+from ..functions.predicates import TABLE_RULES, Context, RuleError, fail_predicate, table_figure
 from ..rules import RuleDefinition
 
 UNIQUE = {"is_unique", "are_unique"}
@@ -29,6 +29,8 @@ class BoundRule:
     kind: str
     fails: Column | None = None
     error: str | None = None
+    #: The aggregate of a table rule of the user's own.
+    figure: Column | None = None
 
 
 @dataclass
@@ -45,6 +47,10 @@ class ValidationPlan:
         """The same plan with all other rules left out; numbers stay."""
         return ValidationPlan(self.df, [b if i in members else BoundRule(b.rule, b.rule_id, "none") for i, b in enumerate(self.bound)], self.context, self.approx)
 
+    def over(self, df: DataFrame) -> ValidationPlan:
+        """The same rules, and errors found from now on, over another table of the same schema."""
+        return ValidationPlan(df, self.bound, self.context, self.approx)
+
     @cached_property
     def metrics_frame(self) -> DataFrame:
         return self.metrics()
@@ -97,21 +103,22 @@ class ValidationPlan:
                 measures[f"f{i}"] = F.count_if(b.fails)
             elif b.kind == "aggregate":
                 name = b.rule.fields[0]
-                measures[f"a{i}"] = aggregate(b.rule.canonical, name, self.context.kind(name), self.approx, where)
+                measures[f"a{i}"] = b.figure if b.figure is not None else aggregate(b.rule.canonical, name, self.context.kind(name), self.approx, where)
         row = self.df.agg(*(c.alias(k) for k, c in measures.items()))
-        entries = [_entry(-1, F.col("n"))] if only is None else []
+        entries = [entry(-1, F.col("n"))] if only is None else []
         for i, b in enumerate(self.bound):
             total = F.col(f"t{i}") if f"t{i}" in measures else F.lit(None)
             if f"f{i}" in measures:
-                entries.append(_entry(i, total, F.col(f"f{i}")))
+                entries.append(entry(i, total, F.col(f"f{i}")))
             elif f"a{i}" in measures:
-                entries.append(_entry(i, total, None, F.col(f"a{i}")))
+                entries.append(entry(i, total, None, F.col(f"a{i}")))
             elif only is None and f"t{i}" in measures:
-                entries.append(_entry(-2 - i, total))
+                entries.append(entry(-2 - i, total))
         return row.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
 
 
-def _entry(i: int, total: Column, fails: Column | None = None, value: Column | None = None) -> Column:
+def entry(i: int, total: Column, fails: Column | None = None, value: Column | None = None) -> Column:
+    """A struct of METRIC_SCHEMA; value is the measured figure."""
     none = F.lit(None)
     text = none if value is None else value.cast("string")
     return F.struct(
@@ -168,6 +175,8 @@ def _bind_one(context: Context, rule: RuleDefinition, rule_id: str, null_policy:
     name = rule.canonical
     if name == "validate_schema":
         return BoundRule(rule, rule_id, "schema")
+    if name in TABLE_RULES:
+        return BoundRule(rule, rule_id, "aggregate", figure=table_figure(context, rule))
     if rule.level == "ROW" and name not in UNIQUE:
         return BoundRule(rule, rule_id, "row", fail_predicate(context, rule, null_policy))
     missing = [f for f in rule.fields if f not in context.schema.fieldNames()]

@@ -7,17 +7,21 @@ import tempfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from .functions.predicates import register_table_rule
+from .operators.metric_states import metric_states
 from .operators.profile import profile_df
 from .operators.schema_contract import SchemaDef, extract_schema, validate_schema
 from .operators.validate import validate
+from .plans.planner import bind
 from .plans.sqlgen import compile_rules_to_sql
 from .rules import RuleDefinition as R
 from .sources.rules_store import load_rules, load_rules_csv, save_rules_csv
 from .sources.scratch import scratch_path
-from .streaming.stream import validate_stream, windowed_metrics
+from .streaming.stream import read_committed, validate_stream, windowed_metrics
 
 AS_OF = "1996-06-15"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,3 +374,92 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = json.loads(json.dumps(validate(read(spark, sf_dir, "orders"), [R("o_orderstatus", "is_in", ["F", "O"]), R("o_custkey", "is_complete")]).summary(key_columns=["o_orderkey"]), default=str))
     row = (s["total_rows"], s["total_validations"], s["passed"], s["failed"], s["validations"][0]["fail_count"])
     return spark.createDataFrame([row], "total_rows bigint, validations int, passed int, failed int, fail_count bigint")
+
+
+def replayed(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame, str], StreamingQuery], slices: int = 3) -> str:
+    """Put events into a folder in slices by their id, and run a stream over the folder after each; the stream's folder of its own."""
+    events, folder = read(spark, sf_dir, "events"), scratch_path(spark, "replay")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [low + (high - low + 1) * i // slices for i in range(slices + 1)]
+    for a, b in zip(cuts, cuts[1:]):
+        events.where((F.col("event_id") >= a) & (F.col("event_id") < b)).write.mode("append").parquet(f"{folder}/source")
+        start(spark.readStream.schema(events.schema).parquet(f"{folder}/source"), folder).awaitTermination()
+    return folder
+
+
+THROWING = R("*", "satisfies", "CAST(CASE WHEN value > 40 THEN event_type ELSE '7' END AS INT) > 5")
+
+
+@query("stream_rule_errors", f"SELECT *, 1 AS rule_errors FROM ({ORACLES['stream_split'].replace(' OR isodow(CAST(ts AS DATE)) > 5', '').replace(' + (isodow(CAST(ts AS DATE)) > 5)::INT', '')}) q")
+def stream_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that throws on some rows, beside two good ones, in several batches: it is switched off with an error, all rows reach a sink."""
+    runs = []
+
+    def start(stream: DataFrame, folder: str) -> StreamingQuery:
+        runs.append(validate_stream(stream, [STREAM_RULES[0], THROWING, STREAM_RULES[1]]))
+        return runs[-1].write(f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint")
+
+    folder = replayed(spark, sf_dir, start)
+    good = read_committed(spark, f"{folder}/good", f"{folder}/checkpoint").select("event_id", F.lit(False).alias("bad"), F.lit(0).alias("errors"))
+    bad = read_committed(spark, f"{folder}/bad", f"{folder}/checkpoint").select("event_id", F.lit(True).alias("bad"), F.size("_dq_errors").alias("errors"))
+    return good.unionByName(bad).withColumn("rule_errors", F.lit(len(runs[-1].errors)))
+
+
+STATE_RULES = [
+    R("value", "has_mean", 50, 0.1), R("value", "has_std", 29, 0.1), R("value", "has_min", 0, 0), R("value", "has_max", 100, 0.1), R("user_id", "has_cardinality", 100, 0.5), R("event_id", "has_sum", 1, 0),
+    R("event_type", "has_entropy", 2, 0.5), R("event_type,user_id", "has_infogain", 0.5, 0.1),
+]
+_E = "(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM events GROUP BY {}))"
+_STATE_SQL = ["avg(value)", "stddev_samp(value)", "min(value)", "max(value)", "count(DISTINCT user_id)", "sum(event_id)", _E.format("event_type"), f"{_E.format('event_type')} + {_E.format('user_id')} - {_E.format('event_type, user_id')}"]
+_STATE_ORACLE = "WITH r AS (" + " UNION ALL ".join(f"SELECT '{r.check_type}' AS check_type, '{r.label}' AS field, (SELECT CAST({sql} AS DOUBLE) FROM events) AS a, {r.value} AS e, {r.threshold} AS tol" if "events GROUP" not in sql else f"SELECT '{r.check_type}', '{r.label}', {sql}, {r.value}, {r.threshold}" for r, sql in zip(STATE_RULES, _STATE_SQL)) + """)
+    SELECT check_type, field, CASE WHEN abs(a - e) <= tol * abs(e) THEN 'PASS' ELSE 'FAIL' END AS status, round(a, 6) AS actual FROM r"""
+
+
+@query("metric_states", _STATE_ORACLE)
+def metric_states_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of table rules by day, stored, read again, merged: the verdicts of one pass over all days."""
+    events = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    states, folder = metric_states(bind(events, STATE_RULES), by=["day"]), scratch_path(spark, "states")
+    states.write(folder)
+    report = states.read(folder).report().to_df()
+    return report.select("check_type", "field", "status", F.round(F.col("actual").cast("double"), 6).alias("actual"))
+
+
+TOTAL_RULES = [*STATE_RULES[:5], R("value", "is_between", [10, 90]), R("event_type", "not_in", ["error"], 0.5), R("user_id,event_type", "are_unique")]
+
+
+@query("stream_totals", f"""
+    SELECT check_type, field, status, actual, -1 AS fail_count FROM ({_STATE_ORACLE}) q WHERE check_type NOT IN ('has_sum', 'has_entropy', 'has_infogain')
+    UNION ALL SELECT check_type, field, CASE WHEN (n - f) / CAST(n AS DOUBLE) >= t THEN 'PASS' ELSE 'FAIL' END, round((n - f) / CAST(n AS DOUBLE), 6), f FROM (
+        SELECT 'is_between' AS check_type, 'value' AS field, 1.0 AS t, count(*) AS n, count(*) FILTER (WHERE NOT value BETWEEN 10 AND 90) AS f FROM events
+        UNION ALL SELECT 'not_in', 'event_type', 0.5, count(*), count(*) FILTER (WHERE event_type IN ('error')) FROM events
+        UNION ALL SELECT 'are_unique', 'user_id,event_type', 1.0, sum(n), coalesce(sum(n) FILTER (WHERE n > 1), 0) FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)) q""")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table and uniqueness rules on a stream of several batches, answered in total from the states of its batches."""
+    runs = []
+
+    def start(stream: DataFrame, folder: str) -> StreamingQuery:
+        runs.append(validate_stream(stream, TOTAL_RULES, totals=True))
+        return runs[-1].write(f"{folder}/good", f"{folder}/bad", f"{folder}/checkpoint")
+
+    folder = replayed(spark, sf_dir, start)
+    report = runs[-1].report(spark, f"{folder}/checkpoint").to_df()
+    return report.select("check_type", "field", "status", F.round(F.col("actual").cast("double"), 6).alias("actual"), F.coalesce("fail_count", F.lit(-1)).cast("bigint").alias("fail_count"))
+
+
+def weighted_mean(context, rule: R, rows) -> Column:
+    """A table rule of a user's own: the mean of the first field, weighted by the second."""
+    value, weight = (F.col(f) for f in rule.fields)
+    return F.sum(F.when(rows, value * weight)) / F.sum(F.when(rows, weight))
+
+
+@query("custom_table_rule", """
+    WITH r AS (SELECT 'has_weighted_mean' AS check_type, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS a FROM lineitem
+               UNION ALL SELECT 'has_weighted_mean', sum(l_extendedprice * l_quantity) / sum(l_quantity) FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'has_mean', avg(l_quantity) FROM lineitem)
+    SELECT check_type, round(a, 3) AS actual, CASE WHEN check_type = 'has_mean' OR a > 1000 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
+def custom_table_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rules of a user's own, with a verdict of their own, in the pass of the others."""
+    register_table_rule("has_weighted_mean", weighted_mean, lambda actual, rule: actual is not None and actual > rule.value)
+    fields = "l_extendedprice,l_quantity"
+    rules = [R(fields, "has_weighted_mean", 1000), R(fields, "has_weighted_mean", 1000, filter="l_returnflag = 'A'"), R("l_quantity", "has_mean", 25, 0.5)]
+    return validate(read(spark, sf_dir, "lineitem"), rules).to_df().select("check_type", F.round(F.col("actual").cast("double"), 3).alias("actual"), "status")
