@@ -100,9 +100,9 @@ def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for piece in text_chunks(batch, "text"):
             bucket, first = tokens(piece.column("text"))
             if len(bucket):
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")  # BUCKET_BITS bits
                 begins = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                sums[bucket[order[begins]]] += np.add.reduceat(contexts(bucket, first, index)[order], begins, axis=0, dtype=np.int64)
+                sums[bucket[order[begins]]] += np.add.reduceat(contexts(bucket, first, index)[order].astype(np.int32), begins, axis=0)
     seen = np.flatnonzero(sums.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(sums[seen, j]) for j in range(DIMENSIONS))], ["bucket", *(f"d{j}" for j in range(DIMENSIONS))])
     release_memory()
@@ -121,16 +121,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of each text."""
+    """Features of each text, from its distinct buckets and how often it has them."""
     bucket, first = tokens(column)
     count = np.diff(first)
-    some = np.flatnonzero(count)
+    keys, times = np.unique(np.repeat(np.arange(len(count)), count) << BUCKET_BITS | bucket, return_counts=True)
+    begins = np.searchsorted(keys >> BUCKET_BITS, np.arange(len(count) + 1))
+    own = vectors[keys & ((1 << BUCKET_BITS) - 1)]
+    squares, weights = own * own, times.astype(np.float32)
     out = np.zeros((len(count), 2 * DIMENSIONS))
-    if len(some):
-        own = vectors[bucket]
-        mean = np.add.reduceat(own, first[some], axis=0, dtype=np.float64) / count[some, None]
-        square = np.add.reduceat(own * own, first[some], axis=0, dtype=np.float64) / count[some, None]
-        out[some] = np.concatenate((mean, np.sqrt(np.maximum(square - mean * mean, 0))), axis=1)
+    for i in np.flatnonzero(count):
+        a, b = begins[i], begins[i + 1]
+        mean, square = weights[a:b] @ own[a:b] / np.float64(count[i]), weights[a:b] @ squares[a:b] / np.float64(count[i])
+        out[i, :DIMENSIONS], out[i, DIMENSIONS:] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
     return out
 
 
