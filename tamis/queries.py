@@ -21,6 +21,7 @@ from .plans.sqlgen import compile_rules_to_sql
 from .rules import RuleDefinition as R
 from .sources.rules_store import load_rules, load_rules_csv, save_rules_csv
 from .sources.scratch import scratch_path
+from .streaming.seen import flag_seen, keyed_state
 from .streaming.stream import read_committed, validate_stream, windowed_metrics
 
 AS_OF = "1996-06-15"
@@ -463,3 +464,15 @@ def custom_table_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = "l_extendedprice,l_quantity"
     rules = [R(fields, "has_weighted_mean", 1000), R(fields, "has_weighted_mean", 1000, filter="l_returnflag = 'A'"), R("l_quantity", "has_mean", 25, 0.5)]
     return validate(read(spark, sf_dir, "lineitem"), rules).to_df().select("check_type", F.round(F.col("actual").cast("double"), 3).alias("actual"), "status")
+
+
+@query("stream_unique", "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS seen_before FROM events")
+def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in several batches; each row is told whether its user has had an event of that type before."""
+
+    def start(stream: DataFrame, folder: str) -> StreamingQuery:
+        flagged = flag_seen(stream.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
+        with keyed_state(spark):
+            return flagged.writeStream.format("parquet").option("path", f"{folder}/flagged").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    return spark.read.parquet(f"{replayed(spark, sf_dir, start)}/flagged")
