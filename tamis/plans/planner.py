@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import cached_property, reduce
@@ -62,8 +62,7 @@ class ValidationPlan:
         shared by all rules on it.
         """
         frames = [self._fused()]
-        cardinal = [i for i, b in enumerate(self.bound) if b.kind == "aggregate" and b.rule.canonical == "has_cardinality"]
-        rest = [] if self.approx else cardinal[DISTINCT_IN_PASS:]
+        rest = self._late()
         frames += [self._fused(rest[a : a + DISTINCT_IN_PASS]) for a in range(0, len(rest), DISTINCT_IN_PASS)]
         groups: dict[tuple, list[int]] = {}
         for i, b in enumerate(self.bound):
@@ -89,32 +88,47 @@ class ValidationPlan:
     def _rows(self, rule: RuleDefinition) -> DataFrame:
         return self.df.where(rule.filter) if rule.filter else self.df
 
-    def _fused(self, only: Sequence[int] | None = None) -> DataFrame:
-        """Everything that one pass can measure; or only those rules."""
-        late = [i for i, b in enumerate(self.bound) if b.kind == "aggregate" and b.rule.canonical == "has_cardinality"][DISTINCT_IN_PASS:]
-        measures: dict[str, Column] = {} if only is not None else {"n": F.count(F.lit(1))}
+    def _late(self) -> list[int]:
+        """Exact distinct counts beyond those of the fused pass."""
+        return [] if self.approx else [i for i, b in enumerate(self.bound) if b.kind == "aggregate" and b.rule.canonical == "has_cardinality"][DISTINCT_IN_PASS:]
+
+    def measures(self, only: Collection[int] | None = None) -> dict[str, Column]:
+        """The aggregates of one pass: of all that it can measure, with the table's rows, or of those rules alone."""
+        out: dict[str, Column] = {} if only is not None else {"n": F.count(F.lit(1))}
+        late = self._late()
         for i, b in enumerate(self.bound):
-            if (only is not None and i not in only) or (only is None and i in late and not self.approx):
+            if only is not None and i not in only:
                 continue
             where = F.coalesce(F.expr(f"({b.rule.filter})"), F.lit(False)) if b.rule.filter and b.kind not in ("none", "schema") else None
             if where is not None and only is None:
-                measures[f"t{i}"] = F.count_if(where)
+                out[f"t{i}"] = F.count_if(where)
+            if only is None and i in late:
+                continue
             if b.kind == "row":
-                measures[f"f{i}"] = F.count_if(b.fails)
+                out[f"f{i}"] = F.count_if(b.fails)
             elif b.kind == "aggregate":
                 name = b.rule.fields[0]
-                measures[f"a{i}"] = b.figure if b.figure is not None else aggregate(b.rule.canonical, name, self.context.kind(name), self.approx, where)
+                out[f"a{i}"] = b.figure if b.figure is not None else aggregate(b.rule.canonical, name, self.context.kind(name), self.approx, where)
+        return out
+
+    def entries(self, of: Mapping[str, Column], only: Collection[int] | None = None) -> list[Column]:
+        """Structs of METRIC_SCHEMA from the columns of measures()."""
+        out = [entry(-1, of["n"])] if only is None else []
+        for i in range(len(self.bound)):
+            total = of.get(f"t{i}", F.lit(None))
+            if f"f{i}" in of:
+                out.append(entry(i, total, of[f"f{i}"]))
+            elif f"a{i}" in of:
+                out.append(entry(i, total, None, of[f"a{i}"]))
+            elif only is None and f"t{i}" in of:
+                out.append(entry(-2 - i, total))
+        return out
+
+    def _fused(self, only: Sequence[int] | None = None) -> DataFrame:
+        """Everything that one pass can measure; or only those rules."""
+        measures = self.measures(only)
         row = self.df.agg(*(c.alias(k) for k, c in measures.items()))
-        entries = [entry(-1, F.col("n"))] if only is None else []
-        for i, b in enumerate(self.bound):
-            total = F.col(f"t{i}") if f"t{i}" in measures else F.lit(None)
-            if f"f{i}" in measures:
-                entries.append(entry(i, total, F.col(f"f{i}")))
-            elif f"a{i}" in measures:
-                entries.append(entry(i, total, None, F.col(f"a{i}")))
-            elif only is None and f"t{i}" in measures:
-                entries.append(entry(-2 - i, total))
-        return row.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
+        return row.select(F.explode(F.array(*self.entries({k: F.col(k) for k in measures}, only))).alias("m")).select("m.*")
 
 
 def entry(i: int, total: Column, fails: Column | None = None, value: Column | None = None) -> Column:

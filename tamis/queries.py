@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .functions.predicates import register_table_rule
 from .operators.metric_states import metric_states
+from .operators.observed import validate_and_write
 from .operators.profile import profile_df
 from .operators.schema_contract import SchemaDef, extract_schema, validate_schema
 from .operators.validate import validate
@@ -476,3 +477,18 @@ def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
             return flagged.writeStream.format("parquet").option("path", f"{folder}/flagged").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
     return spark.read.parquet(f"{replayed(spark, sf_dir, start)}/flagged")
+
+
+OBSERVED_RULES = [*SPLIT_RULES[:4], R("o_orderdate", "is_on_weekday", threshold=0.99), R("o_orderpriority", "not_in", ["1-URGENT"], 0.1), R("o_totalprice", "has_mean", 1, 0.1)]
+_OBSERVED_BAD = {"is_in": "o_orderstatus NOT IN ('F', 'O')", "is_between": "NOT o_totalprice BETWEEN 1000 AND 400000", "is_unique": "o_orderkey IN (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)", "is_on_weekday": "isodow(CAST(o_orderdate AS DATE)) > 5"}
+
+
+@query("observed_split", f"""
+    WITH t AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _OBSERVED_BAD.items())} FROM orders)
+    SELECT o_orderkey, CAST({" + ".join(f"({c})::INT" for c in _OBSERVED_BAD.values())} AS INT) AS errors, {" || ',' || ".join(f"t.{k}" for k in _OBSERVED_BAD)} AS fails FROM orders, t""")
+def observed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and both parts from the job that writes the rows; a rule that passes by its threshold marks no row."""
+    out = validate_and_write(read(spark, sf_dir, "orders"), OBSERVED_RULES, scratch_path(spark, "observed"))
+    fails = {r.check_type: r.fail_count for r in out.report}
+    rows = out.good.select("o_orderkey", F.lit(0).alias("errors")).unionByName(out.bad.select("o_orderkey", F.size("_dq_errors").alias("errors")))
+    return rows.withColumn("fails", F.lit(",".join(str(fails[k]) for k in _OBSERVED_BAD)))
