@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from .functions.predicates import register_table_rule
 from .operators.metric_states import metric_states
 from .operators.observed import validate_and_write
 from .operators.profile import profile_df
+from .operators.pushdown import jdbc_runner, validate_pushed
 from .operators.schema_contract import SchemaDef, extract_schema, validate_schema
 from .operators.validate import validate
 from .plans.planner import bind
@@ -492,3 +494,29 @@ def observed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     fails = {r.check_type: r.fail_count for r in out.report}
     rows = out.good.select("o_orderkey", F.lit(0).alias("errors")).unionByName(out.bad.select("o_orderkey", F.size("_dq_errors").alias("errors")))
     return rows.withColumn("fails", F.lit(",".join(str(fails[k]) for k in _OBSERVED_BAD)))
+
+
+PUSHED_RULES = [
+    R("value", "is_between", [10, 90]), R("event_type", "not_in", ["error"], 0.5), R("value", "is_complete"), R("ts", "is_past_date"), R("ts", "is_on_weekday", threshold=0.5), R("event_type", "has_pattern", "^c"), R("nope", "is_positive"),
+    R("user_id", "has_mean", 50, 0.9), R("value", "has_std", 29, 0.1), R("value", "has_max", 1, 0), R("user_id", "has_cardinality", 15, 0), R("value", "is_greater_than", 20, filter='"event_type" = \'click\''),
+]
+_PUSHED_ROWS = ["NOT value BETWEEN 10 AND 90", "event_type IN ('error')", "value IS NULL", f"CAST(ts AS DATE) >= DATE '{AS_OF}'", "isodow(CAST(ts AS DATE)) > 5"]
+_PUSHED_FIGURES = ["avg(user_id)", "stddev_samp(value)", "max(value)", "count(DISTINCT user_id)"]
+
+
+@query("jdbc_pushdown", f"""
+    WITH r AS ({" UNION ALL ".join(f"SELECT '{r.check_type}' AS check_type, '{r.label}' AS field, {r.threshold} AS t, count(*) AS n, count(*) FILTER (WHERE {c}) AS f FROM events" for r, c in zip(PUSHED_RULES, _PUSHED_ROWS))}
+               UNION ALL SELECT 'is_greater_than', 'value', 1.0, count(*), count(*) FILTER (WHERE value <= 20) FROM events WHERE event_type = 'click')
+    SELECT check_type, field, CASE WHEN (n - f) / CAST(n AS DOUBLE) >= t THEN 'PASS' ELSE 'FAIL' END AS status, round((n - f) / CAST(n AS DOUBLE), 6) AS actual, f AS fail_count FROM r
+    UNION ALL SELECT * FROM (VALUES ('has_pattern', 'event_type', 'ERROR', -1.0, -1), ('is_positive', 'nope', 'ERROR', -1.0, -1))
+    {"".join(f" UNION ALL SELECT '{r.check_type}', '{r.label}', CASE WHEN abs({s} - {r.value}) <= {r.threshold} * {r.value} THEN 'PASS' ELSE 'FAIL' END, round(CAST({s} AS DOUBLE), 6), -1 FROM events" for r, s in zip(PUSHED_RULES[7:11], _PUSHED_FIGURES))}""")
+def jdbc_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a database, where the rules' SELECT runs: an embedded one, so that the driver and the tasks have to be one JVM."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the embedded database of this query is in one JVM; use a server's address with jdbc_runner")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    events = read(spark, sf_dir, "events").drop("props")
+    events.write.format("jdbc").options(url=url, dbtable="EVENTS", createTableColumnTypes="event_type VARCHAR(64)", batchsize=10_000).save()
+    report = validate_pushed(jdbc_runner(spark, url), "EVENTS", PUSHED_RULES, "derby", as_of=AS_OF).to_df(spark)
+    return report.select("check_type", "field", "status", F.round(F.coalesce(F.col("actual").cast("double"), F.lit(-1.0)), 6).alias("actual"), F.coalesce("fail_count", F.lit(-1)).cast("bigint").alias("fail_count"))
