@@ -1,6 +1,6 @@
 """Main text of web pages by tag-path ratios.
 
-A unit is the text of one block element between tags; its path is that element's tags, with classes, from the root. For each
+A unit is the text of one block element between tags; its path is that element's tags, with classes and ids, from the root. For each
 path, text length and punctuation are added up and divided by its number of units. Both ratios are smoothed along the page and
 fused by their product, less the share of links; units at or above the standard deviation are selected, and a path is content
 if most of its text is.
@@ -9,7 +9,9 @@ The path with the most selected text is the dominant one. The main element is th
 text, or else what holds all units of the dominant path, and its parents as long as these bring in more readable text
 than other. Of the main element all content paths are kept, wherever they are, and short blocks of text tags (headings, items, cells,
 paragraphs) that aren't lists of links. A block without such a tag is kept if its path's own ratios come near to the dominant
-one's: an advert between paragraphs does not. A last part without a heading or units of the dominant path is readers' comments.
+one's: an advert between paragraphs does not. A last part without a heading or units of the dominant path is readers' comments; in an
+article element only if it has several units of one make. In an article list items that are links stay if their list is
+under a heading or has other items too, as lists of sources are; any other list of links is a menu.
 
 Tags that are boilerplate by their meaning (nav, footer, aside) are left out; a form only if it does not hold most of the
 selected text. A class or id of one telling word is no more than a prior that lowers the ratios of a small part of the page.
@@ -36,6 +38,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
+_DIGITS = re.compile(r"[-_]?[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +53,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Whole classes and ids that are a prior for boilerplate.
 MARKS = frozenset("ad ads advert advertisement sponsored promo banner cookie cookies notice newsletter sidebar related share social comment comments respond menu breadcrumb pagination".split())
+#: Of these, what isn't main text however much it reads like it: readers' comments and adverts.
+STRICT = frozenset("ad ads advert advertisement sponsored promo comment comments respond".split())
 #: A start tag closes an open element of its row, unless one of the second set is between.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
@@ -74,6 +79,7 @@ class Element:
     form: int  # the outermost form around it, 0 for none
     mark: int  # the outermost marked element around it, 0 for none
     linked: bool
+    strict: bool = False  # of the marks around it, one is of a kind that is never main text
 
 
 @dataclass
@@ -107,14 +113,14 @@ class _Open:
             del self.stack[at:], self.tags[at:]
 
 
-def _attributes(text: str) -> tuple[bool, bool, str]:
-    """Whether attributes tell boilerplate, whether a telling class or id is among them, the class for the path."""
+def _attributes(text: str) -> tuple[bool, str, str]:
+    """Whether attributes tell boilerplate, the telling class or id among them, and class and id for the path, the id without its digits."""
     if not text or text.isspace():
-        return False, False, ""
+        return False, "", ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
-    name = found.get("class", "").strip().lower()
-    marked = not MARKS.isdisjoint([*name.split(), found.get("id", "").strip().lower()])
-    return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES, marked, name
+    name, own = found.get("class", "").strip().lower(), found.get("id", "").strip().lower()
+    marked = next((w for w in (*name.split(), own) if w in MARKS), "")
+    return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES, marked, f"{name}#{_DIGITS.sub('', own)}"
 
 
 def parse(source: str) -> Page:
@@ -179,8 +185,9 @@ def parse(source: str) -> Page:
             bad = True
         path = up.path if inline else numbers.setdefault((up.path, f"{tag}.{word}"), len(numbers) + 1)
         # An article within an article is a comment on it.
-        marked = marked or (tag == "article" and still.last(("article",)) > 0)
-        elements.append(Element(tag, parent, path, up.block if inline else number, bad or up.bad, up.form or (number if tag == "form" else 0), up.mark or (number if marked else 0), up.linked or tag == "a"))
+        within = tag == "article" and still.last(("article",)) > 0
+        strict = up.strict or within or marked in STRICT
+        elements.append(Element(tag, parent, path, up.block if inline else number, bad or up.bad, up.form or (number if tag == "form" else 0), up.mark or (number if marked or within else 0), up.linked or tag == "a", strict))
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
             stop = source.find(">", close.start()) if close else -1
@@ -236,6 +243,20 @@ def _main_elements(elements: list[Element], owner: list[int], chosen: list[float
     return {main}
 
 
+def _repeats(elements: list[Element], held: list[float]) -> list[bool]:
+    """Of each element, whether it has two children or more that are no parts of a text and of one path, each with text, or is one of such."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, e in enumerate(elements):
+        if i and held[i] and e.tag not in INLINE and e.tag not in PARTS:
+            groups.setdefault((e.parent, e.path), []).append(i)
+    out = [False] * len(elements)
+    for (parent, _), own in groups.items():
+        if len(own) > 1:
+            for i in (parent, *own):
+                out[i] = True
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The main text: blocks in page order, joined by newlines; empty if there is none."""
     page = parse(source or "")
@@ -285,25 +306,30 @@ def main_text(source: str | None) -> str:
     plain = np.array([elements[e].tag in PARTS and x < MOST for e, x in zip(owner, links, strict=True)])
     picked, readable = _held(elements, owner, weight), _held(elements, owner, chars * (chosen | plain))
     mains = _main_elements(elements, owner, picked, readable, held, int(kinds[top]))
+    article = all(elements[i].tag in ("article", "main") for i in mains)
+    # Lists whose items may be links: under a heading, or with an item that is none.
+    sources = {elements[e].parent for i, e in enumerate(owner) if elements[e].tag == "li" and (links[i] < MOST or (i and elements[owner[i - 1]].tag in HEADINGS))}
     inside = _inside(elements, mains)
     keep = []
     for i, e in enumerate(owner):
         tag = elements[e].tag
         k = path[i]
-        if not inside[e] or not out_of_form[i] or (prior[i] < 1 and not content[k]):
+        full = own_score[k] >= NEAR * own_score[top]
+        if not inside[e] or not out_of_form[i] or (prior[i] < 1 and not content[k] and (elements[e].strict or not full)):
             keep.append(False)
         elif tag in PARTS:
-            keep.append(bool(content[k]) or links[i] < MOST)
+            keep.append(bool(content[k]) or links[i] < MOST or (article and tag == "li" and prior[i] == 1 and elements[e].parent in sources))
         else:
-            keep.append(bool(content[k]) and own_score[k] >= NEAR * own_score[top])
-    # Last parts without a heading and without the dominant path are comments.
+            keep.append(bool(content[k]) and full)
+    # Last parts without a heading and without the dominant path are comments; in an article only if they are several of one make.
     is_top = [bool(path[i] == top and keep[i]) for i in range(len(owner))]
     dominant = _held(elements, owner, [float(x) for x in is_top])
     titles = _held(elements, owner, [float(elements[e].tag in HEADINGS and keep[i]) for i, e in enumerate(owner)])
+    repeats = _repeats(elements, held) if article else []
     for i in range(len(owner) - 1, max((i for i, x in enumerate(is_top) if x), default=-1), -1):
         e, outer = owner[i], 0
         while e not in mains and e > 0:
-            if elements[e].tag in ("div", "section", "article") and not dominant[e]:
+            if elements[e].tag in ("div", "section", "article") and not dominant[e] and (not article or repeats[e] or elements[e].tag == "article"):
                 outer = e
             e = elements[e].parent
         if outer and not titles[outer] and elements[outer].tag != "section":

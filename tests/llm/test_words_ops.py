@@ -673,3 +673,31 @@ def test_workers_give_memory_back():
     del blocks
     list(common.text_chunks(common.pa.RecordBatch.from_pydict({"text": ["a"]}), "text"))
     assert len(kept) == 20 and resident() < before - 150e6
+
+
+_FULL = "A full paragraph of the article, with several words, some commas, and a point at its end. It goes on for a while, so that it is long enough"
+_NINE = "".join(f"<p>{_FULL} {i}.</p>" for i in range(9))
+
+
+@pytest.mark.parametrize("element", ["article", "main"])
+@pytest.mark.parametrize(
+    ("last", "wanted"),
+    [
+        ("<div class=x><p>Last words here.</p></div>", ["Last words here."]), ("<div><ul><li>One step</li><li>Two steps</li></ul></div>", ["One step", "Two steps"]),
+        ("<div class=w><table><tr><td>Cell one</td><td>Cell two</td></tr></table></div>", ["Cell one", "Cell two"]), ("<div><blockquote>Quoted words.</blockquote></div>", ["Quoted words."]),
+        ("<div><figure><figcaption>Words below.</figcaption></figure></div>", ["Words below."]), ("<h2>Sources</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", ["Sources", "One", "Two"]),
+        ("<ul><li><a href=x>One</a></li><li>Two, plain</li></ul>", ["One", "Two, plain"]), (f"<p class=social>{_FULL}.</p>", [f"{_FULL}."]), (f"<div class=notice><p>{_FULL}.</p></div>", [f"{_FULL}."]), (f"<p class=share>{_FULL}.</p>", [f"{_FULL}."]),
+        ("<div class=newsletter><p>Sign up, now.</p></div>", []), (f"<div class=comments><p>{_FULL}.</p></div>", []), (f"<div class=ad>{_FULL}.</div>", []), (f"<div><div class=k><p>{_FULL}</p></div><div class=k><p>Me too.</p></div></div>".replace("<p>", "<span>").replace("</p>", "</span>"), []),
+    ],
+)
+def test_closing_parts_of_an_article(element, last, wanted):
+    page = f"<html><body><nav>Home</nav><{element}>{_NINE}{last}</{element}><footer>foot</footer></body></html>"
+    assert html_paths.main_text(page).split("\n")[9:] == wanted
+
+
+def test_ids_tell_paths_apart():
+    lines = "<br><br>".join(f"{_FULL} {i}." for i in range(6))
+    page = f"<html><body><div id=nav>Home News</div><div id=c>{lines}</div><div id=foot>Copyright 2020</div></body></html>"
+    found = html_paths.main_text(page)
+    assert found.startswith(_FULL) and "Home" not in found and "Copyright" not in found
+    assert html_paths.main_text("".join(f'<p id="p-{i}">{_FULL} {i}.</p>' for i in range(4))).count("\n") == 3
