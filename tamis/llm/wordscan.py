@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
+#: Masks of the first bytes of eight.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
@@ -34,6 +36,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:end]: eight bytes at a time, each mixed into what is before; the length comes first.
+
+    A sum over places, as of a polynomial modulo 2**64, would give some different long words one value, whatever its base.
+    """
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    out = mix(length.astype(np.uint64) + np.uint64(_BASE))
+    left, k = np.arange(len(start)), 0
+    while len(left):
+        out[left] = mix(out[left] ^ (eights[start[left] + k] & _TAIL[np.minimum(length[left] - k, 8)]))
+        k += 8
+        left = left[length[left] > k]
+    return out
+
+
 @dataclass
 class Words:
     """Words of all texts one after another; text i has words first[i] to first[i + 1]."""
@@ -66,11 +86,7 @@ def scan(column: pa.Array) -> Words:
     ends[inside - 1] |= word[1:-1][inside - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets).astype(np.int64)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return Words(data, start, end, first, mix((sums[end] - sums[start]) * down[start]))
+    return Words(data, start, end, first, word_hashes(data, start, end))
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 from odd_rows import docs, odd, words  # noqa: F401
@@ -701,3 +702,25 @@ def test_ids_tell_paths_apart():
     found = html_paths.main_text(page)
     assert found.startswith(_FULL) and "Home" not in found and "Copyright" not in found
     assert html_paths.main_text("".join(f'<p id="p-{i}">{_FULL} {i}.</p>' for i in range(4))).count("\n") == 3
+
+
+def _thue_morse(bits):
+    """A word of a and b, and the one with both exchanged: a polynomial hash modulo 2**64 can't tell them apart."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_sums_cannot_tell_apart(spark):
+    one, other = _thue_morse(10)
+    from tamis.llm.wordscan import scan
+
+    texts = [one, other, one[:-1], "a", "b", "ab", "a" * 8, "a" * 9, "a" * 16, "\x00", "\x00\x00", "é" * 300]
+    hashes = scan(pa.array(texts + texts)).hashes
+    assert len(set(hashes.tolist())) == len(texts) and (hashes[: len(texts)] == hashes[len(texts) :]).all()
+    df = spark.createDataFrame([(1, f"{one} x y z w"), (2, f"{other} x y z w"), (3, f"{one} x y z w"), (4, one), (5, other)], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minmax_dedup.near_components(df, width=4).collect()}
+    assert found == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
+    counted = gru_lm.log_likelihood(df, F.lit(True)).orderBy("doc_id").collect()
+    assert counted[0]["train_tokens"] == 3 * 5 + 2 + 5 and counted[3]["base_score"] != counted[4]["base_score"]
