@@ -520,3 +520,23 @@ def jdbc_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write.format("jdbc").options(url=url, dbtable="EVENTS", createTableColumnTypes="event_type VARCHAR(64)", batchsize=10_000).save()
     report = validate_pushed(jdbc_runner(spark, url), "EVENTS", PUSHED_RULES, "derby", as_of=AS_OF).to_df(spark)
     return report.select("check_type", "field", "status", F.round(F.coalesce(F.col("actual").cast("double"), F.lit(-1.0)), 6).alias("actual"), F.coalesce("fail_count", F.lit(-1)).cast("bigint").alias("fail_count"))
+
+
+@query("session_metrics", """
+    WITH t AS (SELECT *, ts >= lag(ts) OVER w + INTERVAL 30 MINUTE AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+         s AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM t)
+    SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 1800000000 AS ended, count(*) AS total_rows, count(*) FILTER (WHERE NOT value BETWEEN 10 AND 90) AS out_of_range FROM s GROUP BY user_id, session""")
+def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and failures by session of a user: events of which none comes half an hour after the one before."""
+    out = windowed_metrics(read(spark, sf_dir, "events"), STREAM_RULES[:1], "ts", None, "1 hour", session_gap="30 minutes", by=["user_id"])
+    at = [F.unix_micros(F.col(c).cast("timestamp")).alias(n) for c, n in (("window_start", "started"), ("window_end", "ended"))]
+    return out.select("user_id", *at, "total_rows", F.col("fails")["0:is_between:value"].alias("out_of_range"))
+
+
+@query("sliding_metrics", """
+    SELECT epoch_us(day) AS started, count(*) AS total_rows, count(*) FILTER (WHERE NOT value BETWEEN 10 AND 90) AS out_of_range
+    FROM (SELECT value, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS day FROM events) q GROUP BY day""")
+def sliding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days that begin every day."""
+    out = windowed_metrics(read(spark, sf_dir, "events"), STREAM_RULES[:1], "ts", "2 days", "1 hour", slide="1 day")
+    return out.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("started"), "total_rows", F.col("fails")["0:is_between:value"].alias("out_of_range"))

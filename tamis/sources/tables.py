@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .excel import read_excel
+
 #: Reader and writer options by suffix.
 _FORMATS: dict[str, tuple[str, dict[str, Any]]] = {
     "csv": ("csv", {"header": True, "inferSchema": True}),
@@ -17,7 +19,7 @@ _FORMATS: dict[str, tuple[str, dict[str, Any]]] = {
     "ndjson": ("json", {}),
     "orc": ("orc", {}),
 }
-_EXCEL = ("xls", "xlsx")
+_EXCEL = ("xlsx", "xlsm")
 
 
 def suffix(path: str) -> str:
@@ -33,27 +35,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_data(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """A table from CSV (with header), Parquet, JSON (whole documents), JSON lines, ORC or, with pandas' reader, Excel."""
+    """A table from CSV (with header), Parquet, JSON (whole documents), JSON lines, ORC or Excel (.xlsx; option sheet)."""
     kind = suffix(path)
     if kind not in _FORMATS and kind not in _EXCEL:
         raise ValueError(f"unsupported file format '.{kind}'")
     if not exists(spark, path):
         raise FileNotFoundError(path)
     if kind in _EXCEL:
-        return _excel(spark, path)
+        return read_excel(spark, path, **options)
     name, own = _FORMATS[kind]
     return spark.read.format(name).options(**{**own, **options}).load(path)
 
 
-def _excel(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise NotImplementedError("Excel files need the openpyxl package") from e
-    return spark.createDataFrame(pd.read_excel(path))
-
-
 def save_data(df: DataFrame, path: str, mode: str = "overwrite", **options: Any) -> None:
     """Write a table in the format of the path's suffix; a folder of part files, as Spark writes."""
     kind = suffix(path)

@@ -92,3 +92,36 @@ def flag_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: st
     kinds = T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())])
     grouped = source.groupBy(*(F.col(f"`{k}`") for k in keys))
     return grouped.transformWithState(_Seen(df.columns, flag, order, time_col, keep_ms), kinds, "Append", "EventTime" if time_col else "ProcessingTime" if keep_ms else "None")
+
+
+class _Late(StatefulProcessor):
+    """For each key the rows so far and those that came after the watermark."""
+
+    def __init__(self, keys: Sequence[str], time: str) -> None:
+        self.time, self.result = time, Row(*keys, "rows", "late")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "n bigint, late bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802
+        n, late = self.counts.get() or (0, 0)
+        limit = timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            n += 1
+            late += row[self.time] is not None and row[self.time].timestamp() * 1000 < limit
+        self.counts.update((n, late))
+        yield self.result(*key, n, late)
+
+    def close(self) -> None:
+        pass
+
+
+def count_late(df: DataFrame, time_col: str, watermark: str, by: Sequence[str]) -> DataFrame:
+    """A stream of by, rows, late: how many rows each key has had so far, and how many of them were later than the watermark when they came.
+
+    A key's row is given again with each batch that has rows of it (mode "update"). These are the rows that windows on the same watermark
+    leave out. Start the query inside keyed_state().
+    """
+    source = df.withColumn("__at", F.col(f"`{time_col}`").cast("timestamp")).withColumn("__time", F.col("__at")).withWatermark("__at", watermark).select(*by, F.col("__time"))
+    kinds = T.StructType([*(df.schema[k] for k in by), T.StructField("rows", T.LongType()), T.StructField("late", T.LongType())])
+    return source.groupBy(*by).transformWithState(_Late(by, "__time"), kinds, "Update", "EventTime")

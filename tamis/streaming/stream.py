@@ -171,19 +171,26 @@ def validate_stream(df: DataFrame, rules: Sequence[RuleDefinition], as_of: date
     return StreamValidation(annotate(rows, None), plan, [_error(b) for b in plan.bound if b.error], totals)
 
 
-def windowed_metrics(df: DataFrame, rules: Sequence[RuleDefinition], time_col: str, window: str, watermark: str, as_of: date | str | None = None, null_policy: str = "skip") -> DataFrame:
+def windowed_metrics(
+    df: DataFrame, rules: Sequence[RuleDefinition], time_col: str, window: str | None, watermark: str, as_of: date | str | None = None, null_policy: str = "skip", slide: str | None = None, session_gap: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Rows and failures of each row rule by time window: window_start, window_end, total_rows, and fails as a map by rule id.
 
-    On a stream, rows later than the watermark are left out and windows are given when it has passed them.
+    Windows of a fixed length follow each other, or overlap if they begin every slide. With session_gap instead, a window is a session: rows
+    of one group of `by` of which none comes session_gap or more after the one before; it ends that much after its last row.
+    On a stream, windows are given when the watermark has passed them; rows that come later are left out here, and count_late counts them.
     """
+    if (window is None) == (session_gap is None):
+        raise ValueError("either a window or a session's gap is needed")
     if df.isStreaming:  # a watermark needs an instant; times without a zone count as the session's
         df = df.withColumn(time_col, F.col(time_col).cast("timestamp"))
     plan = bind(df, rules, as_of, null_policy)
-    rows = [b for b in plan.bound if b.kind == "row"]
+    rows = [b for b in plan.bound if b.kind == "row" and not b.error]
     source = plan.df.withWatermark(time_col, watermark) if plan.df.isStreaming else plan.df
-    grouped = source.groupBy(F.window(F.col(time_col), window).alias("w")).agg(F.count(F.lit(1)).alias("total_rows"), *(F.count_if(b.fails).alias(f"f{i}") for i, b in enumerate(rows)))
+    at = F.session_window(F.col(time_col), session_gap) if session_gap else F.window(F.col(time_col), window, slide)
+    grouped = source.groupBy(*by, at.alias("w")).agg(F.count(F.lit(1)).alias("total_rows"), *(F.count_if(b.fails).alias(f"f{i}") for i, b in enumerate(rows)))
     pairs: list[Column] = reduce(list.__add__, ([F.lit(b.rule_id), F.col(f"f{i}")] for i, b in enumerate(rows)), [])
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_rows", F.create_map(*pairs).alias("fails"))
+    return grouped.select(*by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_rows", F.create_map(*pairs).alias("fails"))
 
 
 __all__ = ["ERRORS", "StreamValidation", "read_committed", "validate_stream", "windowed_metrics"]
