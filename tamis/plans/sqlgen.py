@@ -7,6 +7,8 @@ from collections.abc import Callable, Collection, Mapping, Sequence
 from datetime import date, datetime
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from ..functions.predicates import DAYS, FIRST_DATE, NULL_FAILS, RuleError, java_pattern
 from ..report import ValidationLevel, ValidationReport, ValidationResult, ValidationStatus
 from ..rules import RuleDefinition
@@ -15,12 +17,7 @@ DIALECTS = ("spark", "databricks", "duckdb", "postgres", "snowflake", "bigquery"
 _BACKTICK = ("spark", "databricks", "bigquery", "doris")
 
 
-def _ident(name: str, dialect: str) -> str:
-    q = "`" if dialect in _BACKTICK else '"'
-    return ".".join(f"{q}{p.replace(q, q + q)}{q}" for p in name.split("."))
-
-
-def _literal(value: Any, dialect: str = "") -> str:
+def literal(value: Any, dialect: str = "") -> str:
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
     if isinstance(value, (int, float)):
@@ -34,63 +31,105 @@ def _literal(value: Any, dialect: str = "") -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
+def identifier(name: str, dialect: str, whole: bool = False) -> str:
+    """A quoted name; its parts between dots by themselves, unless it is one whole."""
+    q = "`" if dialect in _BACKTICK else '"'
+    return ".".join(f"{q}{p.replace(q, q + q)}{q}" for p in ([name] if whole else name.split(".")))
+
+
+def try_cast(c: str, kind: str, dialect: str) -> str:
+    """c as a value of that type, NULL where it can't be one; as far as the dialect can try."""
+    if dialect == "postgres":  # from version 16; a plain cast would stop at text that has no such value
+        return f"CASE WHEN pg_input_is_valid(CAST({c} AS TEXT), {literal(kind.lower())}) THEN CAST(CAST({c} AS TEXT) AS {kind}) END"
+    cast = {"doris": "CAST", "derby": "CAST", "bigquery": "SAFE_CAST"}.get(dialect, "TRY_CAST")  # a cast gives NULL in Doris
+    return f"{cast}({c} AS {kind})"
+
+
+def days_before(day: str, n: int, dialect: str) -> str:
+    """The day n days before a day."""
+    if dialect == "derby":
+        return f"CAST({{fn TIMESTAMPADD(SQL_TSI_DAY, -{n}, CAST({day} AS TIMESTAMP))}} AS DATE)"
+    if dialect in ("spark", "databricks"):
+        return f"DATE_SUB({day}, {n})"
+    if dialect in ("bigquery", "doris"):
+        return f"DATE_SUB({day}, INTERVAL {n} DAY)"
+    if dialect in ("snowflake", "redshift"):
+        return f"DATEADD(day, -{n}, {day})"
+    return f"CAST({day} - INTERVAL '{n}' DAY AS DATE)"
+
+
+def weekday(d: str, dialect: str) -> str:
+    """1 for Sunday to 7 for Saturday."""
+    if dialect == "derby":  # days since a Sunday
+        return f"(MOD({{fn TIMESTAMPDIFF(SQL_TSI_DAY, TIMESTAMP('1899-12-31 00:00:00'), CAST({d} AS TIMESTAMP))}}, 7) + 1)"
+    form = {
+        "spark": "DAYOFWEEK({})", "databricks": "DAYOFWEEK({})", "doris": "DAYOFWEEK({})", "bigquery": "EXTRACT(DAYOFWEEK FROM {})", "duckdb": "(DAYOFWEEK({}) + 1)",
+        "snowflake": "(MOD(DAYOFWEEKISO({}), 7) + 1)", "postgres": "(EXTRACT(DOW FROM {}) + 1)", "redshift": "(EXTRACT(DOW FROM {}) + 1)", "trino": "(DAY_OF_WEEK({}) % 7 + 1)", "athena": "(DAY_OF_WEEK({}) % 7 + 1)",
+    }
+    return form[dialect].format(d)
+
+
+def matches(c: str, pattern: str, dialect: str) -> str:
+    """Whether the pattern is found anywhere in c."""
+    if dialect == "derby":
+        raise RuleError("the dialect derby has no patterns")
+    p = literal(pattern, dialect)
+    if dialect in ("spark", "databricks"):
+        return f"{c} RLIKE r{p}" if "''" not in p else f"{c} RLIKE {p.replace(chr(92), chr(92) * 2)}"
+    form = {"duckdb": "REGEXP_MATCHES({}, {})", "bigquery": "REGEXP_CONTAINS({}, r{})", "snowflake": "REGEXP_INSTR({}, {}) > 0", "postgres": "{} ~ {}", "redshift": "{} ~ {}", "doris": "{} REGEXP {}"}
+    return form.get(dialect, "REGEXP_LIKE({}, {})").format(c, p)
+
+
+def parsed_time(c: str, form: str, dialect: str) -> str:
+    """c read in a strftime format, NULL where it isn't in it."""
+    if dialect in ("spark", "databricks"):
+        return f"TRY_TO_TIMESTAMP({c}, {literal(java_pattern(form))})"
+    if "%" not in form:
+        raise RuleError(f"the format {form!r} is not in strftime's letters, and the dialect {dialect} has no other")
+    if dialect == "duckdb":
+        return f"TRY_STRPTIME({c}, {literal(form)})"
+    if dialect == "bigquery":
+        return f"SAFE.PARSE_TIMESTAMP({literal(form)}, {c})"
+    if dialect in ("trino", "athena"):
+        return f"TRY(DATE_PARSE({c}, {literal(_letters(form, MYSQL, '%'))}))"
+    if dialect == "doris":
+        return f"STR_TO_DATE({c}, {literal(_letters(form, MYSQL, '%'))})"
+    if dialect == "snowflake":
+        return f"TRY_TO_TIMESTAMP({c}, {literal(_letters(form, SNOWFLAKE, ''))})"
+    raise RuleError(f"the dialect {dialect} can't try a format without failing")
+
+
 class _Writer:
     """Conditions that hold where a row fails."""
 
     def __init__(self, dialect: str, as_of: date | None) -> None:
         self.dialect = dialect
-        self.now = _literal(as_of, dialect) if as_of else "CURRENT_DATE"
+        self.now = literal(as_of, dialect) if as_of else "CURRENT_DATE"
 
     def col(self, rule: RuleDefinition) -> str:
-        return _ident(rule.fields[0], self.dialect)
+        return identifier(rule.fields[0], self.dialect)
 
     def day(self, rule: RuleDefinition) -> str:
-        c = self.col(rule)
-        if self.dialect == "postgres":  # from version 16; a plain cast would stop at text that is no date
-            return f"CASE WHEN pg_input_is_valid(CAST({c} AS TEXT), 'date') THEN CAST(CAST({c} AS TEXT) AS DATE) END"
-        cast = {"doris": "CAST", "derby": "CAST", "bigquery": "SAFE_CAST"}.get(self.dialect, "TRY_CAST")  # a cast gives NULL in Doris
-        return f"{cast}({c} AS DATE)"
+        return try_cast(self.col(rule), "DATE", self.dialect)
 
     def ago(self, n: int) -> str:
-        if self.dialect in ("spark", "databricks", "doris"):
-            return f"DATE_SUB({self.now}, {n})" if self.dialect != "doris" else f"DATE_SUB({self.now}, INTERVAL {n} DAY)"
-        if self.dialect == "derby":
-            return f"CAST({{fn TIMESTAMPADD(SQL_TSI_DAY, -{n}, CAST({self.now} AS TIMESTAMP))}} AS DATE)"
-        if self.dialect in ("bigquery",):
-            return f"DATE_SUB({self.now}, INTERVAL {n} DAY)"
-        if self.dialect in ("snowflake", "redshift"):
-            return f"DATEADD(day, -{n}, {self.now})"
-        return f"CAST({self.now} - INTERVAL '{n}' DAY AS DATE)"
+        return days_before(self.now, n, self.dialect)
 
     def weekday(self, rule: RuleDefinition) -> str:
-        """1 for Sunday to 7 for Saturday."""
-        d = self.day(rule)
-        if self.dialect == "derby":  # days since a Sunday
-            return f"(MOD({{fn TIMESTAMPDIFF(SQL_TSI_DAY, TIMESTAMP('1899-12-31 00:00:00'), CAST({d} AS TIMESTAMP))}}, 7) + 1)"
-        form = {
-            "spark": "DAYOFWEEK({})", "databricks": "DAYOFWEEK({})", "doris": "DAYOFWEEK({})", "bigquery": "EXTRACT(DAYOFWEEK FROM {})", "duckdb": "(DAYOFWEEK({}) + 1)",
-            "snowflake": "(MOD(DAYOFWEEKISO({}), 7) + 1)", "postgres": "(EXTRACT(DOW FROM {}) + 1)", "redshift": "(EXTRACT(DOW FROM {}) + 1)", "trino": "(DAY_OF_WEEK({}) % 7 + 1)", "athena": "(DAY_OF_WEEK({}) % 7 + 1)",
-        }
-        return form[self.dialect].format(d)
+        return weekday(self.day(rule), self.dialect)
 
     def matches(self, rule: RuleDefinition, pattern: str) -> str:
-        if self.dialect == "derby":
-            raise RuleError("the dialect derby has no patterns")
-        c, p = self.col(rule), _literal(pattern, self.dialect)
-        if self.dialect in ("spark", "databricks"):
-            return f"{c} RLIKE r{p}" if "''" not in p else f"{c} RLIKE {p.replace(chr(92), chr(92) * 2)}"
-        form = {"duckdb": "REGEXP_MATCHES({}, {})", "bigquery": "REGEXP_CONTAINS({}, r{})", "snowflake": "REGEXP_INSTR({}, {}) > 0", "postgres": "{} ~ {}", "redshift": "{} ~ {}", "doris": "{} REGEXP {}"}
-        return form.get(self.dialect, "REGEXP_LIKE({}, {})").format(c, p)
+        return matches(self.col(rule), pattern, self.dialect)
 
     def list_of(self, rule: RuleDefinition) -> str:
         if not isinstance(rule.value, (list, tuple)) or not rule.value:
             raise RuleError("the check needs a list of values")
-        return ", ".join(_literal(v, self.dialect) for v in rule.value)
+        return ", ".join(literal(v, self.dialect) for v in rule.value)
 
     def bounds(self, rule: RuleDefinition) -> tuple[str, str]:
         if not isinstance(rule.value, (list, tuple)) or len(rule.value) != 2:
             raise RuleError("the check needs a list of two values")
-        return _literal(rule.value[0], self.dialect), _literal(rule.value[1], self.dialect)
+        return literal(rule.value[0], self.dialect), literal(rule.value[1], self.dialect)
 
     def date_bounds(self, rule: RuleDefinition) -> tuple[str, str]:
         low, high = self.bounds(rule)
@@ -98,25 +137,7 @@ class _Writer:
 
     def format_fails(self, rule: RuleDefinition) -> str:
         c, form = self.col(rule), str(rule.value or "")
-        if not form:
-            parsed = self.day(rule)
-        elif self.dialect in ("spark", "databricks"):
-            parsed = f"TRY_TO_TIMESTAMP({c}, {_literal(java_pattern(form))})"
-        elif "%" not in form:
-            raise RuleError(f"the format {form!r} is not in strftime's letters, and the dialect {self.dialect} has no other")
-        elif self.dialect == "duckdb":
-            parsed = f"TRY_STRPTIME({c}, {_literal(form)})"
-        elif self.dialect == "bigquery":
-            parsed = f"SAFE.PARSE_TIMESTAMP({_literal(form)}, {c})"
-        elif self.dialect in ("trino", "athena"):
-            parsed = f"TRY(DATE_PARSE({c}, {_literal(_letters(form, MYSQL, '%'))}))"
-        elif self.dialect == "doris":
-            parsed = f"STR_TO_DATE({c}, {_literal(_letters(form, MYSQL, '%'))})"
-        elif self.dialect == "snowflake":
-            parsed = f"TRY_TO_TIMESTAMP({c}, {_literal(_letters(form, SNOWFLAKE, ''))})"
-        else:
-            raise RuleError(f"the dialect {self.dialect} can't try a format without failing")
-        return f"{c} IS NOT NULL AND {parsed} IS NULL"
+        return f"{c} IS NOT NULL AND {parsed_time(c, form, self.dialect) if form else self.day(rule)} IS NULL"
 
 
 # Letters of strftime, and those of the same meaning after % in MySQL's formats, and in Snowflake's.
@@ -137,14 +158,14 @@ def _letters(form: str, known: Mapping[str, str], mark: str) -> str:
 
 _FAILS: dict[str, Callable[[_Writer, RuleDefinition], str]] = {
     "is_complete": lambda w, r: f"{w.col(r)} IS NULL",
-    "are_complete": lambda w, r: " OR ".join(f"{_ident(f, w.dialect)} IS NULL" for f in r.fields),
-    "is_equal": lambda w, r: f"{w.col(r)} <> {_literal(r.value, w.dialect)}",
-    "is_equal_than": lambda w, r: f"{w.col(r)} <> {_ident(str(r.value), w.dialect)}",
+    "are_complete": lambda w, r: " OR ".join(f"{identifier(f, w.dialect)} IS NULL" for f in r.fields),
+    "is_equal": lambda w, r: f"{w.col(r)} <> {literal(r.value, w.dialect)}",
+    "is_equal_than": lambda w, r: f"{w.col(r)} <> {identifier(str(r.value), w.dialect)}",
     "is_between": lambda w, r: "NOT ({} BETWEEN {} AND {})".format(w.col(r), *w.bounds(r)),
-    "is_greater_than": lambda w, r: f"{w.col(r)} <= {_literal(r.value, w.dialect)}",
-    "is_less_than": lambda w, r: f"{w.col(r)} >= {_literal(r.value, w.dialect)}",
-    "is_greater_or_equal_than": lambda w, r: f"{w.col(r)} < {_literal(r.value, w.dialect)}",
-    "is_less_or_equal_than": lambda w, r: f"{w.col(r)} > {_literal(r.value, w.dialect)}",
+    "is_greater_than": lambda w, r: f"{w.col(r)} <= {literal(r.value, w.dialect)}",
+    "is_less_than": lambda w, r: f"{w.col(r)} >= {literal(r.value, w.dialect)}",
+    "is_greater_or_equal_than": lambda w, r: f"{w.col(r)} < {literal(r.value, w.dialect)}",
+    "is_less_or_equal_than": lambda w, r: f"{w.col(r)} > {literal(r.value, w.dialect)}",
     "is_positive": lambda w, r: f"{w.col(r)} <= 0",
     "is_negative": lambda w, r: f"{w.col(r)} >= 0",
     "is_in_millions": lambda w, r: f"{w.col(r)} < 1000000",
@@ -160,12 +181,12 @@ _FAILS: dict[str, Callable[[_Writer, RuleDefinition], str]] = {
     "is_past_date": lambda w, r: f"{w.day(r)} >= {w.now}",
     "is_future_date": lambda w, r: f"{w.day(r)} <= {w.now}",
     "is_date_between": lambda w, r: "NOT ({} BETWEEN {} AND {})".format(w.day(r), *w.date_bounds(r)),
-    "is_date_after": lambda w, r: f"{w.day(r)} <= {_literal(r.value, w.dialect)}",
-    "is_date_before": lambda w, r: f"{w.day(r)} >= {_literal(r.value, w.dialect)}",
+    "is_date_after": lambda w, r: f"{w.day(r)} <= {literal(r.value, w.dialect)}",
+    "is_date_before": lambda w, r: f"{w.day(r)} >= {literal(r.value, w.dialect)}",
     "is_on_weekday": lambda w, r: f"{w.weekday(r)} IN (1, 7)",
     "is_on_weekend": lambda w, r: f"{w.weekday(r)} NOT IN (1, 7)",
     "validate_date_format": _Writer.format_fails,
-    "all_date_checks": lambda w, r: f"{w.col(r)} IS NOT NULL AND ({w.day(r)} IS NULL OR {w.day(r)} > {w.now} OR {w.day(r)} < {_literal(FIRST_DATE, w.dialect)})",
+    "all_date_checks": lambda w, r: f"{w.col(r)} IS NOT NULL AND ({w.day(r)} IS NULL OR {w.day(r)} > {w.now} OR {w.day(r)} < {literal(FIRST_DATE, w.dialect)})",
     "satisfies": lambda w, r: f"NOT ({r.value})",
 } | {f"is_on_{name}": (lambda w, r, i=i: f"{w.weekday(r)} <> {i}") for i, name in enumerate(DAYS, 1)}
 
@@ -179,7 +200,7 @@ def fail_condition(rule: RuleDefinition, dialect: str = "spark", as_of: date | s
     return _FAILS[rule.canonical](_Writer(dialect, date.fromisoformat(as_of) if isinstance(as_of, str) else as_of), rule)
 
 
-def _distinct_key(names: Sequence[str], dialect: str) -> str:
+def distinct_key(names: Sequence[str], dialect: str) -> str:
     if len(names) == 1:
         return names[0]
     if dialect in ("duckdb", "postgres", "trino", "athena"):
@@ -195,7 +216,7 @@ def _measure(rule: RuleDefinition, dialect: str, as_of: date | str | None, null_
     """The expressions of a rule: "rule", its rate or aggregate; for row rules "rows" and "fails", exact numbers. A filter is a CASE, which
     every dialect has."""
     name = rule.canonical
-    names = [_ident(f, dialect) for f in rule.fields]
+    names = [identifier(f, dialect) for f in rule.fields]
 
     def where(value: str) -> str:
         return f"CASE WHEN {rule.filter} THEN {value} END" if rule.filter else value
@@ -204,7 +225,7 @@ def _measure(rule: RuleDefinition, dialect: str, as_of: date | str | None, null_
     if name in ("is_unique", "are_unique"):
         # The share of distinct keys; the duplicate-group count needs a grouping, which one SELECT hasn't.
         keys = [where(n) for n in names]
-        return {"rule": f"COALESCE(COUNT(DISTINCT {_distinct_key(keys, dialect)}) * 1.0 / NULLIF({rows}, 0), 1.0)"}
+        return {"rule": f"COALESCE(COUNT(DISTINCT {distinct_key(keys, dialect)}) * 1.0 / NULLIF({rows}, 0), 1.0)"}
     if name in _AGGREGATES:
         value = where(names[0])
         if dialect == "derby" and name in ("has_mean", "has_std"):  # whole numbers have whole means there
@@ -235,7 +256,7 @@ def compile_rules_to_sql(rules: Sequence[RuleDefinition], table: str, dialect: s
     measured = [(i, k, v) for i, r in active for k, v in _measure(r, dialect, as_of, null_policy).items() if counts or k == "rule"]
     columns = ",\n  ".join([*([f"COUNT(*) AS {total}"] if total else []), *(f"{v} AS {k}_{i}" for i, k, v in measured)])
     condition = f"\nWHERE {where}" if where else ""
-    return f"SELECT\n  {columns}\nFROM {_ident(table, dialect)}{condition}", [f"{i}:{r.key}" for i, r in active]
+    return f"SELECT\n  {columns}\nFROM {identifier(table, dialect)}{condition}", [f"{i}:{r.key}" for i, r in active]
 
 
 def get_validation_sql(rules: Sequence[RuleDefinition], table: str, dialect: str = "spark", where: str | None = None) -> str:
@@ -273,10 +294,23 @@ def results_from_row(row: Mapping[str, Any], rules: Sequence[RuleDefinition], to
     return ValidationReport(results, total_rows, 0.0, engine="sql")
 
 
-def transpile(sql: str, source: str, target: str) -> str:
-    """SQL of one dialect as that of another, by the optional sqlglot package."""
+def transpile(sql: str, source: str, target: str, spark: SparkSession | None = None) -> str:
+    """SQL of one dialect as that of another.
+
+    A SELECT of Spark is read by Spark's own parser and printed for the target. What that can't do, and other sources, need the optional
+    sqlglot package.
+    """
+    from .transpile import from_spark
+
+    reason = f"transpile from {source} needs the sqlglot package"
+    session = spark or SparkSession.getActiveSession()
+    if source in ("spark", "databricks") and session is not None:
+        try:
+            return from_spark(session, sql, target)
+        except (NotImplementedError, RuleError) as e:
+            reason = str(e)
     try:
         import sqlglot
     except ImportError as e:
-        raise NotImplementedError("transpile needs the sqlglot package") from e
+        raise NotImplementedError(reason) from e
     return sqlglot.transpile(sql, read=source, write=target, pretty=True)[0]

@@ -21,6 +21,7 @@ from .operators.schema_contract import SchemaDef, extract_schema, validate_schem
 from .operators.validate import validate
 from .plans.planner import bind
 from .plans.sqlgen import compile_rules_to_sql
+from .plans.transpile import from_spark
 from .rules import RuleDefinition as R
 from .sources.rules_store import load_rules, load_rules_csv, save_rules_csv
 from .sources.scratch import scratch_path
@@ -540,3 +541,10 @@ def sliding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of two days that begin every day."""
     out = windowed_metrics(read(spark, sf_dir, "events"), STREAM_RULES[:1], "ts", "2 days", "1 hour", slide="1 day")
     return out.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("started"), "total_rows", F.col("fails")["0:is_between:value"].alias("out_of_range"))
+
+
+@query("sql_transpiled", _emitted("duckdb"))
+def sql_transpiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' SELECT for Spark, printed anew in Spark's dialect from the tree of its parser: the same row."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(from_spark(spark, _emitted("spark"), "spark"))
