@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import importlib.util
 from typing import Any
 
 ENGINE = "pyspark"
 CAPABILITIES = {
     "schema_validation": True, "profiling": True, "aggregation_analyzers": True, "bifurcation": True, "streaming": True, "batch": True, "sql": True,
-    "transpile": importlib.util.find_spec("sqlglot") is not None,
+    "transpile": True, "streaming_totals": True, "pushdown": True, "excel": True,
 }
 
 

@@ -146,6 +146,26 @@ def parse_timestamp(raw: Any) -> datetime | None:
         return None
 
 
+# Words of a rules table that mean yes.
+_YES = ("true", "1", "yes", "y", "t")
+
+
+def _share(raw: Any) -> float:
+    """A threshold; 1 for what is no number."""
+    try:
+        return float(raw)
+    except (TypeError, ValueError):
+        return 1.0
+
+
+def _yes(raw: Any) -> bool:
+    return True if raw is None else raw.strip().lower() in _YES if isinstance(raw, str) else bool(raw)
+
+
+#: How a rules table's fields are read.
+_PARSERS = {"field": lambda v: v or "", "value": parse_value, "threshold": _share, "execute": _yes, "updated_at": parse_timestamp, "filter": lambda v: v or None}
+
+
 @dataclass(frozen=True)
 class RuleDefinition:
     """A check on a field. threshold: least pass rate (ROW) or relative tolerance (TABLE). filter: SQL that limits its rows."""
@@ -173,22 +193,13 @@ class RuleDefinition:
         """From a row of any rules table: values are parsed from text, unknown keys become metadata."""
         if not data.get("check_type"):
             raise ValueError("a rule needs a check_type")
-        names = {f.name for f in dataclasses.fields(cls)} - {"metadata"}
-        try:
-            threshold = float(data.get("threshold", 1.0))
-        except (TypeError, ValueError):
-            threshold = 1.0
-        execute = data.get("execute", True)
-        if isinstance(execute, str):
-            execute = execute.strip().lower() in ("true", "1", "yes", "y", "t")
-        value = data.get("value")
         # A condition, a pattern and a format are text, whatever they look like.
-        keep = canonical(data["check_type"]) in ("satisfies", "has_pattern", "validate_date_format") if data["check_type"] in MANIFEST else False
-        return cls(
-            field=data.get("field") or "", check_type=data["check_type"], value=value if keep else parse_value(value), threshold=threshold,
-            execute=True if execute is None else bool(execute), updated_at=parse_timestamp(data.get("updated_at")), filter=data.get("filter") or None,
-            metadata={k: v for k, v in data.items() if k not in names},
-        )
+        known = MANIFEST.get(data["check_type"])
+        text = known is not None and canonical(known.name) in ("satisfies", "has_pattern", "validate_date_format")
+        parsers = _PARSERS | ({"value": lambda v: v} if text else {})
+        given = {k: parsers[k](data[k]) for k in parsers if k in data}
+        own = {f.name for f in dataclasses.fields(cls)} - {"metadata"}
+        return cls(check_type=data["check_type"], **({"field": "", "value": None} | given), metadata={k: v for k, v in data.items() if k not in own})
 
     def to_dict(self) -> dict[str, Any]:
         """Plain values, metadata beside the other keys."""

@@ -76,3 +76,11 @@ def test_rules_tables(spark):
     for bad in ({"field": "a"}, {"field": " ", "check_type": "x"}):
         with pytest.raises(ValueError):
             check_rule_dict(bad)
+
+
+def test_types_that_nobody_knows_are_no_errors():
+    from tamis import SchemaDef, validate_schema
+    from pyspark.sql import types as T
+
+    found = validate_schema(T.StructType([T.StructField("a", T.LongType())]), SchemaDef.from_dict({"columns": [{"name": "a", "type": "uuid"}, {"name": "b", "type": "uuid"}]}))
+    assert found.type_errors == {} and found.missing_columns == ["b"]
