@@ -10,6 +10,9 @@ outside the vocabulary, so model and base give probabilities to the same events.
    every task trains a copy of the network on its documents, and the copies' mean, weighted by words, is the next round's network.
    A task holds BATCH_WORDS words at most beside it; a copy (some 1 MB) is sent to the mean in chunks, which are added up apart.
 4. Each document is scored from its start to its end. Words that the head hasn't are joined with the table of counts, in a shuffle.
+
+Which documents train a copy together depends on how rows lie in tasks, so that on another layout the network is another one of the same
+quality, and scores differ with it. Counts and bases don't depend on it.
 """
 
 from __future__ import annotations

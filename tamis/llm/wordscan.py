@@ -1,6 +1,7 @@
 """Words, word hashes and shingle hashes of many texts at once, over the bytes of an Arrow column.
 
-Words are `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased. All hashes are 64 bits.
+Words are `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased. All hashes are 64 bits: different words of a
+corpus meet with a chance of one in 2**64 a pair, but words made on purpose to have one hash can be found.
 """
 
 from __future__ import annotations
