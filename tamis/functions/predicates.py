@@ -300,6 +300,12 @@ def register_table_rule(check_type: str, figure: Callable[[Context, RuleDefiniti
     TABLE_RULES[check_type] = TableRule(figure, meets)
 
 
+def unregister_rule(check_type: str) -> None:
+    """Take back a check of one's own."""
+    for known in (MANIFEST, _BUILD, TABLE_RULES):
+        known.pop(check_type, None)
+
+
 def table_figure(ctx: Context, rule: RuleDefinition) -> Column:
     """The aggregate of a table check of the user's own."""
     missing = [f for f in rule.fields if f and f != "*" and f not in ctx.schema.fieldNames()]

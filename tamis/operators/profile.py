@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bifurcate import key_id
 from .schema_contract import canonical_type
 
 SAMPLE_SEED = 42
@@ -32,7 +32,7 @@ def _countable(kind: T.DataType) -> bool:
 
 
 def profile_df(df: DataFrame, approx: bool = True) -> DataFrame:
-    """One row per column. One pass with approx (distinct counts by sketch, within 5 % or so); else a grouping more for each column."""
+    """One row per column. One pass with approx (distinct counts by sketch, within 5 % or so); else one grouping more, for all columns."""
     measures: list[Column] = [F.count(F.lit(1)).alias("n")]
     exact: list[tuple[int, str]] = []
     for i, f in enumerate(df.schema.fields):
@@ -48,9 +48,10 @@ def profile_df(df: DataFrame, approx: bool = True) -> DataFrame:
             v = c.cast("double")
             measures += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"avg{i}"), F.stddev_samp(v).alias(f"std{i}"), F.sum(v).alias(f"sum{i}")]
     row = df.agg(*measures)
-    # One grouping for each column, map side first; Expand would copy each row for each column.
-    counts = [df.groupBy(f"`{name}`").agg(F.lit(1)).agg(F.count(F.col(f"`{name}`")).alias(f"d{i}")) for i, name in exact]
-    row = reduce(lambda a, b: a.join(F.broadcast(b)), counts, row)
+    if exact:  # one shuffle for all columns, of distinct ids of 32 bytes at most, map side first
+        ids = F.array(*(F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{name}`").isNotNull(), key_id(df, [name]).cast("binary")).alias("id")) for i, name in exact))
+        values = df.select(F.explode(ids).alias("v")).select("v.*").where("id is not null").distinct()
+        row = row.join(F.broadcast(values.agg(*(F.count_if(F.col("i") == i).alias(f"d{i}") for i, _ in exact))))
     none = F.lit(None).cast("double")
     entries = []
     for i, f in enumerate(df.schema.fields):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .functions.predicates import register_table_rule
+from .functions.predicates import register_table_rule, unregister_rule
 from .operators.metric_states import metric_states
 from .operators.observed import validate_and_write
 from .operators.profile import profile_df
@@ -438,7 +438,7 @@ TOTAL_RULES = [*STATE_RULES[:5], R("value", "is_between", [10, 90]), R("event_ty
     UNION ALL SELECT check_type, field, CASE WHEN (n - f) / CAST(n AS DOUBLE) >= t THEN 'PASS' ELSE 'FAIL' END, round((n - f) / CAST(n AS DOUBLE), 6), f FROM (
         SELECT 'is_between' AS check_type, 'value' AS field, 1.0 AS t, count(*) AS n, count(*) FILTER (WHERE NOT value BETWEEN 10 AND 90) AS f FROM events
         UNION ALL SELECT 'not_in', 'event_type', 0.5, count(*), count(*) FILTER (WHERE event_type IN ('error')) FROM events
-        UNION ALL SELECT 'are_unique', 'user_id,event_type', 1.0, sum(n), coalesce(sum(n) FILTER (WHERE n > 1), 0) FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)) q""")
+        UNION ALL SELECT 'are_unique', 'user_id,event_type', 1.0, CAST(sum(n) AS BIGINT), CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)) q""")
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table and uniqueness rules on a stream of several batches, answered in total from the states of its batches."""
     runs = []
@@ -467,7 +467,11 @@ def custom_table_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_table_rule("has_weighted_mean", weighted_mean, lambda actual, rule: actual is not None and actual > rule.value)
     fields = "l_extendedprice,l_quantity"
     rules = [R(fields, "has_weighted_mean", 1000), R(fields, "has_weighted_mean", 1000, filter="l_returnflag = 'A'"), R("l_quantity", "has_mean", 25, 0.5)]
-    return validate(read(spark, sf_dir, "lineitem"), rules).to_df().select("check_type", F.round(F.col("actual").cast("double"), 3).alias("actual"), "status")
+    try:
+        report = validate(read(spark, sf_dir, "lineitem"), rules).to_df()
+    finally:
+        unregister_rule("has_weighted_mean")
+    return report.select("check_type", F.round(F.col("actual").cast("double"), 3).alias("actual"), "status")
 
 
 @query("stream_unique", "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS seen_before FROM events")

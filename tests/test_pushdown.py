@@ -8,6 +8,7 @@ import pytest
 from tamis import RuleDefinition as R
 from tamis import validate, windowed_metrics
 from tamis.operators.pushdown import jdbc_runner, polled_runner, validate_pushed
+from tamis.sources.warehouses import KINDS, warehouse
 from tamis.streaming.seen import count_late, keyed_state
 
 
@@ -95,3 +96,25 @@ def test_sessions_and_late_rows_of_a_stream(spark, tmp_path):
     assert late == {"a": (5, 1), "b": (3, 0), "c": (1, 0)}
     with pytest.raises(ValueError, match="window"):
         windowed_metrics(spark.range(1), [], "id", None, "1 hour")
+
+
+def test_warehouses(spark):
+    name = f"memory:{uuid.uuid4().hex};create=true"
+    house = warehouse("derby", database=name)
+    df = spark.createDataFrame([(i, i % 5) for i in range(40)], "id int, n int")
+    df.write.format("jdbc").options(url=house.url, dbtable="W").save()
+    assert sorted(map(tuple, house.table(spark, "W").collect())) == sorted(map(tuple, df.collect()))
+    parts = house.table(spark, "W", '"id"', 4)
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 40 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, df.collect()))
+    assert [r.status.value for r in house.validate(spark, "W", [R("n", "is_less_than", 4, 0.8), R("n", "has_mean", 2, 0), R("n", "is_positive")])] == ["PASS", "PASS", "FAIL"]
+
+
+def test_addresses():
+    assert warehouse("postgres", {"user": "u"}, host="h", database="d").url == "jdbc:postgresql://h:5432/d"
+    assert warehouse("snowflake", host="h", database="a b", warehouse="w").url == "jdbc:snowflake://h/?db=a%20b&schema=PUBLIC&warehouse=w"
+    assert warehouse("athena", region="r", output="s3://x/").url == "jdbc:athena://Region=r;OutputLocation=s3://x/;Workgroup=primary"
+    for kind in KINDS:
+        assert warehouse(kind, host="h", database="d") if kind in ("postgres", "redshift", "doris") else kind
+    for bad in ({"kind": "oracle"}, {"kind": "trino", "host": "h"}, {"kind": "derby", "database": "d", "host": "h"}):
+        with pytest.raises(ValueError):
+            warehouse(**bad)
