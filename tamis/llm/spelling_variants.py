@@ -4,7 +4,7 @@
 2. Of two words that differ by one error, either the first or the second half of one of them is in the other. So each word is a query
    under its first half (the error comes after it) and under its second half, and an answer under the halves that words one shorter,
    as long, and one longer can have. A key is the query's length and the part that has no error.
-3. A key that more than MOST entries have is split in two again: the error is in either half of what is left. This ends at the
+3. A key that more than MOST entries have, or entries of more than MOST_LETTERS letters, is split in two again: the error is in either half of what is left. This ends at the
    latest when one place is left, where a key has a few hundred words at most, as many as there are letters. No word is left out.
 4. Tasks read their keys in order, in pieces of whole keys. The answers of a piece become a minimal acyclic automaton, of the words for keys
    without error at the start, of the words from the back for the others. Its states carry the number of words below, so that a path
@@ -30,8 +30,9 @@ from .wordscan import mix
 
 LETTERS = "[a-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entries of a key that are not split further.
+#: Entries of a key, and letters of all of them, beyond which it is split further.
 MOST = 8192
+MOST_LETTERS = 1 << 18
 #: Bytes of words that an automaton is made of at once, and entries.
 PIECE_BYTES = 1 << 21
 PIECE_ROWS = 1 << 16
@@ -253,7 +254,8 @@ def near_pairs(words: DataFrame, most: int = MOST) -> DataFrame:
     """word, near, near_n: every two words that differ by one error, both ways round, once. words: distinct words and their n."""
     rows, parts = entries(words), []
     while True:
-        large = materialise(rows.where("b - a > 1").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("key"), "spelling-large")
+        sizes = rows.where("b - a > 1").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("word")).alias("letters"))
+        large = materialise(sizes.where((F.col("size") > most) | (F.col("letters") > MOST_LETTERS)).select("key"), "spelling-large")
         if large.isEmpty():
             parts.append(rows)
             break
