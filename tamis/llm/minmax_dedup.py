@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, bounded_broadcast, discard, join_copies, join_groups, materialise
+from .common import BROADCAST_ROWS, arrow_map, bounded_broadcast, discard, join_copies, join_groups, materialise, release_memory
 from .components import components
 from .wordscan import distinct, mix, scan, shingles
 
@@ -187,6 +187,7 @@ def compare_blocks(tasks: DataFrame, percent: int) -> DataFrame:
                 yield flush()
         close()
         yield flush()
+        release_memory()
 
     laid = tasks.repartition("__task").sortWithinPartitions("__task").select("__task", "__side", "__k1", "__set")
     return laid.mapInArrow(run, "a bigint, b bigint")
@@ -267,6 +268,7 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        release_memory()
 
     return both.select("a", "b", "__x", "__y").mapInArrow(run, "a bigint, b bigint")
 

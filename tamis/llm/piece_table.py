@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_chunks
+from .common import release_memory, text_chunks
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -100,5 +100,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                     [piece.column(id_col), pa.array([len(x) for x in ids], pa.int64()), pa.array(a) if digests else a, pa.array(b, pa.string())],
                     [id_col, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])],
                 )
+        del table  # the table and the model go before the memory does
+        release_memory()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, hash52, materialise, text_chunks
+from .common import bounded_broadcast, hash52, materialise, release_memory, text_chunks
 
 #: Bounds of the fit, for each language: documents, and characters of each.
 SAMPLE_DOCS = 128
@@ -105,6 +105,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in base), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], [*base, *new])
+        del sizer  # the compressors go before the memory does
+        release_memory()
 
     source = docs.select(*(F.col(f"`{c}`") for c in base), F.col(text_col).alias("__text"))
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double, margin double, rejected boolean")
