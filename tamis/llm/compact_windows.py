@@ -6,7 +6,7 @@ of c. Only shingles that are least in some stretch of LEAST shingles have window
 about 2 / (LEAST + 1) of all. Two texts with a near-duplicate passage share the value of a window in it, under most functions.
 
 1. Each text gives its windows under FUNCTIONS functions. Texts with equal sequences give the same windows and are one node.
-2. A Bloom filter over the values lets only possibly repeated ones on.
+2. Nodes are counted by value; a bitmap of bounded size lets only values on that several have, and a few others.
 3. All nodes of a value are paired if they are MOST_NODES or fewer. Windows are laid over each other at c; a pair of nodes
    stays if enough functions agree, with the hull of its common intervals. Values of more nodes are hot; a bitmap of bounded
    size tells them. Stretches of LEAST shingles with hot minima get finer keys instead: two to all of their minima, again for
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bounded_broadcast, discard, join_copies, join_groups, materialise, text_chunks
-from .exact_dedup import BITMAP_BITS, possibly_repeated
+from .exact_dedup import BITMAP_BITS
 from .wordscan import _powers as powers
 from .wordscan import mix, scan, shingles
 
@@ -212,32 +212,52 @@ def frequent_stretches(docs: DataFrame, hot: np.ndarray, width: int, least: int,
     return arrow_map(docs, "__text", kernel, f"a bigint, {_WINDOW.replace(':', ' ').replace(',', ', ')}", PIECE_BYTES)
 
 
+def _bitmap_size(n: int, each: int) -> int:
+    """Bits of a bitmap of n keys, about as many for each key."""
+    return min(HOT_BITS, max(BITMAP_BITS, 1 << (each * n).bit_length()))
+
+
+def _bitmaps(keys: DataFrame, bits: int) -> DataFrame:
+    """b and m: the bits of those keys v that have theirs in the b-th BITMAP_BITS of a bitmap of that size."""
+    slots = keys.select((F.shiftrightunsigned("v", 1) % bits).alias("s"))
+    return slots.groupBy(F.expr(f"s div {BITMAP_BITS}").alias("b")).agg(F.bitmap_construct_agg(F.col("s") % BITMAP_BITS).alias("m"))
+
+
 def hot_bitmap(large: DataFrame) -> np.ndarray | None:
     """The values (v) of large as bits, HOT_BITS at most; None without any."""
     n = large.count()
     if not n:
         return None
-    bits = min(HOT_BITS, max(BITMAP_BITS, 1 << (64 * n).bit_length()))
-    slots = large.select((F.shiftrightunsigned("v", 1) % bits).alias("s"))
-    found = slots.groupBy(F.expr(f"s div {BITMAP_BITS}").alias("b")).agg(F.bitmap_construct_agg(F.col("s") % BITMAP_BITS).alias("m")).collect()
+    bits = _bitmap_size(n, 64)
     out = np.zeros((bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
-    for r in found:
+    for r in _bitmaps(large, bits).collect():
         own = np.frombuffer(r["m"], np.uint8)
         out[r["b"], : len(own)] = own
     return out.ravel()
 
 
-def _repeats(windows: DataFrame, keys: DataFrame, name: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """One row for each key and node of the keys that may be repeated; the keys that several nodes have, with their number and hubs."""
-    rows = possibly_repeated(windows, keys, "v", probes=1, slot=lambda key, _: F.shiftrightunsigned(F.col(key), 1), total=total).where("__repeated")
-    same = rows.groupBy("v", "a").agg(F.min("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("before").alias("before"), F.max("after").alias("after"))
-    rows = materialise(same, f"repeats-{name}")
-    counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("n > 1")
-    return rows, materialise(counts, f"repeats-{name}-keys")
+def _repeats(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key that several nodes have, and a few others; and those keys, with the number of their rows and hubs.
+
+    A bitmap of the keys is sent to the rows, in one pass whatever the input's size. The fuller it is, the more rows of keys of one
+    node go on; none of a key of several is left out.
+    """
+    counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi")
+    counts = materialise(counts, f"repeats-{name}-keys")
+    bits = _bitmap_size(counts.count(), 16)
+    # Numbers of 32 bits are read where they lie; a binary would be copied for each row. The first byte is the highest: hence ^ 24.
+    words = f"transform(sequence(0, {BITMAP_BITS // 32 - 1}), i -> coalesce(cast(conv(hex(substring(m, 4 * i + 1, 4)), 16, 10) AS bigint), 0L))"
+    bitmap = materialise(_bitmaps(counts, bits).select("b", F.expr(words).alias("m")), f"repeats-{name}-bits")
+    slot = f"shiftrightunsigned(v, 1) % {bits}"
+    found = rows.withColumn("b", F.expr(f"{slot} div {BITMAP_BITS}")).join(F.broadcast(bitmap), "b")
+    found = found.where(f"getbit(m[cast({slot} % {BITMAP_BITS} div 32 AS int)], cast({slot} % 32 ^ 24 AS int)) = 1").select(*rows.columns)
+    found = materialise(found, f"repeats-{name}")
+    discard(bitmap)
+    return found, counts
 
 
 def _met(pairs: DataFrame) -> DataFrame:
-    """k, a, b and the hulls of what their windows have in common, from structs x and y with x.a < y.a."""
+    """k, a, b and the hulls of what their windows have in common, from structs or sides x and y with x.a < y.a."""
     before, after = F.least("x.before", "y.before"), F.least("x.after", "y.after")
     return pairs.select(
         "x.k", F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.greatest(F.lit(0), F.col("x.lo") - before).alias("a0"), (F.col("x.hi") + after).alias("a1"),
@@ -250,8 +270,8 @@ _ROW = ("a", "k", "lo", "hi", "before", "after")
 
 def _all_pairs(rows: DataFrame, large: DataFrame) -> DataFrame:
     """Every two nodes of each key that isn't among the large ones."""
-    groups = rows.join(bounded_broadcast(large.select("v")), "v", "left_anti").groupBy("v").agg(F.collect_list(F.struct(*_ROW)).alias("all")).where("size(all) > 1")
-    return _met(groups.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.a < y.a"))
+    small = rows.join(bounded_broadcast(large.select("v")), "v", "left_anti").select("v", *_ROW)
+    return _met(small.alias("x").join(small.alias("y"), F.col("x.v") == F.col("y.v")).where("x.a < y.a"))
 
 
 def _stars(rows: DataFrame, large: DataFrame) -> DataFrame:
@@ -268,10 +288,12 @@ def _hull() -> list[Column]:
 
 def candidate_pairs(texts: DataFrame, docs: DataFrame, width: int, least: int, functions: int, enough: int, most: int = MOST_NODES) -> tuple[DataFrame, DataFrame | None]:
     """a, b (nodes) and the hulls a0..a1, b0..b1 of what their windows have in common, if enough functions agree; and the rows
-    v, a, lo, hi of keys of minima that were only paired by stars, of which open_probes and probed_pairs find the other partners."""
+    v, a, lo, hi of keys of minima that were only paired by stars, of which open_probes and probed_pairs find the other partners.
+
+    Of equal texts one is enough, in texts and in docs; more of them only make a key look more frequent.
+    """
     windows = texts.select(F.col("__node").alias("a"), F.explode("__windows").alias("w")).select("a", "w.*")
-    total = texts.agg(F.sum(F.size("__windows.k"))).first()[0] or 0
-    rows, counts = _repeats(windows, texts.select(F.explode("__windows.v").alias("v")), "windows", total)
+    rows, counts = _repeats(windows, "windows")
     large = counts.where(F.col("n") > most)
     agree = _all_pairs(rows, large).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, k))").alias("ks"), *_hull()).where(F.bit_count("ks") >= enough).drop("ks")
     pairs = materialise(agree, "repeats-pairs")
@@ -280,7 +302,7 @@ def candidate_pairs(texts: DataFrame, docs: DataFrame, width: int, least: int, f
     if hot is None:
         return pairs, None
     finer = materialise(frequent_stretches(docs, hot, width, least, functions, enough), "repeats-frequent")
-    rows, counts = _repeats(finer, finer.select("v"), "stretches")
+    rows, counts = _repeats(finer, "stretches")
     discard(finer)
     # A stretch's own key needs no more than a hub: whatever node has the key has the stretch.
     large = materialise(counts.where((F.col("k") == 1) | (F.col("n") > most)), "repeats-large")
@@ -513,7 +535,9 @@ def _longest(found: np.ndarray, least: int) -> tuple[int, int]:
     falls = np.minimum.accumulate(height)
     if not (falls[: len(falls) - least] <= height[least:]).any():
         return 0, 0
-    starts = np.append(0, (falls[1:] < falls[:-1]).nonzero()[0] + 1)
+    low = np.ones(len(falls), bool)
+    np.less(falls[1:], falls[:-1], out=low[1:])
+    starts = low.nonzero()[0]
     peaks = np.maximum.accumulate(height[::-1])[::-1]
     # For each new low, the last point that isn't lower.
     ends = (-peaks).searchsorted(-height[starts], side="right") - 1
@@ -548,12 +572,38 @@ def _widest_gap(found: np.ndarray) -> tuple[int, int]:
     return int(edges[2 * k]), int(edges[2 * k + 1])
 
 
+def _kinds(values: np.ndarray) -> int:
+    """How many different values there are."""
+    values = np.sort(values)
+    return np.count_nonzero(values[1:] != values[:-1]) + min(1, len(values))
+
+
+#: Used by one call at a time, and left empty.
+_SHORT = np.zeros(1 << 16, bool)
+
+
+def may_have_passages(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """False only if no stretch of a has 8 of 9 shingles in b: told by 16 bits of each, which can only add matches."""
+    if min(len(a), len(b)) < least:
+        return False
+    _SHORT[short := b.astype("<u2")] = True
+    found = _SHORT[a.astype("<u2")]
+    _SHORT[short] = False
+    if np.count_nonzero(found) < -(-8 * least // 9):
+        return False
+    height = np.zeros(len(found) + 1, np.int64)
+    (9 * found.astype(np.int64) - 8).cumsum(out=height[1:])
+    return bool((np.minimum.accumulate(height[: len(found) - least + 1]) <= height[least:]).any())
+
+
 def common_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """Near-duplicate stretches (a from, a to, b from, b to, ends exclusive) of two shingle sequences.
 
     Stretches of a that are found in b, and of b that are found in those, are cut to what they have in common until nothing
     changes; two that still differ too much are cut at their widest gap. All stretches of b count for each one of a.
     """
+    if not may_have_passages(a, b, least):
+        return []
     kinds, number = np.unique(np.concatenate((a, b)), return_inverse=True)
     a, b = number[: len(a)], number[len(a) :]
     marks = np.zeros(len(kinds), bool)
@@ -581,9 +631,13 @@ def common_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> l
                 if parts != [(0, y - x)]:
                     todo += [(x + i, x + j, u, v) for i, j in parts]
                     continue
-                left, right = np.unique(a[x:y]), np.unique(b[u:v])
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * both >= percent * (len(left) + len(right) - both):
+                left, right = a[x:y], b[u:v]
+                if y - x == v - u and (left == right).all():
+                    pieces.append((x - x0, y - x0, u, v))
+                    continue
+                union = _kinds(np.concatenate((left, right)))
+                both = _kinds(left) + _kinds(right) - union
+                if 100 * both >= percent * union:
                     pieces.append((x - x0, y - x0, u, v))
                 elif not of_a.all():
                     i, j = _widest_gap(of_a)
@@ -675,8 +729,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, width: in
     texts = materialise(text_windows(narrow, width, least, functions).where(F.col("__n") >= least), "repeats-texts")
     members = materialise(texts.select("__id", "__node", "__n").distinct(), "repeats-members")
     nodes = materialise(members.groupBy("__node").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi"), F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__docs")), "repeats-nodes")
-    pairs, starred = candidate_pairs(texts, narrow, width, least, functions, enough, most)
-    discard(texts)
+    # Equal texts are looked at once: rows go whose id is no node's least.
+    groups = nodes.where("__docs > 1").select("__node", "__lo", "__docs")
+    again = join_groups(members.select("__id", "__node"), groups, "__node", "__docs", members.count()).where("__id != __lo").select("__id").distinct()
+    again = materialise(again.join(nodes.select(F.col("__lo").alias("__id")), "__id", "left_anti"), "repeats-again")
+    first = [df.join(bounded_broadcast(again), "__id", "left_anti") for df in (texts, narrow)]
+    pairs, starred = candidate_pairs(*first, width, least, functions, enough, most)
+    discard(texts, again)
     wanted = pairs.select(F.col("a").alias("__node")).union(pairs.select("b"))
     stored, tokens = node_tokens(narrow, nodes, wanted.distinct(), width)
     found = materialise(verified(pairs, tokens, least, percent), "repeats-found")

@@ -725,3 +725,36 @@ def test_long_words_that_sums_cannot_tell_apart(spark):
     assert found == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
     counted = gru_lm.log_likelihood(df, F.lit(True)).orderBy("doc_id").collect()
     assert counted[0]["train_tokens"] == 3 * 5 + 2 + 5 and counted[3]["base_score"] != counted[4]["base_score"]
+
+
+def test_copies_are_looked_at_once(spark, monkeypatch):
+    """Rows of windows and of stretches are made for one of equal texts; a bitmap that is full only lets more of them on."""
+    stored, sizes = compact_windows.materialise, {}
+
+    def kept(df, name, *by):
+        out = stored(df, name, *by)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(compact_windows, "materialise", kept)
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [f"{passage} own{i} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    alone = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = {r.doc_id: (r.start_word, r.end_word) for r in compact_windows.repeated_passages(alone).collect()}
+    wanted, sizes = sizes, {}
+    monkeypatch.setattr(compact_windows, "HOT_BITS", compact_windows.BITMAP_BITS)
+    both = alone.union(spark.createDataFrame([(100 + i, texts[7]) for i in range(40)], alone.schema))
+    found = {r.doc_id: (r.start_word, r.end_word) for r in compact_windows.repeated_passages(both).collect()}
+    assert wanted["repeats-frequent"] == sizes["repeats-frequent"] and wanted["repeats-stretches"] == sizes["repeats-stretches"]
+    assert whole == dict.fromkeys(range(30), (0, 80))
+    assert found == whole | dict.fromkeys([7, *range(100, 140)], (0, len(texts[7].split())))
+
+
+def test_pairs_without_a_passage_are_told_soon():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 32, 300, np.uint32)
+    b = np.concatenate((a[100:140], rng.integers(0, 1 << 32, 60, np.uint32), a[200:240]))
+    c = np.concatenate((rng.integers(0, 1 << 32, 60, np.uint32), a[100:160]))
+    assert not compact_windows.may_have_passages(a, b, 46) and compact_windows.common_passages(a, b, 46, 80) == []
+    assert compact_windows.may_have_passages(a, c, 46) and compact_windows.common_passages(a, c, 46, 80) == [(100, 160, 60, 120)]
+    assert not compact_windows.may_have_passages(a, a[:20], 46)
