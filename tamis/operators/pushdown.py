@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
-from datetime import date
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -28,6 +28,26 @@ def jdbc_runner(spark: SparkSession, url: str, properties: Mapping[str, str] | N
     return run
 
 
+def connection_runner(connection: Any) -> Runner:
+    """Runs a SELECT on an open java.sql.Connection of the driver's JVM: for an engine embedded there, which no executor can reach."""
+
+    def plain(x: Any) -> Any:
+        kind = x.getClass().getName() if hasattr(x, "getClass") else ""
+        return {"java.sql.Date": date.fromisoformat, "java.sql.Timestamp": datetime.fromisoformat}.get(kind, str)(x.toString()) if kind else x
+
+    def run(sql: str) -> Mapping[str, Any]:
+        statement = connection.createStatement()
+        try:
+            rows = statement.executeQuery(sql)
+            rows.next()
+            names = rows.getMetaData()
+            return {names.getColumnLabel(i).lower(): plain(rows.getObject(i)) for i in range(1, names.getColumnCount() + 1)}
+        finally:
+            statement.close()
+
+    return run
+
+
 def polled_runner(submit: Callable[[str], Any], state: Callable[[Any], str], fetch: Callable[[Any], Mapping[str, Any]], cancel: Callable[[Any], None] | None = None, limit: float = 600.0, interval: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Runner:
     """Runs a SELECT on an engine that only takes jobs: submit gives an id, whose state is asked until it is an end.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
 import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from .functions.predicates import register_table_rule, unregister_rule
 from .operators.metric_states import metric_states
 from .operators.observed import validate_and_write
 from .operators.profile import profile_df
-from .operators.pushdown import jdbc_runner, validate_pushed
+from .operators.pushdown import connection_runner, validate_pushed
 from .operators.schema_contract import SchemaDef, extract_schema, validate_schema
 from .operators.validate import validate
 from .plans.planner import bind
@@ -516,14 +517,28 @@ _PUSHED_FIGURES = ["avg(user_id)", "stddev_samp(value)", "max(value)", "count(DI
     UNION ALL SELECT * FROM (VALUES ('has_pattern', 'event_type', 'ERROR', -1.0, -1), ('is_positive', 'nope', 'ERROR', -1.0, -1))
     {"".join(f" UNION ALL SELECT '{r.check_type}', '{r.label}', CASE WHEN abs({s} - {r.value}) <= {r.threshold} * {r.value} THEN 'PASS' ELSE 'FAIL' END, round(CAST({s} AS DOUBLE), 6), -1 FROM events" for r, s in zip(PUSHED_RULES[7:11], _PUSHED_FIGURES))}""")
 def jdbc_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in a database, where the rules' SELECT runs: an embedded one, so that the driver and the tasks have to be one JVM."""
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("the embedded database of this query is in one JVM; use a server's address with jdbc_runner")
+    """Events in a database, where the rules' SELECT runs: Derby, embedded in the driver's JVM and kept on its disk.
+
+    Executors can't reach it. They write the events as CSV to the shared folder, which the database imports by itself.
+    """
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    events = read(spark, sf_dir, "events").drop("props")
-    events.write.format("jdbc").options(url=url, dbtable="EVENTS", createTableColumnTypes="event_type VARCHAR(64)", batchsize=10_000).save()
-    report = validate_pushed(jdbc_runner(spark, url), "EVENTS", PUSHED_RULES, "derby", as_of=AS_OF).to_df(spark)
+    events, path = read(spark, sf_dir, "events").drop("props"), scratch_path(spark, "events")
+    events.write.options(quote='"', escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    kinds = {"string": "VARCHAR(64)", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "int": "INTEGER"}
+    manager = spark._jvm.java.sql.DriverManager
+    with tempfile.TemporaryDirectory(prefix="tamis-derby-") as folder:
+        url = f"jdbc:derby:{os.path.realpath(folder)}/db"
+        connection = manager.getConnection(f"{url};create=true")
+        try:
+            statement = connection.createStatement()
+            statement.execute("CREATE TABLE EVENTS (" + ", ".join(f'"{c}" {kinds.get(k, k.upper())}' for c, k in events.dtypes) + ")")
+            for part in spark.read.text(path).inputFiles():
+                statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'EVENTS', '{part}', NULL, NULL, 'UTF-8', 0)")
+            report = validate_pushed(connection_runner(connection), "EVENTS", PUSHED_RULES, "derby", as_of=AS_OF).to_df(spark)
+        finally:
+            connection.close()
+            with contextlib.suppress(Exception):  # so Derby says that it is shut down
+                manager.getConnection(f"{url};shutdown=true")
     return report.select("check_type", "field", "status", F.round(F.coalesce(F.col("actual").cast("double"), F.lit(-1.0)), 6).alias("actual"), F.coalesce("fail_count", F.lit(-1)).cast("bigint").alias("fail_count"))
 
 

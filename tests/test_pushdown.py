@@ -118,3 +118,19 @@ def test_addresses():
     for bad in ({"kind": "oracle"}, {"kind": "trino", "host": "h"}, {"kind": "derby", "database": "d", "host": "h"}):
         with pytest.raises(ValueError):
             warehouse(**bad)
+
+
+def test_an_embedded_database_is_asked_by_the_driver(spark, monkeypatch):
+    """No executor reads it: it may be in another JVM."""
+    from tamis import queries
+    from tamis.operators.pushdown import connection_runner
+
+    connection = spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:memory:{uuid.uuid4().hex};create=true")
+    row = connection_runner(connection)("SELECT CAST('x' AS VARCHAR(9)) AS s, CAST(NULL AS INT) AS n, 1.5 AS d, DATE('2024-01-02') AS day, TIMESTAMP('2024-01-02 03:04:05') AS moment FROM SYSIBM.SYSDUMMY1")
+    connection.close()
+    assert row["s"] == "x" and row["n"] is None and float(row["d"]) == 1.5 and row["day"].isoformat() == "2024-01-02" and row["moment"] == datetime(2024, 1, 2, 3, 4, 5)
+    # Neither does the query: reading or writing over JDBC takes tasks.
+    asked = []
+    for side in (type(spark.read), type(spark.range(1).write)):
+        monkeypatch.setattr(side, "format", lambda self, kind, old=side.format: asked.append(kind) or old(self, kind))
+    assert queries.QUERIES["jdbc_pushdown"](spark, "/root/testdata/sf0.001").count() == 12 and "jdbc" not in asked
